@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import packing, simhash
+from tallyspark.llm import chat, fingerprint, html_main, license_scan, packing, simhash
 from tallyspark.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of two layouts: the table's rows, and conversation -7 as a record with a list of messages."""
+    rows = chat.canonical_rows(table(spark, sf_dir, "conversations"))
+    say = "</s>[INST] ok [/INST]"
+    record = json.dumps({"messages": [{"role": "user", "content": say}, {"role": "assistant", "content": say}]})
+    extra, _ = chat.canonical_json(spark.createDataFrame([(-7, record)], "conv_id long, record string"))
+    return chat.digests(chat.segments(rows.unionByName(extra)))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_simhash": op3_simhash,
+    "op5_chat_format": op5_chat_format,
+    "op8_fingerprint": op8_fingerprint,
+    "op9_html_main": op9_html_main,
     "op10_packing": op10_packing,
 }
 
