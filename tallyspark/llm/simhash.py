@@ -8,8 +8,8 @@ the two agree on every kept bit. No pair within the radius is missed, whatever t
 Scale: pairs inside a bucket are never listed. A bucket of two is checked from its smallest and
 largest member, which one aggregate finds. The members of a larger bucket meet at hubs instead: two
 fingerprints differ in at most two bits exactly if flipping at most one bit of each can make them
-equal, and inside a bucket only the bits that the table doesn't keep can differ. So a bucket of m
-members makes m * (1 + free bits) rows, and each hub is linked to its smallest member.
+equal, and inside a bucket only the bits that the table doesn't keep can differ. So a fingerprint
+makes at most 65 rows, however large its buckets are, and each hub is linked to its smallest member.
 """
 
 from __future__ import annotations
@@ -86,8 +86,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     buckets = checkpoint(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = buckets.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
     large = rows.join(buckets.where("n > 2").select("t", "key"), ["t", "key"], "left_semi")
-    free = F.array(*(F.array(_lit(0), *(_lit(1 << bit) for bit in range(64) if not m >> bit & 1)) for m in masks))
-    hubs = large.select("fp", "t", F.explode(F.element_at(free, F.col("t") + 1)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).distinct()
+    # A fingerprint may be in large buckets of several tables; each of its free bits makes one hub all the same.
+    free = F.element_at(F.array(*(_lit(~m & (1 << 64) - 1) for m in masks)), F.col("t") + 1)
+    flips = large.groupBy("fp").agg(F.bit_or(free).alias("free"))
+    flip = F.explode(F.array_compact(F.array(_lit(0), *(F.when(F.col("free").bitwiseAND(_lit(1 << bit)) != 0, _lit(1 << bit)) for bit in range(64)))))
+    hubs = flips.select("fp", flip.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
     least = hubs.groupBy("hub").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("hub", "a")
     stars = hubs.join(least, "hub").where("a < fp").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
