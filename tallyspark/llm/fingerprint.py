@@ -27,7 +27,7 @@ from tallyspark.llm.common import text_of
 WINDOW, LEAST, TARGET, GREATEST = 16, 16, 64, 255
 #: Top bits of the hash that are zero at a boundary, before and after TARGET.
 STRICT, LOOSE = 8, 4
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 1 << 20
 MAX_RANGES = 1 << 15
 CHUNK = 1 << 20
 _FIRST = -(1 << 63)
