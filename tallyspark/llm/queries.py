@@ -6,10 +6,15 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import chat, fingerprint, html_main, license_scan, packing, simhash
+from tallyspark.llm import bpe, chat, fingerprint, html_main, license_scan, packing, quality, simhash
 from tallyspark.llm.common import table
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the texts that labels call good."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -27,6 +32,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.segments(rows.unionByName(extra)))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -43,6 +56,8 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_simhash": op3_simhash,
     "op5_chat_format": op5_chat_format,
+    "op6_bpe": op6_bpe,
+    "op7_quality": op7_quality,
     "op8_fingerprint": op8_fingerprint,
     "op9_html_main": op9_html_main,
     "op10_packing": op10_packing,
