@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: A document is kept if the mean log-likelihood ratio of its n-grams is at least this.
-THRESHOLD = -0.06
+THRESHOLD = -0.07
 BYTES_PER_BUCKET = 8192
 MIN_BUCKETS, MAX_BUCKETS = 1 << 14, 1 << 20
 #: Pseudo-count of each bucket, in n-grams of trusted texts.

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, chat, fingerprint, html_main, license_scan, packing, quality, simhash
+from tallyspark.llm import bpe, chat, fingerprint, html_main, license_scan, packing, pii, quality, simhash
 from tallyspark.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii", "pii_kinds")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of two layouts: the table's rows, and conversation -7 as a record with a list of messages."""
     rows = chat.canonical_rows(table(spark, sf_dir, "conversations"))
@@ -55,6 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
