@@ -18,15 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of ``spark.checkpoint.dir`` and read from there.
-
-    The setting is read from the session; only where it is unset (as in tests on one machine) a
-    temporary folder takes its place.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; only where it is unset, as in tests on one machine, a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there; lineage ends in it."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
