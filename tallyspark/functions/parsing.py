@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Indonesian month names and the bilingual short forms seen in statements (fixed values).
-MONTHS = {
-    "januari": 1, "februari": 2, "maret": 3, "april": 4, "mei": 5, "juni": 6, "juli": 7, "agustus": 8, "september": 9, "oktober": 10, "november": 11, "desember": 12,
-    "january": 1, "february": 2, "march": 3, "may": 5, "june": 6, "july": 7, "august": 8, "october": 10, "december": 12,
-    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "agu": 8, "aug": 8, "sep": 9, "okt": 10, "oct": 10, "nov": 11, "des": 12, "dec": 12,
-}
+#: Month names of both languages and their short forms, a year a row (fixed values).
+MONTHS = (
+    "januari februari maret april mei juni juli agustus september oktober november desember "
+    "january february march april may june july august september october november december "
+    "jan feb mar apr mei jun jul agu sep okt nov des "
+    "jan feb mar apr may jun jul aug sep oct nov dec"
+).split()
 
 
 def clean_text(c: Column) -> Column:
@@ -66,7 +67,9 @@ def grade(c: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair)), F.lower(name))
+    """1 to 12; null if it is no month's name."""
+    at = F.array_position(F.lit(MONTHS), F.lower(name))
+    return F.when(at > 0, (at - 1) % 12 + 1).cast("int")
 
 
 def date(c: Column) -> Column:

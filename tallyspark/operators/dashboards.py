@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.facilities import BUCKETS, active, high_rate, mean, money_sum, outstanding_problem, problem, written_off
+from tallyspark.operators.facilities import BUCKETS, active, cost_sum, high_rate, mean, money_sum, outstanding_problem, problem, written_off
 
 RATE_BANDS = [("0-10%", 0.0, 0.10), ("10-20%", 0.10, 0.20), ("20-30%", 0.20, 0.30), ("30-40%", 0.30, 0.40), (">40%", 0.40, None)]
 
@@ -77,7 +77,7 @@ def overdue() -> Column:
 def kpi_maturity(df: DataFrame) -> DataFrame:
     return df.agg(
         _sum_if(due_soon()).alias("due_soon_baki_debet"), _count(due_soon()).alias("due_soon_facilities"), _sum_if(overdue()).alias("overdue_baki_debet"), _count(overdue()).alias("overdue_facilities"),
-        mean("rate").alias("average_rate"), F.max("rate").alias("highest_rate"), money_sum("annual_interest_cost").alias("annual_interest_cost"),
+        mean("rate").alias("average_rate"), F.max("rate").alias("highest_rate"), cost_sum().alias("annual_interest_cost"),
     )
 
 
@@ -135,17 +135,17 @@ def status_summary(df: DataFrame, top: int = 10) -> DataFrame:
 def maturity_buckets(df: DataFrame) -> DataFrame:
     """All buckets in order, empty ones with 0; Unknown only if it occurs."""
     facts = df.groupBy("maturity_bucket").agg(
-        F.count(F.lit(1)).alias("facility_count"), money_sum("baki_debet").alias("total_baki_debet"), money_sum("plafond").alias("total_plafond"), mean("rate").alias("average_rate"), money_sum("annual_interest_cost").alias("annual_interest_cost")
+        F.count(F.lit(1)).alias("facility_count"), money_sum("baki_debet").alias("total_baki_debet"), money_sum("plafond").alias("total_plafond"), mean("rate").alias("average_rate"), cost_sum().alias("annual_interest_cost")
     )
     dim = df.sparkSession.createDataFrame(list(enumerate(BUCKETS)), "bucket_order int, maturity_bucket string")  # six rows
     out = F.broadcast(dim).join(facts, "maturity_bucket", "left").where("maturity_bucket <> 'Unknown' OR facility_count IS NOT NULL")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(38,4)")).alias(c)
-    return out.select("bucket_order", "maturity_bucket", F.coalesce("facility_count", F.lit(0)).alias("facility_count"), zero("total_baki_debet"), zero("total_plafond"), "average_rate", zero("annual_interest_cost"))
+    zero = lambda c, scale=4: F.coalesce(c, F.lit(0).cast(f"decimal(38,{scale})")).alias(c)
+    return out.select("bucket_order", "maturity_bucket", F.coalesce("facility_count", F.lit(0)).alias("facility_count"), zero("total_baki_debet"), zero("total_plafond"), "average_rate", zero("annual_interest_cost", 7))
 
 
 def maturity_years(df: DataFrame) -> DataFrame:
     return df.where("jatuh_tempo_year IS NOT NULL").groupBy("jatuh_tempo_year").agg(
-        F.count(F.lit(1)).alias("facility_count"), money_sum("baki_debet").alias("total_baki_debet"), mean("rate").alias("average_rate"), money_sum("annual_interest_cost").alias("annual_interest_cost")
+        F.count(F.lit(1)).alias("facility_count"), money_sum("baki_debet").alias("total_baki_debet"), mean("rate").alias("average_rate"), cost_sum().alias("annual_interest_cost")
     )
 
 

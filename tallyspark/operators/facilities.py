@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import parsing as P
 from tallyspark.schemas import FACILITY, conform
@@ -70,7 +71,7 @@ def clean(staged: DataFrame, as_of: str) -> DataFrame:
     Lineage columns that staged has besides its schema are carried along.
     """
     more = [c for c in staged.columns if c.lower() not in FACILITY.names]
-    base = conform(staged, FACILITY) if not more else conform(staged, FACILITY.__class__(FACILITY.fields + [staged.schema[c] for c in more]))
+    base = conform(staged, FACILITY) if not more else conform(staged, T.StructType(FACILITY.fields + [staged.schema[c] for c in more]))
     kept = fill_names(base.where(F.lower(P.clean_text(F.col("bank"))) != SUBTOTAL)).where(~is_fallback(F.col("keterangan")))
     read = kept.select(
         "source_file", "seq", "nama", *(P.clean_text(F.col(c)).alias(c) for c in ("nik_npwp", "bank", "penggunaan")),
@@ -111,10 +112,15 @@ def subtotals(clean_df: DataFrame) -> DataFrame:
     )
 
 
-def money_sum(column: str | Column) -> Column:
+def money_sum(column: str | Column, scale: int = 4) -> Column:
     """A sum of amounts by exact decimals, so it doesn't depend on the order of rows or partitions; 0 for none."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(F.sum(c.cast("decimal(20,4)")), F.lit(0)).cast("decimal(38,4)")
+    return F.coalesce(F.sum(c.cast(f"decimal(24,{scale})")), F.lit(0)).cast(f"decimal(38,{scale})")
+
+
+def cost_sum() -> Column:
+    """An amount of four places times a rate of three has seven."""
+    return money_sum("annual_interest_cost", 7)
 
 
 def mean(column: str | Column, places: int = 6) -> Column:

@@ -19,7 +19,7 @@ def schedule(clean_df: DataFrame) -> DataFrame:
     """
     loans = clean_df.where("awal IS NOT NULL AND jatuh_tempo IS NOT NULL AND plafond > 0").withColumn("term", F.when(F.col("jatuh_tempo") >= F.col("awal"), months_inclusive(F.col("awal"), F.col("jatuh_tempo"))).otherwise(0)).where("term > 0")
     money = F.col("plafond").cast("decimal(20,4)")
-    share = F.bround((money / F.col("term")).cast("double"), 0)
+    share = F.bround(F.try_divide(money, F.col("term")).cast("double"), 0)
     base = loans.select("source_file", "seq", "nama", "bank", "awal", "jatuh_tempo", "plafond", F.coalesce("rate", F.lit(0.0)).alias("rate"), "term", share.alias("share"))
     left = F.greatest(F.lit(0.0), F.bround(F.col("plafond") - F.col("share"), 0))  # after the first payment
     rows = base.withColumn("first_left", left).withColumn("period", F.explode(F.sequence(F.lit(1), F.col("term"))))

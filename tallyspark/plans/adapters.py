@@ -54,7 +54,7 @@ FACILITIES_SQL = """
 fac AS (
   SELECT *, date_diff('day', DATE '1999-06-30', jatuh_tempo) AS remaining_days, plafond::DOUBLE AS pl, baki::DOUBLE AS bk,
     CASE WHEN keterangan = 'Aktif' THEN 1 ELSE 0 END AS is_active, CASE WHEN keterangan IN ('Dihapusbukukan','Hapus Tagih') THEN 1 ELSE 0 END AS is_off,
-    (baki::DOUBLE * coalesce(rate::DOUBLE, 0.0))::DECIMAL(20,4) AS cost,
+    (baki::DECIMAL(18,4) * coalesce(rate, 0)::DECIMAL(6,3))::DECIMAL(24,7) AS cost,
     CASE WHEN jatuh_tempo IS NULL THEN 'Unknown' WHEN date_diff('day', DATE '1999-06-30', jatuh_tempo) < 0 THEN 'Overdue' WHEN date_diff('day', DATE '1999-06-30', jatuh_tempo) <= 90 THEN '0-3 Months'
       WHEN date_diff('day', DATE '1999-06-30', jatuh_tempo) <= 180 THEN '3-6 Months' WHEN date_diff('day', DATE '1999-06-30', jatuh_tempo) <= 365 THEN '6-12 Months' ELSE '>12 Months' END AS bucket
   FROM (

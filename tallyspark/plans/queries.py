@@ -36,7 +36,7 @@ def _dec(x: str, scale: int = 4) -> str:
     return f"coalesce(sum({x}), 0)::DECIMAL(38,{scale})"
 
 
-_PL, _BK, _COST = _dec("plafond"), _dec("baki"), _dec("cost")
+_PL, _BK, _COST = _dec("plafond"), _dec("baki"), _dec("cost", 7)
 _MEAN = "round(sum(rate)::DOUBLE / nullif(count(rate), 0), 6)"
 _LIST = ["source_file", "seq", "nama", "bank", "kol", "keterangan"]
 _listed = lambda df: df.select(*_LIST, F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"), "rate", "remaining_days")
@@ -79,10 +79,10 @@ _on_clean(
     f"SELECT nama, {_PL} AS total_plafond, {_BK} AS total_baki_debet, count(*) AS facilities, count(DISTINCT bank) AS banks, max(kol)::INT AS worst_kol, {_MEAN} AS average_rate, {_RATIO} AS utilization_ratio, sum(is_active)::BIGINT AS active_facilities, sum(is_off)::BIGINT AS written_off_facilities FROM fac GROUP BY nama",
 )
 _FLAGS = """flags AS (
-  SELECT nama, source_file, seq, flag, at FROM (SELECT nama, source_file, seq, unnest([CASE kol WHEN 1 THEN 'Current' WHEN 2 THEN 'Special Mention' ELSE 'Problem Loan' END, CASE WHEN kol >= 3 AND baki > 0 THEN 'Outstanding Problem Loan' END,
+  SELECT nama, source_file, seq, flag, pos FROM (SELECT nama, source_file, seq, unnest([CASE kol WHEN 1 THEN 'Current' WHEN 2 THEN 'Special Mention' ELSE 'Problem Loan' END, CASE WHEN kol >= 3 AND baki > 0 THEN 'Outstanding Problem Loan' END,
       CASE WHEN keterangan = 'Hapus Tagih' THEN 'Charged-Off' END, CASE WHEN keterangan = 'Dihapusbukukan' THEN 'Written-Off' END, CASE WHEN rate > 0.30 THEN 'High Rate' END,
-      CASE WHEN remaining_days BETWEEN 0 AND 90 THEN 'Near Maturity' END, CASE WHEN remaining_days < 0 THEN 'Overdue' END]) AS flag, unnest(range(7)) AS at FROM fac) WHERE flag IS NOT NULL
-), firsts AS (SELECT nama, flag, min((source_file, seq, at)) AS first FROM flags GROUP BY 1, 2), joined AS (SELECT nama, string_agg(flag, ', ' ORDER BY first) AS risk_flags FROM firsts GROUP BY 1)"""
+      CASE WHEN remaining_days BETWEEN 0 AND 90 THEN 'Near Maturity' END, CASE WHEN remaining_days < 0 THEN 'Overdue' END]) AS flag, unnest(range(7)) AS pos FROM fac) WHERE flag IS NOT NULL
+), firsts AS (SELECT nama, flag, min(row(source_file, seq, pos)) AS first_at FROM flags GROUP BY 1, 2), joined AS (SELECT nama, string_agg(flag, ', ' ORDER BY first_at) AS risk_flags FROM firsts GROUP BY 1)"""
 _register(
     "debtor_risk_ranking", lambda spark, sf_dir: D.debtor_risk_ranking(_clean(spark, sf_dir)),
     f"SELECT fac.nama, {_BK} AS total_baki_debet, max(kol)::INT AS worst_kol, {_dec('CASE WHEN kol >= 3 THEN baki END')} AS problem_exposure, sum(is_off)::BIGINT AS written_off_count, count_if(coalesce(rate, 0) > 0.30)::BIGINT AS high_rate_count, any_value(risk_flags) AS risk_flags FROM fac JOIN joined ON fac.nama = joined.nama GROUP BY fac.nama",

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_TYPES = {"STRING": T.StringType(), "INT": T.IntegerType(), "LONG": T.LongType(), "DATE": T.DateType(), "TIMESTAMP_NTZ": T.TimestampNTZType(), "MONEY": T.DecimalType(20, 2)}  # exact to the cent
+
+
+def _schema(text: str) -> T.StructType:
+    """'name TYPE, ...' without a session, which StructType.fromDDL would need."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in text.split(","))])
+
+
 #: A credit facility as it is staged: text as it was read.
-FACILITY = T.StructType.fromDDL(
+FACILITY = _schema(
     "source_file STRING, seq INT, nama STRING, nik_npwp STRING, bank STRING, penggunaan STRING, plafond STRING, baki_debet STRING, kol STRING, "
     "awal STRING, jatuh_tempo STRING, rate STRING, no_laporan STRING, keterangan STRING"
 )
 #: A transaction of a statement.
-TRANSACTION = T.StructType.fromDDL(
-    "source_file STRING, account STRING, tanggal DATE, keterangan STRING, kolom3 STRING, direction STRING, amount DECIMAL(20,2), db DECIMAL(20,2), cr DECIMAL(20,2), "
-    "saldo DECIMAL(20,2), statement_block STRING, source_line INT, source_sequence INT"
+TRANSACTION = _schema(
+    "source_file STRING, account STRING, tanggal DATE, keterangan STRING, kolom3 STRING, direction STRING, amount MONEY, db MONEY, cr MONEY, "
+    "saldo MONEY, statement_block STRING, source_line INT, source_sequence INT"
 )
-ISSUE = T.StructType.fromDDL("source_file STRING, table_name STRING, rule_name STRING, severity STRING, column_name STRING, row_number INT, message STRING")
-LEDGER = T.StructType.fromDDL("job_id STRING, file_name STRING, file_hash STRING, document_type STRING, parser_name STRING, parser_version STRING, status STRING, row_count LONG, processed_at TIMESTAMP_NTZ")
+ISSUE = _schema("source_file STRING, table_name STRING, rule_name STRING, severity STRING, column_name STRING, row_number INT, message STRING")
+LEDGER = _schema("job_id STRING, file_name STRING, file_hash STRING, document_type STRING, parser_name STRING, parser_version STRING, status STRING, row_count LONG, processed_at TIMESTAMP_NTZ")
 #: Other names of columns in older files.
 ALIASES = {"nik_npwp": "nik"}
 

@@ -11,10 +11,15 @@ def binary(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(folder)
 
 
+#: What Windows-1252 has for the bytes 0x80 to 0x9F, of which five are undefined.
+_WINDOWS = {chr(x): bytes([x]).decode("cp1252") for x in range(0x80, 0xA0) if x not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 (without a byte order mark) where the bytes are valid, else Windows-1252, else Latin-1."""
-    utf8 = F.is_valid_utf8(content.cast("string"))
-    text = F.when(utf8, F.decode(content, "UTF-8")).when(F.hex(content).rlike("^(?:..)*(?:81|8D|8F|90|9D)"), F.decode(content, "ISO-8859-1")).otherwise(F.decode(content, "windows-1252"))
+    latin = F.decode(content, "ISO-8859-1")
+    windows = F.when(latin.rlike("[\\x81\\x8d\\x8f\\x90\\x9d]"), latin).otherwise(F.translate(latin, "".join(_WINDOWS), "".join(_WINDOWS.values())))
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(windows)
     return F.regexp_replace(text, "^﻿", "")
 
 
