@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import dashboards as D
-from tallyspark.operators import detect, facilities, quality, reports, schedule, statements
+from tallyspark.operators import accounts, detect, facilities, quality, reports, schedule, statements
 from tallyspark.plans import adapters as A
 from tallyspark.sources import files as sources
 from tallyspark.sources import ledger as L
@@ -263,6 +263,23 @@ _register(
     None,
 )
 
+_register(
+    "account_metadata", lambda spark, sf_dir: accounts.metadata(statements.parse_blocks(statements.classify(A.statement_lines(A.transactions(spark, sf_dir))))).select("source_file", "account", "saldo_awal", "period_start", "period_end", "blocks"),
+    "SELECT DISTINCT source_file, account, 100000::DECIMAL(20,2) AS saldo_awal, DATE '2024-01-01' AS period_start, DATE '2024-01-31' AS period_end, 1::BIGINT AS blocks FROM tx", *_TX,
+)
+_register(
+    "direction_by_balance", lambda spark, sf_dir: accounts.direction_by_balance(A.transactions(spark, sf_dir), ["account"], _ORDER).select("account", "source_sequence", "side"),
+    "SELECT account, source_sequence, CASE WHEN c = -amount THEN 'DB' WHEN c = amount THEN 'CR' END AS side FROM (SELECT *, saldo - lag(saldo) OVER (PARTITION BY account ORDER BY source_sequence) AS c FROM tx)", *_TX,
+)
+_register(
+    "recap_long", lambda spark, sf_dir: accounts.long_recap(statements.mart(A.transactions(spark, sf_dir), ["account"]), ["account"], {"total_db": "MUTASI DB", "total_cr": "MUTASI CR"}),
+    f"SELECT account, unnest(['MUTASI DB', 'MUTASI CR']) AS keterangan, unnest([db, cr]) AS amount FROM (SELECT account, {_dec('db', 2).replace('38', '30')} AS db, {_dec('cr', 2).replace('38', '30')} AS cr FROM tx GROUP BY 1)", *_TX,
+)
+_register(
+    "parse_differences", lambda spark, sf_dir: accounts.compare_rows(tx := A.transactions(spark, sf_dir), tx.withColumn("amount", F.when(F.col("event_id") % 25 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(20,2)")), ["account", "source_sequence"], ["amount", "keterangan"]),
+    "SELECT account, source_sequence, 'amount' AS column, amount::VARCHAR AS a, (amount + 1)::VARCHAR AS b FROM tx WHERE event_id % 25 = 0", *_TX,
+)
+
 # --- files, ledger, scans --------------------------------------------------------------------
 
 _register("incremental_to_parse", lambda spark, sf_dir: L.to_parse(A.files(spark, sf_dir), A.ledger(spark, sf_dir), "report", "core", "1"), "SELECT 'h-' || c_custkey AS file_hash, c_name AS file_name FROM customer WHERE 'h-' || c_custkey NOT IN (SELECT file_hash FROM ledger WHERE status = 'success' AND parser_version = '1')", A.LEDGER_SQL)
@@ -285,3 +302,11 @@ _register("bank_detect", lambda spark, sf_dir: A.table(spark, sf_dir, "documents
 _scan_sql = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS family, len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS findings FROM documents" for k, p in detect.SCAN.items())
 _register("privacy_scan", lambda spark, sf_dir: detect.scan(A.table(spark, sf_dir, "documents"), "doc_id", "text"), f"SELECT doc_id, family, findings::BIGINT AS findings FROM ({_scan_sql}) WHERE findings > 0")
 _register("lineage_roundtrip", lambda spark, sf_dir: sources.without_lineage(sources.with_lineage(A.ledger(spark, sf_dir).select("file_name", "file_hash", "status"), "job-1", "core", "1")), "SELECT file_name, file_hash, status FROM ledger", A.LEDGER_SQL)
+_register(
+    "sheet_names", lambda spark, sf_dir: accounts.unique_names(A.table(spark, sf_dir, "part"), ["p_brand"], "p_type", ["p_partkey"]).select("p_partkey", "sheet"),
+    "SELECT p_partkey, CASE WHEN n = 1 THEN safe ELSE substr(safe, 1, 31 - length('_' || n)) || '_' || n END AS sheet FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(safe) ORDER BY p_partkey) AS n FROM (SELECT *, substr(trim(regexp_replace(p_type, '\\s+', ' ', 'g')), 1, 31) AS safe FROM part))",
+)
+_register(
+    "error_rows", lambda spark, sf_dir: accounts.error_rows(A.ledger(spark, sf_dir).where("status = 'failed'").select("file_name", F.col("status").alias("error")), "job-x", "parse", "ParseError").drop("occurred_at"),
+    "SELECT 'job-x' AS job_id, file_name, 'parse' AS stage, 'ParseError' AS error_type, status AS error_message FROM ledger WHERE status = 'failed'", A.LEDGER_SQL,
+)

@@ -53,3 +53,13 @@ def persist(targets: dict[tuple[str, str], Callable[[], DataFrame]], root: str)
         except Exception as e:  # noqa: BLE001  reported, not swallowed
             errors[layer, name] = str(e)
     return done, errors
+
+
+def cache_write(df: DataFrame, root: str) -> None:
+    """Parsed rows by document type, parser version and file hash; a partition is written anew."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_type", "parser_version", "source_file_hash").parquet(f"{root}/cache")
+
+
+def cache_read(spark: SparkSession, root: str, document_type: str, version: str) -> DataFrame:
+    """What is cached of a type and version; only these partitions are read."""
+    return spark.read.parquet(f"{root}/cache").where(f"document_type = '{document_type}' AND parser_version = '{version}'")
