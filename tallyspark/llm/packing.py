@@ -15,10 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD, text_of
+from tallyspark.llm.common import WORD, checkpoint, text_of
 
 MAX_POINTS = 8192
-GROUP_ROWS = 50_000
+GROUP_ROWS = 2_000
 
 
 def optimal_bounds(lengths: list[int], counts: list[int], n_buckets: int) -> list[int]:
@@ -82,7 +82,8 @@ def pack(docs: DataFrame, token_budget: int = 16_384, n_buckets: int = 16, id_co
     Rows with the same id each keep a slot. An empty table gives an empty table. Only the id and
     the length are read, so other columns may have any names.
     """
-    lens = docs.select(F.col(id_col).alias("_id"), F.coalesce(length if length is not None else word_count(), F.lit(0)).cast("long").alias("_n"))
+    # The texts are read once; ids and lengths are kept in the shared folder for the passes that follow.
+    lens = checkpoint(docs.select(F.col(id_col).alias("_id"), F.coalesce(length if length is not None else word_count(), F.lit(0)).cast("long").alias("_n")))
     longest = lens.agg(F.max("_n")).first()[0] or 0
     step = longest // MAX_POINTS + 1  # 1: the boundaries are exactly optimal; else on a grid of that step
     grid = (F.ceil(F.col("_n") / step) * step).cast("long")
