@@ -111,12 +111,13 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> D
     return got.select("bucket", ratio.cast("double").alias("ratio"), F.lit(buckets).alias("buckets"))
 
 
-def verdicts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def verdicts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     trusted: a table whose first column has the ids of trusted texts. score: the mean ratio, 0 for
     a text without words. base_failed: under MIN_WORDS words, or over MAX_REPEATED_PERCENT of the
-    words in repeated windows of three. kept: not base_failed and score >= threshold.
+    words in repeated windows of three. kept: not base_failed and score >= threshold. also: columns
+    of docs to carry along; numbers, as other types would need a sort to be aggregated.
 
     A null text has no words. Rows are numbered by the scan, so null and repeated ids don't matter;
     a null id is never trusted. Without trusted texts all scores are 0. An empty table gives an
@@ -124,8 +125,8 @@ def verdicts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     """
     table = ratios(docs, trusted, id_col, text_col)
     known = table.select("buckets").first()
-    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *also)
+    names = [*also, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     each = measured(source, "_text").select("_row", "_id", *names, F.explode_outer(grams(F.col("_words"), known[0] if known else MIN_BUCKETS)).alias("bucket"))
     scored = each.join(F.broadcast(table.select("bucket", "ratio")), "bucket", "left")
     summed = scored.groupBy("_row").agg(F.first("_id").alias(id_col), *(F.first(x).alias(x) for x in names), F.round(F.coalesce(F.avg("ratio"), F.lit(0.0)), 9).alias("score"))
@@ -145,10 +146,8 @@ def kept_rows(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     A verdict depends on the text alone, so rejected texts are found again by a key of the text;
     null and repeated ids don't matter. The keys are broadcast only if they are few.
     """
-    keyed = docs.select(F.struct(*text_key(text_col)).alias("_key"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    # The key stands where verdicts() has its id; trusted ids are looked up in docs for that.
-    ids = trusted.select(trusted[trusted.columns[0]].alias("_id")).where("_id IS NOT NULL").distinct()
-    sure = keyed.join(broadcast_if_small(ids), "_id", "left_semi").select("_key")
-    rejected = checkpoint(verdicts(keyed, sure, "_key", "_text", threshold).where("NOT kept").select("_key.*").distinct())
+    keyed = docs.select(*text_key(text_col), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    judged = verdicts(keyed, trusted, "_id", "_text", threshold, also=("_k1", "_k2"))
+    rejected = checkpoint(judged.where("NOT kept").select("_k1", "_k2").distinct())
     own = docs.withColumns(dict(zip(("_k1", "_k2"), text_key(text_col), strict=True)))
     return own.join(broadcast_if_small(rejected), ["_k1", "_k2"], "left_anti").select(*docs.columns)
