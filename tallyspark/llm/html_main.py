@@ -1,11 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of text; what stands in menus, headers, footers,
-asides, forms, notices, adverts, comments, scripts and styles leaves an empty line. The lengths of
-WINDOW lines are summed at each line. A region of text begins where that sum surges from nothing and
-ends where it dives to nothing; link-only lines at its ends are cut off. The region with most text
-is kept whole. Where a page marks its text (article, main), only lines inside the mark count, and
-empty lines inside it don't part a region.
+asides, forms, notices, adverts, comments, scripts and styles leaves an empty line, and so does the
+edge of a marked part (article, main). The lengths of WINDOW lines are summed at each line. A region
+of text begins where that sum surges from nothing and ends where it dives to nothing. The
+region with most text outside links is kept; link-only lines at its ends are cut off. Marks are a hint: if the regions inside marks have at least as much text as any
+region outside them has outside links, they are the main text, with their link-only lines.
 
 Scale: a page is a row; there is no shuffle.
 """
@@ -138,45 +138,50 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
     return lines
 
 
-def main_text(page: str) -> str:
-    """The main text: blocks joined by a line feed; empty if there is none."""
-    lines = lines_of(page)
-    totals: dict[int, int] = {}
-    for text, _, mark in lines:
-        if mark and text:
-            totals[mark] = totals.get(mark, 0) + len(text)
-    if totals:  # the marked part with most text, the first of equals
-        best = max(totals, key=lambda k: (totals[k], -k))
-        return "\n".join(text for text, _, mark in lines if mark == best and text)
-
-    blocks: list[tuple[str, bool]] = []
-    for text, linked, _ in lines:  # an empty line that boilerplate left is as wide as the window
-        blocks += [(text, linked)] if text else [("", True)] * WINDOW
-    sums, total = [], 0
-    for i, (text, _) in enumerate(blocks):
-        total += len(text) - (len(blocks[i - WINDOW][0]) if i >= WINDOW else 0)
-        sums.append(total)
-    regions, surge = [], None
-    for i, size in enumerate([*sums, 0]):
-        if size and surge is None:
+def regions_of(lines: list[tuple[str, bool, int]]) -> list[tuple[int, list[tuple[str, bool]]]]:
+    """(mark, lines) of each region: from where the sum of WINDOW lines surges from nothing to where it dives to nothing."""
+    blocks: list[tuple[str, bool, int]] = []
+    for k, (text, linked, mark) in enumerate(lines):  # an empty line that boilerplate or the edge of a mark left is as wide as the window
+        if not text or k and mark != lines[k - 1][2]:
+            blocks += [("", True, mark)] * WINDOW
+        if text:
+            blocks.append((text, linked, mark))
+    regions, surge, total = [], None, 0
+    for i in range(len(blocks) + 1):
+        if i < len(blocks):
+            total += len(blocks[i][0]) - (len(blocks[i - WINDOW][0]) if i >= WINDOW else 0)
+        if i < len(blocks) and total and surge is None:
             surge = i
-        elif not size and surge is not None:
-            first, dive = surge, i
-            while first < dive and blocks[first][1]:
-                first += 1
-            while dive > first and blocks[dive - 1][1]:
-                dive -= 1
-            regions.append([text for text, _ in blocks[first:dive] if text])
+        elif surge is not None and (i == len(blocks) or not total):
+            regions.append((blocks[surge][2], [(text, linked) for text, linked, _ in blocks[surge:i] if text]))
             surge = None
-    return "\n".join(max(regions, key=lambda r: sum(map(len, r)), default=[]))
+    return regions
+
+
+def main_text(page: str) -> str:
+    """The main text: blocks joined by a line feed; empty if there is none."""
+    regions = regions_of(lines_of(page))
+    plain = [sum(len(text) for text, linked in region if not linked) for _, region in regions]
+    marked = sum(len(text) for mark, region in regions if mark for text, _ in region)
+    if marked and marked >= max((n for n, (mark, _) in zip(plain, regions, strict=True) if not mark), default=0):
+        totals: dict[int, int] = {}
+        for mark, region in regions:
+            totals[mark] = totals.get(mark, 0) + sum(len(text) for text, _ in region)
+        best = max((k for k in totals if k), key=lambda k: (totals[k], -k))
+        return "\n".join(text for mark, region in regions if mark == best for text, _ in region)
+    main = regions[max(range(len(plain)), key=lambda k: (plain[k], -k))][1] if any(plain) else []  # the first of equals
+    while main and main[0][1]:
+        main.pop(0)
+    while main and main[-1][1]:
+        main.pop()
+    return "\n".join(text for text, _ in main)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: id, url, text (empty if none), n_chars (its code points).
 
     A null html is empty. A null id or url stays null. Equal rows each give a row. Pages of any
-    length are read whole. Of regions with equally much text the first is kept. Other columns are
-    not read. An empty table gives an empty table.
+    length are read whole. Other columns are not read. An empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -324,3 +324,11 @@ def test_main_text(spark):
     expected[None, "u", PAGES[0][1], len(PAGES[0][1])] += 1
     assert Counter(tuple(r) for r in got) == expected
     assert html_main.extract(df.where("1 = 0")).count() == 0
+
+
+def test_regions_are_found_on_marked_pages():
+    """A teaser in an article tag doesn't hide the longer text beside it; a menu without a class outside the mark is no region."""
+    text = "This is the text that the page is about. " * 3
+    assert html_main.main_text(f"<article>Teaser</article><div><p>{text}</p><p>More.</p></div>") == f"{text.strip()}\nMore."
+    assert html_main.main_text(f"<div><a href=/>A</a></div><article><p>{text}</p><p><a href=/b>link</a></p></article><p>small print</p>") == f"{text.strip()}\nlink"
+    assert [mark for mark, _ in html_main.regions_of(html_main.lines_of("<p>a</p><article><p>b</p><aside>c</aside><p>d</p></article><p>e</p>"))] == [0, 1, 1, 0]
