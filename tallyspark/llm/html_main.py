@@ -3,8 +3,9 @@
 Markup is stripped into lines, one for each block of text; what stands in menus, headers, footers,
 asides, forms, notices, adverts, comments, scripts and styles leaves an empty line, and so does the
 edge of a marked part (article, main). The lengths of WINDOW lines are summed at each line. A region
-of text begins where that sum surges from nothing and ends where it dives to nothing. The
-region with most text outside links is kept; link-only lines at its ends are cut off. Marks are a hint: if the regions inside marks have at least as much text as any
+of text begins where that sum surges from nothing and ends where it dives to nothing. As only removed
+boilerplate parts regions, all those that have text outside links are joined; link-only lines at the
+two ends are cut off. Marks are a hint: if the regions inside marks have at least as much text as any
 region outside them has outside links, they are the main text, with their link-only lines.
 
 Scale: a page is a row; there is no shuffle.
@@ -164,12 +165,8 @@ def main_text(page: str) -> str:
     plain = [sum(len(text) for text, linked in region if not linked) for _, region in regions]
     marked = sum(len(text) for mark, region in regions if mark for text, _ in region)
     if marked and marked >= max((n for n, (mark, _) in zip(plain, regions, strict=True) if not mark), default=0):
-        totals: dict[int, int] = {}
-        for mark, region in regions:
-            totals[mark] = totals.get(mark, 0) + sum(len(text) for text, _ in region)
-        best = max((k for k in totals if k), key=lambda k: (totals[k], -k))
-        return "\n".join(text for mark, region in regions if mark == best for text, _ in region)
-    main = regions[max(range(len(plain)), key=lambda k: (plain[k], -k))][1] if any(plain) else []  # the first of equals
+        return "\n".join(text for mark, region in regions if mark for text, _ in region)
+    main = [line for n, (_, region) in zip(plain, regions, strict=True) if n for line in region]
     while main and main[0][1]:
         main.pop(0)
     while main and main[-1][1]:

@@ -329,6 +329,12 @@ def test_main_text(spark):
 def test_regions_are_found_on_marked_pages():
     """A teaser in an article tag doesn't hide the longer text beside it; a menu without a class outside the mark is no region."""
     text = "This is the text that the page is about. " * 3
-    assert html_main.main_text(f"<article>Teaser</article><div><p>{text}</p><p>More.</p></div>") == f"{text.strip()}\nMore."
+    assert html_main.main_text(f"<article>Teaser</article><div><p>{text}</p><p>More.</p></div>") == f"Teaser\n{text.strip()}\nMore."
     assert html_main.main_text(f"<div><a href=/>A</a></div><article><p>{text}</p><p><a href=/b>link</a></p></article><p>small print</p>") == f"{text.strip()}\nlink"
     assert [mark for mark, _ in html_main.regions_of(html_main.lines_of("<p>a</p><article><p>b</p><aside>c</aside><p>d</p></article><p>e</p>"))] == [0, 1, 1, 0]
+
+
+def test_parts_of_the_text_round_boilerplate_are_joined():
+    assert html_main.main_text("<div><p>part one</p><div class=ad>x</div><p>part two, longer</p></div>") == "part one\npart two, longer"
+    assert html_main.main_text("<p>a</p><p><a href=/>see</a></p><form>f</form><div><a href=/x>menu</a></div><aside>s</aside><p>b</p><p><a href=/y>end</a></p>") == "a\nsee\nb"
+    assert html_main.main_text("<article>one</article><article>two, longer</article><article>three</article>") == "one\ntwo, longer\nthree"
