@@ -3,8 +3,8 @@
 A dynamic programme over the global histogram of lengths picks the bucket boundaries that minimise
 padding. Each bucket is then cut into batches of at most ``token_budget`` padded tokens.
 
-Scale: the driver gets one histogram of at most ``MAX_POINTS`` rows. A document's place in its
-bucket is a prefix sum over groups of (length, salt) plus its rank in the group. A length that many
+Scale: the driver gets one histogram with a row for each distinct length. d distinct lengths take at
+least d^2 / 2 words, so 5e9 words have at most 100,000 of them. A document's place in its bucket is a prefix sum over groups of (length, salt) plus its rank in the group. A length that many
 documents share gets more salts, so no group has much over ``GROUP_ROWS`` rows, however many copies
 there are. Texts are never shuffled.
 """
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import WORD, checkpoint, text_of
 
-MAX_POINTS = 8192
 GROUP_ROWS = 2_000
 
 
@@ -84,21 +83,18 @@ def pack(docs: DataFrame, token_budget: int = 16_384, n_buckets: int = 16, id_co
     """
     # The texts are read once; ids and lengths are kept in the shared folder for the passes that follow.
     lens = checkpoint(docs.select(F.col(id_col).alias("_id"), F.coalesce(length if length is not None else word_count(), F.lit(0)).cast("long").alias("_n")))
-    longest = lens.agg(F.max("_n")).first()[0] or 0
-    step = longest // MAX_POINTS + 1  # 1: the boundaries are exactly optimal; else on a grid of that step
-    grid = (F.ceil(F.col("_n") / step) * step).cast("long")
-    histogram = sorted(lens.groupBy(grid.alias("g")).count().collect())
+    histogram = sorted(lens.groupBy("_n").count().collect())
     bounds = optimal_bounds([g for g, _ in histogram], [n for _, n in histogram], n_buckets)
     of = np.searchsorted(bounds, [g for g, _ in histogram]) if bounds else []
     plan = [(int(g), int(b), int(bounds[b]), n // GROUP_ROWS + 1) for (g, n), b in zip(histogram, of, strict=True)]
-    buckets = docs.sparkSession.createDataFrame(plan, "_g long, bucket int, bucket_len long, _salts long")  # at most MAX_POINTS + 1 rows
-
-    rows = lens.withColumn("_g", grid).join(F.broadcast(buckets), "_g").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")))
-    groups = rows.groupBy("bucket", "_g", "_salt").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy("bucket").orderBy("_g", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select("_g", "_salt", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_g", "_salt").orderBy("_n", F.col("_id").asc_nulls_first())
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(starts, ["_g", "_salt"])
+    buckets = docs.sparkSession.createDataFrame(plan, "_n long, bucket int, bucket_len long, _salts long")  # one row for each distinct length
+
+    rows = lens.join(F.broadcast(buckets), "_n").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")))
+    groups = rows.groupBy("bucket", "_n", "_salt").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("bucket").orderBy("_n", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.select("_n", "_salt", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_n", "_salt").orderBy(F.col("_id").asc_nulls_first())
+    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(starts, ["_n", "_salt"])
     capacity = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
     place = F.col("_start") + F.col("_rank")
     return ranked.select(F.col("_id").alias(id_col), F.col("_n").alias("n_tokens"), "bucket", "bucket_len", F.floor(place / capacity).cast("long").alias("batch"), (place % capacity).cast("long").alias("slot"))

@@ -48,6 +48,15 @@ def test_packing_keeps_every_row_within_the_budget(spark, monkeypatch):
     assert packing.pack(table(spark, [(1, "x")]).where("1 = 0")).count() == 0
 
 
+def test_packing_is_optimal_with_a_very_long_text(spark):
+    lengths = [1, 2, 3, 5, 8, 9, 30, 31, 1_000_000]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    got = packing.pack(docs, n_buckets=4, length=F.col("n")).collect()
+    bounds = packing.optimal_bounds(lengths, [1] * len(lengths), 4)
+    assert sorted({r.bucket_len for r in got}) == bounds and set(bounds) <= set(lengths)
+    assert all(r.bucket_len == min(b for b in bounds if b >= r.n_tokens) for r in got) and len(got) == len(lengths)
+
+
 def test_quality_measures(spark):
     random.seed(3)
     words = ["a", "b", "c", "d#", "é$$", "\\n"]
