@@ -34,11 +34,12 @@ IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d
 CARD = r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CLOUD_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<!\p{L})(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Ss]ecret|[Tt]oken|[Pp]ass(?:word|wd)|[Pp]wd)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+-]{8,}"
+SECRET_WORD = r"(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Ss]ecret|[Tt]oken|[Pp]ass(?:word|wd)|[Pp]wd)\s{0,2}[=:]"
+SECRET = rf"(?<!\p{{L}}){SECRET_WORD}\s{{0,2}}[\"']?[A-Za-z0-9_/+-]{{8,}}"
 PERSON = rf"(?<!\p{{L}})(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 ENTITY = "|".join([EMAIL, CLOUD_KEY, SECRET, SSN, PHONE, CARD, IP, PERSON])
 #: Where none of these stands there is no entity.
-HINT = rf"[0-9@]|(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|{SECRET_WORD}|(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}"
 
 GIVEN = {
     "latin-m": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Noah Oskar Paul Robert Simon Thomas Viktor",
