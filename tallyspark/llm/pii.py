@@ -144,11 +144,14 @@ def surrogate_of(kind: Column, form: Column, attempt: Column, key: str) -> Colum
     def name(s: Column) -> Column:
         script = F.when(form.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
         syllable = lambda at: F.get(F.split(F.when(script == "cyrillic", SYLLABLES["cyrillic"]).otherwise(SYLLABLES["latin"]), " "), (_number(s, at) % 16).cast("int"))
-        family = F.concat(*(syllable(i) for i in range(4)))
+        # Names grow by a syllable every second attempt, so there are enough of them for any number of entities.
+        syllables = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), n), syllable), "")
+        more = F.floor(attempt / 2).cast("int")
+        family = F.concat(*(syllable(i) for i in range(4)), F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(4), 3 + more), syllable), "")).otherwise(""))
         lists = reduce(lambda c, x: c.when(F.concat(script, F.lit("-"), F.substring(kind, -1, 1)) == x, GIVEN[x].lower()), GIVEN, F.when(F.lit(False), ""))
-        # A list of given names is short: those after the first attempts get a syllable more, which keeps them apart.
+        # A list of given names is short: those after the first attempt get two syllables, later ones more, which keeps them apart.
         given = let(F.split(lists, " "), lambda x: F.get(x, (_number(s, 0) % F.size(x)).cast("int")))
-        return F.when(kind == "family", family).otherwise(F.concat(given, F.when(attempt > 0, F.concat(F.lit("-"), syllable(1), syllable(2))).otherwise("")))
+        return F.when(kind == "family", family).otherwise(F.concat(given, F.when(attempt > 0, F.concat(F.lit("-"), syllables(2 + F.floor((attempt - 1) / 2).cast("int")))).otherwise("")))
 
     def phone(s: Column) -> Column:
         head = F.when(F.length(form) > 10, F.substring(form, 1, 1)).otherwise("")

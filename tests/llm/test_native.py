@@ -165,3 +165,15 @@ def test_every_entity_has_a_hint(spark):
     got = {r.doc_id: r for r in pii.pseudonymise(table(spark, list(enumerate(texts))), key="k").collect()}
     assert all(got[i].n_pii == 1 and got[i].text != x for i, x in enumerate(texts))
     assert re.fullmatch("password: [a-z]{12}", got[0].text) and re.fullmatch("so token=[a-z]{10}", got[1].text) and re.fullmatch("AKIA[A-Z]{16}", got[4].text)
+
+
+def test_names_grow_until_all_differ(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": " ".join(["bal", "ber"] * 8), "cyrillic": " ".join(["бал", "бер"] * 8)})  # 16 family names of four syllables
+    monkeypatch.setattr(pii, "GIVEN", {k: "Adam" for k in pii.GIVEN})  # with four endings of two syllables
+    letters = [a + b for a in "abcdefgh" for b in "vwxyz"]
+    docs = table(spark, [(i, f"Mr. Jo{x} Smi{x}") for i, x in enumerate(letters)])
+    got = pii.assigned(docs, "k").collect()
+    for kind in ("family", "given-m"):
+        cores = [r.core for r in got if r.kind == kind]
+        assert len(cores) == len(set(cores)) == len(letters)
+    assert all(re.fullmatch(r"(ba|be)[a-z]+", r.core) for r in got if r.kind == "family")
