@@ -7,8 +7,9 @@ rules, are rejected; the verdict on a text depends on nothing but the text and t
 
 Only DataFrame functions are used. Scale: counting and scoring each read the texts once and explode
 them inside a stage; what is shuffled is one row per bucket and task, then one row per document. The
-table of ratios has one row per bucket: their number grows with the corpus up to MAX_BUCKETS, so it
-can be broadcast whatever the input's size. The trusted ids are broadcast only if they are few.
+table of ratios has one row per bucket; their number grows with the corpus. It is broadcast only up to
+BROADCAST_BUCKETS; beyond, each text's buckets are counted inside its row and joined by shuffle, one
+row per text and distinct bucket. The trusted ids are broadcast only if they are few.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyspark.llm.common import broadcast_if_small, checkpoint, text_of
 
@@ -28,7 +30,9 @@ MAX_REPEATED_PERCENT = 50
 #: A document is kept if the mean log-likelihood ratio of its n-grams is at least this.
 THRESHOLD = -0.07
 BYTES_PER_BUCKET = 8192
-MIN_BUCKETS, MAX_BUCKETS = 1 << 14, 1 << 20
+MIN_BUCKETS = 1 << 14
+#: The table of ratios is broadcast up to so many rows.
+BROADCAST_BUCKETS = 1 << 20
 #: Pseudo-count of each bucket, in n-grams of trusted texts.
 SMOOTHING = 4.0
 
@@ -92,11 +96,22 @@ def grams(words: Column, buckets: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 2, single(w)).otherwise(F.concat(single(w), pair(w))))
 
 
+def buckets_for(n_bytes: int) -> int:
+    return max(MIN_BUCKETS, 1 << math.ceil(math.log2(max(1, n_bytes / BYTES_PER_BUCKET))))
+
+
+def counted(buckets: Column) -> Column:
+    """Array of (bucket, n) for the distinct ones of an array of buckets."""
+    firsts = lambda z: F.filter(F.transform(z, lambda x, i: F.struct(x.alias("bucket"), i.alias("i"))), lambda f: (f["i"] == 0) | (f["bucket"] != F.get(z, f["i"] - 1)))
+    sized = lambda z, f: F.transform(f, lambda x, k: F.struct(x["bucket"].alias("bucket"), (F.coalesce(F.get(f, k + 1)["i"], F.size(z)) - x["i"]).cast("long").alias("n")))
+    return let(F.sort_array(buckets), lambda z: let(firsts(z), lambda f: sized(z, f)))
+
+
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """bucket, ratio for all buckets that occur; trusted: one column of ids. One row per bucket, at most MAX_BUCKETS."""
+    """bucket, ratio for all buckets that occur; trusted: one column of ids. One row per bucket."""
     source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     n_bytes = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << math.ceil(math.log2(max(1, n_bytes / BYTES_PER_BUCKET)))))
+    buckets = buckets_for(n_bytes)
     ids = trusted.select(trusted[trusted.columns[0]].alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
     marked = source.join(broadcast_if_small(ids), "_id", "left")
     each = marked.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(grams(words_of(F.col("_text")), buckets)).alias("bucket"))
@@ -111,6 +126,10 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> D
     return got.select("bucket", ratio.cast("double").alias("ratio"), F.lit(buckets).alias("buckets"))
 
 
+def own_type(df: DataFrame, names: list[str]) -> StructType:
+    return df.select(*names).schema
+
+
 def verdicts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
@@ -127,9 +146,19 @@ def verdicts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     known = table.select("buckets").first()
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *also)
     names = [*also, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    each = measured(source, "_text").select("_row", "_id", *names, F.explode_outer(grams(F.col("_words"), known[0] if known else MIN_BUCKETS)).alias("bucket"))
-    scored = each.join(F.broadcast(table.select("bucket", "ratio")), "bucket", "left")
-    summed = scored.groupBy("_row").agg(F.first("_id").alias(id_col), *(F.first(x).alias(x) for x in names), F.round(F.coalesce(F.avg("ratio"), F.lit(0.0)), 9).alias("score"))
+    buckets, average = known[0] if known else MIN_BUCKETS, F.avg("ratio")
+    if buckets <= BROADCAST_BUCKETS:
+        each = measured(source, "_text").select("_row", "_id", *names, F.explode_outer(grams(F.col("_words"), buckets)).alias("bucket"))
+        scored = each.join(F.broadcast(table.select("bucket", "ratio")), "bucket", "left")
+        first = F.first
+    else:
+        # One row of each text has its measures and no n-gram; its bucket matches none and is dealt evenly.
+        own = F.struct((-1 - F.pmod(F.xxhash64("_row"), F.lit(buckets))).alias("bucket"), F.lit(0).cast("long").alias("n"), F.struct("_id", *names).alias("own"))
+        pairs = F.transform(counted(grams(F.col("_words"), buckets)), lambda x: F.struct(x["bucket"].alias("bucket"), x["n"].alias("n"), F.lit(None).cast(own_type(measured(source, "_text"), ["_id", *names])).alias("own")))
+        each = measured(source, "_text").select("_row", F.explode(F.concat(F.array(own), pairs)).alias("x")).select("_row", "x.bucket", "x.n", "x.own.*")
+        scored = each.join(table.select("bucket", "ratio").hint("merge"), "bucket", "left")
+        first, average = lambda x: F.first(x, ignorenulls=True), F.try_divide(F.sum(F.col("ratio") * F.col("n")), F.sum("n"))
+    summed = scored.groupBy("_row").agg(first("_id").alias(id_col), *(first(x).alias(x) for x in names), F.round(F.coalesce(average, F.lit(0.0)), 9).alias("score"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return summed.drop("_row").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 

@@ -97,6 +97,19 @@ def test_quality_score_is_the_mean_ratio(spark):
     assert got[0] > 0 > got[100]
 
 
+def test_quality_buckets_grow_without_a_cap_and_are_joined_by_shuffle(spark, monkeypatch):
+    assert [quality.buckets_for(n) for n in (0, 1 << 30, 1 << 33, 30 * 10**9, 1 << 40)] == [1 << 14, 1 << 17, 1 << 20, 1 << 22, 1 << 27]
+    random.seed(4)
+    rows = [(i, " ".join(random.choices(["a", "b", "c", f"d{i}"], k=random.randint(0, 80)))) for i in range(40)] + [(None, None), (None, "x"), (3, "a a a b"), (3, "a a a b")]
+    docs = table(spark, rows)
+    trusted = docs.select("doc_id").where("doc_id < 9")
+    values = lambda: Counter(tuple(r) for r in quality.verdicts(docs, trusted).withColumn("score", F.round("score", 7)).collect())
+    expected = values()
+    monkeypatch.setattr(quality, "BROADCAST_BUCKETS", 1)
+    assert values() == expected and len(expected) > 40
+    assert quality.verdicts(docs.where("1 = 0"), trusted).count() == 0
+
+
 def test_quality_stage_keeps_what_verdicts_keep(spark, monkeypatch):
     good, bad = " ".join(f"w{i % 40} v{i % 7}" for i in range(200)), " ".join(f"j{i}$$" for i in range(150)) + " x"
     rows = [(1, good), (None, good), (2, bad), (3, "short"), (4, None), (1, bad)]
