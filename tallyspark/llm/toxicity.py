@@ -42,8 +42,10 @@ MAX_TERMS, MAX_VETOES = 2048, 20_000
 PREDICT = 0.7
 WINDOW = 6
 CACHE = 400_000
+STATES = 50_000
 _WORD = re.compile(r"[^\W_]+")
-_LEET = str.maketrans("013457", "oieast")
+_SPELT = re.compile(r"(?:[^\W_]|[$@])+")  # words and the symbols that stand for letters
+_LEET = str.maketrans("013457$@", "oieastsa")
 #: Weights of the score before learning: bias, sum of the hits, their share of the words.
 PRIOR = np.array([-3.5, 2.5, 1.0])
 
@@ -60,9 +62,10 @@ def edits_allowed(term: str, stem: bool) -> int:
 
 
 class Machine:
-    """The automaton run together with the trie. A term's first letter must be right."""
+    """The automaton run together with the trie. first: whether a term's first letter may be wrong too."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
+    def __init__(self, terms: list[tuple[str, bool, float]], first: bool = False) -> None:
+        self.first = first
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, bool, int]]] = [[]]  # of each node: (term, stem, edits allowed)
         self.allowed = [0]  # of each node: most edits of any term below it
@@ -77,6 +80,12 @@ class Machine:
                 node = self.children[node][c]
                 self.allowed[node] = max(self.allowed[node], k)
             self.ends[node].append((t, stem, k))
+        if first:
+            self.allowed[0] = max(self.allowed)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget the states that were met; they are found again when needed."""
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple[tuple[int, int], ...], int] = {}
         self.moves: list[dict[str, int]] = []
@@ -88,7 +97,7 @@ class Machine:
         todo = list(edits.items())
         while todo:  # letters of the term that the word leaves out
             node, e = todo.pop()
-            if node and edits.get(node) == e:
+            if (node or self.first) and edits.get(node) == e:
                 for child in self.children[node].values():
                     if e + 1 <= self.allowed[child] and edits.get(child, 99) > e + 1:
                         edits[child] = e + 1
@@ -113,18 +122,20 @@ class Machine:
                 edits[node] = e
 
         for node, e in self.states[state]:
-            if node:
+            if node or self.first:
                 reach(node, e + 1)  # a letter too many
             for letter, child in self.children[node].items():
                 if letter == c:
                     reach(child, e)
-                elif node:
+                elif node or self.first:
                     reach(child, e + 1)  # a wrong letter
         to = self.moves[state][c] = self._state(edits)
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the nearest term, or None; a stem matches a word that begins like it."""
+        if len(self.states) > STATES:
+            self._clear()
         state, best, moves = self.start, None, self.moves
         for c in word:
             to = moves[state].get(c)
@@ -160,16 +171,17 @@ class _Matches(dict):
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self.model, self.matches = model, _Matches(Machine(model.terms), model.vetoes)
+        self.model, self.matches = model, _Matches(Machine(model.terms, first=True), model.vetoes)
 
     def hits(self, text: str) -> tuple[int, list[tuple[str, int, int, float]]]:
         """Words of the text; (word, edits, term, weight of its context) of each hit, under 0.5: quotation."""
         low = text.lower()
-        words = _WORD.findall(low)
+        spans = self._spans(low) if "$" in low or "@" in low else None
+        words = [low[a:b] for a, b in spans] if spans is not None else _WORD.findall(low)
         found = [i for i, x in enumerate(map(self.matches.__getitem__, words)) if x is not None]
         if not found:
             return len(words), []
-        spans = [m.span() for m in _WORD.finditer(low)]
+        spans = spans if spans is not None else [m.span() for m in _WORD.finditer(low)]
         out = []
         for i in found:
             edits, term = self.matches[words[i]]
@@ -178,6 +190,18 @@ class Scorer:
             out.append((words[i], edits, term, weight))
         return len(words), out
 
+    def _spans(self, text: str) -> list[tuple[int, int]]:
+        """Where words stand; $ and @ are letters of a word that is a term with them and has no term without."""
+        spans = []
+        for m in _SPELT.finditer(text):
+            parts = [x.span() for x in _WORD.finditer(text, *m.span())]
+            symbols = len(parts) != 1 or parts[0] != m.span()
+            if symbols and any(map(str.isalpha, m[0])) and all(self.matches[text[a:b]] is None for a, b in parts) and self.matches[m[0]] is not None:
+                spans.append(m.span())
+            else:
+                spans += parts
+        return spans
+
     @staticmethod
     def _quoted(text: str, start: int, end: int) -> bool:
         """Whether quotation marks of the same line enclose the place."""

@@ -78,6 +78,25 @@ def test_machine_equals_brute_force():
             assert machine.match(word) == min(near, default=None)
 
 
+def test_machine_allows_edits_at_the_first_letter(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 60)
+    random.seed(6)
+    for _ in range(80):
+        terms = [("".join(random.choices("abc", k=random.randint(3, 10))), random.random() < 0.4, 1.0) for _ in range(4)]
+        machine = toxicity.Machine(terms, first=True)
+        for _ in range(30):
+            word = "".join(random.choices("abc", k=random.randint(1, 12)))
+            near = [(e, i) for i, (t, stem, _) in enumerate(terms) if (e := distance(t, word, stem)) <= toxicity.edits_allowed(t, stem)]
+            assert machine.match(word) == min(near, default=None)
+
+
+def test_first_letters_and_symbols_are_read():
+    scorer = toxicity.Scorer(toxicity.Model(toxicity.choose_terms([], 0, 0)))
+    for word in ("xidiot", "diot", "ztupid", "$tupid", "@sshole", "a$$hole", "$cum"):
+        assert [e for _, e, _, _ in scorer.hits(f"oh {word} you")[1]] == [1], word
+    assert scorer.hits("mail jo@home.org for $50 or 5$")[1] == [] and scorer.hits("mail jo@home.org")[0] == 4
+
+
 def test_toxicity_held_out_accuracy(spark):
     random.seed(7)
     plain = ["".join(random.choices("aeioulmnrst", k=random.randint(3, 8))) for _ in range(300)]
