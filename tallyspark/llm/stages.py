@@ -15,7 +15,7 @@ from tallyspark.llm import packing as packing_op
 from tallyspark.llm import pii as pii_op
 from tallyspark.llm import quality as quality_op
 from tallyspark.llm import simhash, toxicity
-from tallyspark.llm.common import broadcast_if_small, checkpoint, checkpoint_dir, table
+from tallyspark.llm.common import broadcast_if_small, checkpoint, checkpoint_dir, table, text_of
 
 Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 
@@ -38,12 +38,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = simhash.near_duplicates(docs)
     dropped = checkpoint(classes.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti").select(*docs.columns)
     repeated = checkpoint(classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept
     again = broadcast_if_small(repeated)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).distinct())
+    # Rows of one id may be in several classes: each is judged by its own fingerprint.
+    rows = docs.join(again, "doc_id", "left_semi").select(*docs.columns).distinct().withColumn("_k", F.xxhash64(text_of()))
+    prints = simhash.fingerprints(rows.select("_k", "text").distinct(), "_k").select(F.col("_id").alias("_k"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")).distinct()
+    first = classes.where("doc_id = component_id").select("doc_id", "fingerprint").distinct()
+    own = rows.join(prints, "_k").join(first, ["doc_id", "fingerprint"], "left_semi").select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(own)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,3 +120,11 @@ def test_empty_documents(spark, tmp_path):
     none = spark.read.parquet(f"{tmp_path}/documents.parquet").where("1 = 0")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_a_repeated_id_loses_only_its_rows_of_other_classes(spark, tmp_path):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(2, words("b")), (5, words("b")), (5, words("a")), (6, words("a")), (7, words("c")), (7, words("c"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.stages.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(2, words("b")), (5, words("a")), (7, words("c"))])
