@@ -273,9 +273,20 @@ def test_bpe_equals_tiktoken(spark, monkeypatch):
     back = Counter((r.doc_id, bytes(r.bytes)) for r in bpe.decode(encoded).collect())
     assert back == Counter((i, (t or "").encode()) for i, t in rows)
     assert bpe.digests(docs.where("1 = 0")).count() == 0
+
+
+def test_bpe_of_very_long_pieces_equals_the_library(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 1 << 16)
+    monkeypatch.setattr(bpe, "SEGMENT", 1 << 11)
     own = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    for text in ("abcabd" * 30, "  x" * 50, "zyzzyva" * 20):  # the heap and the recursive query agree
-        assert own.merge([text.encode()])[0].tolist() == own.merge_long(text.encode())
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    random.seed(12)
+    texts = ["the" * 4000, "a" * 9001, "-" * 5000, " " * 3000, "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "".join(random.choices(["ation", "the", "house", "er", "information"], k=900))]
+    texts += ["".join(chr(random.randrange(0x4E00, 0x9FA5)) for _ in range(5000)), *("".join(random.choices("aabbcde- =eth", k=random.randint(1, 700))) for _ in range(40))]
+    tokens, offsets = own.encode(texts)
+    for i, text in enumerate(texts):
+        assert tokens[offsets[i] : offsets[i + 1]].tolist() == reference.encode_ordinary(text)
+    assert own.decode(tokens, offsets) == [x.encode() for x in texts]
 
 
 # --- 8 ---------------------------------------------------------------------------------------
