@@ -276,6 +276,9 @@ def test_bpe_equals_tiktoken(spark, monkeypatch):
 
 
 def test_bpe_of_very_long_pieces_equals_the_library(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
     monkeypatch.setattr(bpe, "STATES", 1 << 16)
     monkeypatch.setattr(bpe, "SEGMENT", 1 << 11)
     own = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
