@@ -2,9 +2,12 @@
 
 Every rolling pair of words of every text is hashed and joined, by Spark, to the positions of the
 same pairs in the templates. A hit at word p of a text and word q of a template votes for the
-diagonal p - q. Votes are summed by diagonal; diagonals at most ``MERGE`` words apart (insertions
-and deletions) are merged; a merged span counts if it covers enough of its template, and a base
-phrase counts at each diagonal where all of its pairs stand.
+diagonal p - q. Votes are summed by diagonal; a diagonal with more votes than its neighbours (at
+most ``REACH`` words of insertions or deletions away) takes their hits over. Such a span is then
+verified: only the longest chain of its hits counts in which the words of text and template both
+go forward. It lies within the template's length and REACH words at both ends, and it is a licence
+if the chain covers enough of the template. A base phrase counts at each diagonal where all of its
+pairs stand.
 
 Scale: the templates are a fixed table, so their side is broadcast. Pairs that don't match end in
 the join, before any shuffle; the shuffle has one row per document plus its hits. Nothing is grouped
@@ -13,10 +16,12 @@ by word or by template alone, so frequent words and passages make no hot key.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,11 +50,39 @@ TEMPLATES = [
     ("cc-license", "licensed under a creative commons attribution license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("no-warranty", "the software is provided as is without warranty of any kind express or implied"),
-]
+    (
+        "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    (
+        "bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    (
+        "apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce "
+        "prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    ),
+    ("gnu-gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gnu-gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gnu-gpl", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works by contrast the gnu general public license is intended to guarantee your freedom to share and change all versions of a program"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    (
+        "zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    ),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+]
 #: A pair of these words only is no vote.
 STOP = frozenset("a an and any are as at be by for from in is it of on or that the this to under was with you".split())
 COVER = 0.7
-MERGE = 3
+REACH = 6
 CHUNK = 1 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -124,14 +157,44 @@ def template_pairs(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return spark.createDataFrame(rows, "h long, t int, q long, label string, base boolean, n int")
 
 
+def chain(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of hits (p, q) in which both grow; of equally long ones the one that ends first."""
+    best: list[int] = []  # of each length the least q that ends a run
+    at: list[int] = []
+    back: list[int] = []
+    hits = sorted(hits, key=lambda x: (x[0], -x[1]))
+    for i, (_, q) in enumerate(hits):
+        k = bisect.bisect_left(best, q)
+        back.append(at[k - 1] if k else -1)
+        if k == len(best):
+            best.append(q)
+            at.append(i)
+        else:
+            best[k], at[k] = q, i
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(hits[i])
+        i = back[i]
+    return out[::-1]
+
+
+def _verified(spans: pd.Series) -> pd.DataFrame:
+    """Hits, first and last word of each span's chain; spans: arrays of (p, q), or null."""
+    rows = []
+    for span in spans:
+        run = [] if span is None else chain([(x["p"], x["q"]) for x in span])
+        rows.append((len(run), run[0][0], run[-1][0] + 2) if run else (0, None, None))
+    return pd.DataFrame(rows, columns=["hits", "first", "last"]).astype({"hits": "int32", "first": "Int64", "last": "Int64"})
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     n_base: places of base phrases; first_word, last_word: their smallest and largest start (null
     if none). base_labels, labels: distinct, sorted, comma-joined ('' if none); labels has those of
     the base and of the templates. score: the largest covered share of a template or base phrase
-    among the labels found, else 0. spans: (label, first word, last word, covered share) of each
-    span found, sorted.
+    among the labels found, else 0. spans: (label, first word, word after the last, covered share)
+    of each span found, sorted.
 
     A null or empty text has no words and no labels. Equal rows each give a row; a null id stays
     null. Other columns are not read. An empty table gives an empty table.
@@ -145,22 +208,23 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
         F.max("_id").alias("_id"), F.max(F.when(F.col("h").isNull(), F.col("pos"))).alias("n_words"), F.collect_set("q").alias("qs"),
         F.first("label").alias("label"), F.first("base").alias("base"), F.first("n").alias("n"),
     )
-    along = Window.partitionBy("row", "t").orderBy("d")
-    # A base phrase stands whole on one diagonal; those of a template are merged.
-    apart = F.coalesce(F.col("base") | (F.col("d") - F.lag("d").over(along) > MERGE), F.lit(True))
-    merged = votes.withColumn("_new", apart.cast("int")).withColumn("_span", F.sum("_new").over(along))
-    spans = merged.groupBy("row", "t", "_span").agg(
-        F.max("_id").alias("_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"),
-        F.min("d").alias("low"), F.max("d").alias("high"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("n").alias("n"),
-    )
-    cover = F.size("qs") / F.col("n")
-    found = F.when(F.col("base"), F.size("qs") == F.col("n")).otherwise(cover >= COVER)
-    base = found & F.col("base")
-    first, last = F.col("low") + F.array_min("qs"), F.col("high") + F.array_max("qs") + 1
+    # Diagonals within reach are few, and each has at most the template's pairs, so what a window gathers is bounded.
+    near = Window.partitionBy("row", "t").orderBy("d").rangeBetween(-REACH, REACH)
+    strength = F.struct(F.size("qs"), -F.col("d"))
+    own = F.when(F.col("t").isNotNull() & ~F.col("base"), F.transform("qs", lambda q: F.struct((q + F.col("d")).alias("p"), q.alias("q"))))
+    leads = votes.withColumn("_leads", strength == F.max(strength).over(near)).withColumn("_near", F.flatten(F.collect_list(own).over(near)))
+    enough = F.col("_leads") & (F.size(F.array_distinct(F.transform("_near", lambda x: x["q"]))) >= COVER * F.col("n"))
+    verified = F.pandas_udf(_verified, "hits int, first long, last long")
+    spans = leads.withColumn("_v", verified(F.when(~F.col("base") & enough, F.col("_near"))))
+    cover = F.when(F.col("base"), F.size("qs") / F.col("n")).otherwise(F.col("_v.hits") / F.col("n"))
+    base = F.col("base") & (F.size("qs") == F.col("n"))
+    found = base | ~F.col("base") & (cover >= COVER)
+    first = F.when(base, F.col("d") + F.array_min("qs")).otherwise(F.col("_v.first"))
+    last = F.when(base, F.col("d") + F.array_max("qs") + 2).otherwise(F.col("_v.last"))
     joined = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
     return spans.groupBy("row").agg(
         F.max("_id").alias(id_col), F.max("n_words").alias("n_words"), F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("low"))).alias("first_word"), F.max(F.when(base, F.col("low"))).alias("last_word"),
+        F.min(F.when(base, F.col("d"))).alias("first_word"), F.max(F.when(base, F.col("d"))).alias("last_word"),
         joined(base).alias("base_labels"), joined(found).alias("labels"), F.coalesce(F.max(F.when(found, cover)), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(found, F.struct(F.col("label").alias("label"), first.alias("first"), last.alias("last"), cover.alias("cover"))))).alias("spans"),
     ).drop("row")

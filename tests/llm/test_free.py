@@ -43,6 +43,52 @@ def test_license_base_equals_brute_force(spark, monkeypatch):
     assert license_scan.scan(table(spark, rows).where("1 = 0")).count() == 0
 
 
+def spans_by_hand(text, templates):
+    """(label, covered share) of each verified span: all diagonals, all chains, by plain loops."""
+    words, out = plain_words(text), []
+    for label, phrase in templates:
+        own = phrase.split()
+        known = [q for q in range(len(own) - 1) if not license_scan.STOP.issuperset(own[q : q + 2])]
+        hits = [(p, q) for p in range(len(words) - 1) for q in known if words[p : p + 2] == own[q : q + 2]]
+        votes = Counter(p - q for p, q in hits)
+        for d, n in votes.items():
+            if any((m, -e) > (n, -d) for e, m in votes.items() if abs(e - d) <= license_scan.REACH):
+                continue
+            near = sorted((p, q) for p, q in hits if abs(p - q - d) <= license_scan.REACH)
+            longest: list[int] = []
+            for i, (p, q) in enumerate(near):
+                longest.append(1 + max((longest[j] for j in range(i) if near[j][0] < p and near[j][1] < q), default=0))
+            if max(longest) >= license_scan.COVER * len(known):
+                out.append((label, max(longest) / len(known)))
+    return sorted(out)
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def test_license_spans_equal_brute_force(spark):
+    random.seed(15)
+    templates = [("long", license_scan.TEMPLATES[2][1]), ("mit", "released under the mit license"), ("again", "take the red fox and the blue fox and take the red fox home")]
+    rows = [(0, "released under mit license the mit"), (1, "the mit license " * 40), (2, "released under the mit license " * 3)]
+    for i in range(3, 200):
+        words = random.choice(templates)[1].split() * random.choice([1, 1, 2])
+        for _ in range(random.randint(0, 8)):
+            k, kind = random.randrange(len(words)), random.random()
+            words[k : k + (kind < 0.6)] = [] if kind < 0.3 else [random.choice(["x", "fox", "the", "mit"])]
+            words = words or ["x"]
+        if random.random() < 0.2:
+            random.shuffle(words)
+        rows.append((i, " ".join(random.choices(["a", "the", "fox"], k=random.randint(0, 9)) + words)))
+    got = license_scan.scan(table(spark, rows), templates).collect()
+    texts = dict(rows)
+    for r in got:
+        found = sorted((x.label, x.cover) for x in r.spans if x.label not in ("cc-by", "gpl", "reserved"))
+        assert found == spans_by_hand(texts[r.doc_id], templates)
+        assert all(0 <= x.first < x.last <= r.n_words for x in r.spans)
+    assert got and not next(r for r in got if r.doc_id == 0).labels
+
+
 def test_license_templates_bear_edits(spark):
     text = license_scan.TEMPLATES[2][1].split()
     with_edits = text[:9] + ["really"] + text[9:14] + text[15:]
