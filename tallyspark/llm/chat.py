@@ -32,13 +32,15 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 CONTROL = r"([<\[])(\|[^|<>\s]{1,32}\|>|/?s>|/?INST\]|</?SYS>>)"
 _SEGMENT = re.compile(rf"{re.escape(OPEN)}([^\n]*)\n(.*){re.escape(CLOSE)}", re.DOTALL)
 
-#: Layouts as (field paths, how to read them). A list layout: (path of the list, role, text). A row layout: (turn, role, text).
+#: Layouts as (field paths, how to read them). A list layout: (path of the list, role, text, field of a system turn before it, if any). A row layout: (turn, role, text).
 #: A flat layout: each field in order with the role it speaks as; fields that share a role and stand together are one turn.
 LAYOUTS = [
     (["turn", "role", "text"], ("rows", "turn", "role", "text")),
     (["messages[].role", "messages[].content"], ("list", "messages", "role", "content")),
+    (["system", "messages[].role", "messages[].content"], ("list", "messages", "role", "content", "system")),
     (["conversation[].role", "conversation[].content"], ("list", "conversation", "role", "content")),
     (["conversations[].from", "conversations[].value"], ("list", "conversations", "from", "value")),
+    (["system", "conversations[].from", "conversations[].value"], ("list", "conversations", "from", "value", "system")),
     (["turns[].role", "turns[].text"], ("list", "turns", "role", "text")),
     (["prompt", "completion"], ("flat", ("prompt", "user"), ("completion", "assistant"))),
     (["prompt", "response"], ("flat", ("prompt", "user"), ("response", "assistant"))),
@@ -80,13 +82,16 @@ def paths_of_schema(kind: T.DataType, at: str = "") -> set[str]:
 
 
 def turns_of_record(record: object) -> list[tuple[str, str]] | None:
-    """(role, text) of each turn of a parsed record; None if no mapping has its fingerprint."""
+    """(role, text) of each turn of a parsed record; None if no mapping has its fingerprint, or an item of its list is no object."""
     how = MAPPINGS.get(schema_fingerprint(paths_of(record))) if isinstance(record, dict) else None
     if how is None or how[0] == "rows":
         return None
     as_text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if how[0] == "list":
-        return [(ROLES.get(r := as_text(x.get(how[2])), r), as_text(x.get(how[3]))) for x in record[how[1]]]
+        if not all(isinstance(x, dict) for x in record[how[1]]):
+            return None
+        first = [("system", as_text(record[how[4]]))] if len(how) > 4 and record[how[4]] else []
+        return first + [(ROLES.get(r := as_text(x.get(how[2])), r), as_text(x.get(how[3]))) for x in record[how[1]]]
     turns: list[tuple[str, str]] = []
     for field, role in how[1:]:
         text = as_text(record.get(field))
@@ -113,7 +118,11 @@ def canonical_rows(df: DataFrame, key: str = "conv_id") -> DataFrame:
     if how[0] == "rows":
         return df.select(conv, F.col(how[1]).cast("long").alias("turn"), role_of(F.col(how[2])).alias("role"), text_of(how[3]).alias("text"))
     if how[0] == "list":
-        rows = df.select(conv, F.posexplode(how[1]).alias("turn", "x"))
+        items = F.transform(how[1], lambda x: F.struct(x[how[2]].cast("string").alias(how[2]), x[how[3]].cast("string").alias(how[3])))
+        if len(how) > 4:
+            first = F.array(F.struct(F.lit("system").alias(how[2]), F.col(how[4]).cast("string").alias(how[3])))
+            items = F.concat(F.when(text_of(how[4]) != "", first).otherwise(F.slice(first, 1, 0)), items)
+        rows = df.select(conv, F.posexplode(items).alias("turn", "x"))
         return rows.select("conv_id", F.col("turn").cast("long"), role_of(F.col(f"x.{how[2]}")).alias("role"), text(F.col(f"x.{how[3]}")).alias("text"))
     roles = list(dict.fromkeys(role for _, role in how[1:]))
     joined = {r: F.array_join(F.filter(F.array(*(text(F.col(c)) for c, x in how[1:] if x == r)), lambda v: v != ""), "\n\n") for r in roles}
@@ -121,10 +130,17 @@ def canonical_rows(df: DataFrame, key: str = "conv_id") -> DataFrame:
     return df.select(conv, F.posexplode(turns).alias("turn", "x")).select("conv_id", F.col("turn").cast("long"), "x.role", "x.text")
 
 
+def _storable(text: str) -> bool:
+    """Whether a string has no lone surrogate."""
+    return text.isascii() or not re.search("[\ud800-\udfff]", text)
+
+
 def canonical_json(df: DataFrame, key: str = "conv_id", record: str = "record") -> tuple[DataFrame, DataFrame]:
-    """Turns of a column of JSON records, each by its own fingerprint, and the records that have no mapping.
+    """Turns of a column of JSON records, each by its own fingerprint, and the records that are rejected.
 
-    The second table has conv_id, record and fingerprint; bad JSON and null have a null fingerprint.
+    The second table has conv_id, record and fingerprint. Rejected are records whose fingerprint has
+    no mapping, whose list has an item that is no object, and whose texts are no Unicode (a lone
+    half of a surrogate pair). Bad JSON (too deeply nested, too) and null have a null fingerprint.
     """
     kinds = "conv_id long, turns array<struct<role string, text string>>, record string, fingerprint string"
 
@@ -135,11 +151,11 @@ def canonical_json(df: DataFrame, key: str = "conv_id", record: str = "record")
             for raw in batch.column(1).to_pylist():
                 try:
                     value = json.loads(raw)
-                except (TypeError, ValueError):
-                    value = None
-                found = turns_of_record(value)
-                turns.append(None if found is None else [{"role": r, "text": t} for r, t in found])
-                prints.append(None if value is None else schema_fingerprint(paths_of(value)))
+                    found, mark = turns_of_record(value), schema_fingerprint(paths_of(value))
+                except (TypeError, ValueError, RecursionError):
+                    found, mark = None, None
+                turns.append(None if found is None or not all(_storable(x) for turn in found for x in turn) else [{"role": r, "text": t} for r, t in found])
+                prints.append(mark)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, kind), batch.column(1), pa.array(prints, pa.string())], names=["conv_id", "turns", "record", "fingerprint"])
 
     read = df.select(F.col(key).cast("long").alias("conv_id"), F.col(record).cast("string").alias("record")).mapInArrow(run, kinds)
@@ -190,7 +206,9 @@ def read_segment(segment: str) -> tuple[str, str]:
 def digests(formatted: DataFrame) -> DataFrame:
     """Of each conversation, read back from its segments: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Turns go by place (nulls first), then role, then text. A null conv_id is a conversation.
+    Turns go by place (nulls first), then role, then text. A null conv_id is a conversation. Its
+    digests run over the turns in order, so one task must read a conversation whole; it sorts by
+    Spark, which spills, and holds one batch of turns, however many there are.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, chat, fingerprint, html_main, license_scan, packing, pii, quality, simhash, toxicity
 from tallyspark.llm.common import table
@@ -33,12 +34,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of two layouts: the table's rows, and conversation -7 as a record with a list of messages."""
+    """Turns of two layouts: the table's rows, and conversation -7 as a record with a list of messages; rejected counts a conversation's records without turns."""
     rows = chat.canonical_rows(table(spark, sf_dir, "conversations"))
     say = "</s>[INST] ok [/INST]"
     record = json.dumps({"messages": [{"role": "user", "content": say}, {"role": "assistant", "content": say}]})
-    extra, _ = chat.canonical_json(spark.createDataFrame([(-7, record)], "conv_id long, record string"))
-    return chat.digests(chat.segments(rows.unionByName(extra)))
+    extra, rejected = chat.canonical_json(spark.createDataFrame([(-7, record)], "conv_id long, record string"))
+    n_rejected = rejected.groupBy("conv_id").agg(F.count(F.lit(1)).alias("rejected"))  # of one record, so broadcast
+    out = chat.digests(chat.segments(rows.unionByName(extra))).join(F.broadcast(n_rejected), "conv_id", "left")
+    return out.withColumn("rejected", F.coalesce("rejected", F.lit(0)).cast("long"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

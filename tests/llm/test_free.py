@@ -293,6 +293,22 @@ def test_chat_layouts(spark):
         chat.canonical_rows(spark.createDataFrame([(1, "a")], "conv_id long, x string"))
 
 
+def test_bad_records_are_rejected_and_the_rest_is_read(spark):
+    good = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    records = [
+        (1, {"messages": [*good, "oops"]}), (2, {"messages": [{"role": "user", "content": "\ud800"}]}), (3, {"messages": good, "text": "x"}), (4, {"messages": good, "system": "s"}), (5, {"messages": []}),
+        (6, {"messages": good, "system": None, "id": 3}), (7, [1]), (8, {"messages": {"role": "a", "content": "b"}}), (9, {"messages": [None]}),
+    ]
+    rows = [(i, json.dumps(x)) for i, x in records] + [(10, "[" * 100_000), (11, None), (12, "{"), (None, json.dumps({"messages": good}))]
+    turns, rejected = chat.canonical_json(spark.createDataFrame(rows, "conv_id long, record string"))
+    got = {}
+    for r in turns.collect():
+        got.setdefault(r.conv_id, {})[r.turn] = (r.role, r.text)
+    both = {0: ("user", "a"), 1: ("assistant", "b")}
+    assert got == {4: {0: ("system", "s"), 1: ("user", "a"), 2: ("assistant", "b")}, 6: both, None: both}
+    assert {r.conv_id for r in rejected.collect()} == {1, 2, 3, 5, 7, 8, 9, 10, 11, 12}
+
+
 # --- 6 ---------------------------------------------------------------------------------------
 
 
