@@ -4,9 +4,11 @@ A dynamic programme over the global histogram of lengths picks the bucket bounda
 padding. Each bucket is then cut into batches of at most ``token_budget`` padded tokens.
 
 Scale: the driver gets one histogram with a row for each distinct length. d distinct lengths take at
-least d^2 / 2 words, so 5e9 words have at most 100,000 of them. A document's place in its bucket is a prefix sum over groups of (length, salt) plus its rank in the group. A length that many
-documents share gets more salts, so no group has much over ``GROUP_ROWS`` rows, however many copies
-there are. Texts are never shuffled.
+least d^2 / 2 words, so 5e9 words have at most 100,000 of them. A document's place
+in its bucket is a prefix sum over groups of (length, salt) plus its rank in the group. A length that
+many documents share gets more salts, and rows are dealt to them by their place in the scan, so no
+group has much over ``GROUP_ROWS`` rows, however many copies, repeated ids or null ids there are.
+Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -76,24 +78,24 @@ def pack(docs: DataFrame, token_budget: int = 16_384, n_buckets: int = 16, id_co
     bucket: from 0, by length. bucket_len: what its rows are padded to. batch: from 0 in each
     bucket; it holds max(1, token_budget // bucket_len) rows, so a document longer than the budget
     gets a batch of its own and nothing is cut or dropped. slot: from 0 in each batch. In a bucket,
-    rows go by length, then by a hash of the id, then by the id (nulls first).
+    rows go by length, then in an order that follows from their place in the scan.
 
     Rows with the same id each keep a slot. An empty table gives an empty table. Only the id and
     the length are read, so other columns may have any names.
     """
     # The texts are read once; ids and lengths are kept in the shared folder for the passes that follow.
-    lens = checkpoint(docs.select(F.col(id_col).alias("_id"), F.coalesce(length if length is not None else word_count(), F.lit(0)).cast("long").alias("_n")))
+    lens = checkpoint(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(length if length is not None else word_count(), F.lit(0)).cast("long").alias("_n")))
     histogram = sorted(lens.groupBy("_n").count().collect())
     bounds = optimal_bounds([g for g, _ in histogram], [n for _, n in histogram], n_buckets)
     of = np.searchsorted(bounds, [g for g, _ in histogram]) if bounds else []
     plan = [(int(g), int(b), int(bounds[b]), n // GROUP_ROWS + 1) for (g, n), b in zip(histogram, of, strict=True)]
     buckets = docs.sparkSession.createDataFrame(plan, "_n long, bucket int, bucket_len long, _salts long")  # one row for each distinct length
 
-    rows = lens.join(F.broadcast(buckets), "_n").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")))
+    rows = lens.join(F.broadcast(buckets), "_n").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")))
     groups = rows.groupBy("bucket", "_n", "_salt").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("bucket").orderBy("_n", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("_n", "_salt", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_n", "_salt").orderBy(F.col("_id").asc_nulls_first())
+    inside = Window.partitionBy("_n", "_salt").orderBy("_row")
     ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(starts, ["_n", "_salt"])
     capacity = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
     place = F.col("_start") + F.col("_rank")
