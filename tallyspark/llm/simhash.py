@@ -26,6 +26,8 @@ from tallyspark.llm.common import checkpoint, text_of
 from tallyspark.llm.components import connected
 
 RADIUS = 2
+#: A fingerprint with over one in so many of all rows isn't shuffled.
+HOT_SHARE = 5_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -106,11 +108,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table. Other columns are not read.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col))
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("_id").alias("least")))
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected(links(classes.select("fp")))
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = checkpoint(linked.join(by_root, "root").select("fp", "component_id"))
-    found = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # The smaller side is one row per fingerprint, so a fingerprint with many rows is split by AQE.
-    return prints.join(found, "fp").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    # Fingerprints that many rows share are looked up where the rows are; by their share there are fewer than HOT_SHARE of them.
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = checkpoint(found.where(F.col("n") * HOT_SHARE > total))
+    common = prints.join(F.broadcast(hot.drop("n")), "fp")
+    rare = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(found.drop("n"), "fp")
+    return common.unionByName(rare).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
