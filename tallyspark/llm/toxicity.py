@@ -13,7 +13,8 @@ Learning: terms are picked by how much more often they stand in toxic than in cl
 function's weights are fitted by Newton steps. Both use a bounded sample of labelled texts
 (SAMPLE_TOXIC, SAMPLE_CLEAN: those with the smallest hashes of their ids), without near copies, so
 that one often-copied text doesn't fill the lexicon. Scale: scoring has no shuffle; learning moves
-only the sample, and the driver gets counted terms and a few numbers per sampled text.
+only the sample, and the driver gets counted terms and a few numbers per sampled text. How many terms
+there are follows from what counts as significant; only the sample bounds them.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ REPORTING = frozenset("said says wrote writes called quote quoted quotes quoting
 SECOND_PERSON = frozenset("you your youre u du dich dein tu toi vous eres usted tú bist".split())
 QUOTES = {"“": "”", "«": "»", "„": "“", "‹": "›"}
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8192, 16384
-MAX_TERMS, MAX_VETOES = 2048, 20_000
 PREDICT = 0.7
 WINDOW = 6
 CACHE = 400_000
@@ -302,7 +302,7 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
     bare: set[str] = set()
     for _, _, term, weight in sorted(weighed, reverse=True):
         word = term.rstrip("$")
-        if len(chosen) >= MAX_TERMS or word in taken or any(word[:k] in bare for k in range(1, len(word) + 1)):
+        if word in taken or any(word[:k] in bare for k in range(1, len(word) + 1)):
             continue
         chosen.append((word, not term.endswith("$"), weight))
         bare.add(word)
@@ -318,13 +318,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
         return Model(choose_terms([], n_toxic, n_clean))
-    found = _counted(rows, _parts, max(3, n_toxic // 100)).where("toxic >= 3 * clean").orderBy(F.col("toxic").desc(), "clean", "term").limit(16 * MAX_TERMS)
+    found = _counted(rows, _parts, max(3, n_toxic // 100)).where("toxic >= 3 * clean")
     model = Model(choose_terms([tuple(x) for x in found.collect()], n_toxic, n_clean))
 
     def near(text: str) -> set[str]:
         return {word for word, edits, _, _ in _scorer(model).hits(text)[1] if edits}
 
-    vetoes = _counted(rows, near, 0).where("clean > 0 AND clean >= toxic").orderBy(F.col("clean").desc(), "term").limit(MAX_VETOES)
+    vetoes = _counted(rows, near, 0).where("clean > 0 AND clean >= toxic")
     model.vetoes = frozenset(x.term for x in vetoes.collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
