@@ -178,5 +178,6 @@ def kept_rows(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     keyed = docs.select(*text_key(text_col), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     judged = verdicts(keyed, trusted, "_id", "_text", threshold, also=("_k1", "_k2"))
     rejected = checkpoint(judged.where("NOT kept").select("_k1", "_k2").distinct())
-    own = docs.withColumns(dict(zip(("_k1", "_k2"), text_key(text_col), strict=True)))
-    return own.join(broadcast_if_small(rejected), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    # The caller's columns travel in one struct, so no name of theirs meets one of ours.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *text_key(text_col))
+    return own.join(broadcast_if_small(rejected), ["_k1", "_k2"], "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
