@@ -47,3 +47,8 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """A null text is an empty one."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret key of surrogates, from spark.pii.key; the fallback is for public test data only."""
+    return spark.conf.get("spark.pii.key", "public test data")

@@ -4,7 +4,8 @@ An entity's normal form (digits of a phone number, an e-mail address in lower ca
 case) and a secret key give its surrogate, so an entity has one surrogate wherever and however it is
 written, and the text keeps its format: digits stay digits, letters keep case and script, separators
 stay, card numbers keep a valid check digit, addresses stay addresses, and names follow the gender
-of the title.
+of the title; a neutral title takes the gender that the same given name has elsewhere in the text.
+A name that stands with a title somewhere is replaced wherever else it stands in that text.
 
 Two entities must not share a surrogate, and no surrogate may be a real entity of the corpus. All
 normal forms of the corpus are held against each other; of those that clash the later ones are given
@@ -29,14 +30,16 @@ from tallyspark.llm.quality import let, text_key
 
 TITLES = {"m": "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Don|господин|г-н", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Doña|госпожа|г-жа", "n": "Dr|Prof|Doctor|Professor"}
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.[A-Za-z]{2,}"
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)"
+PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\d)"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 CARD = r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CLOUD_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET_WORD = r"(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Ss]ecret|[Tt]oken|[Pp]ass(?:word|wd)|[Pp]wd)\s{0,2}[=:]"
 SECRET = rf"(?<!\p{{L}}){SECRET_WORD}\s{{0,2}}[\"']?[A-Za-z0-9_/+-]{{8,}}"
-PERSON = rf"(?<!\p{{L}})(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+#: A possessive 's is no part of a name.
+NAME = r"\p{Lu}(?:\p{L}|['-](?!s(?!\p{L}))(?=\p{L}))+"
+PERSON = rf"(?<!\p{{L}})(?:{'|'.join(TITLES.values())})\.? {NAME}(?: {NAME})?"
 ENTITY = "|".join([EMAIL, CLOUD_KEY, SECRET, SSN, PHONE, CARD, IP, PERSON])
 #: Where none of these stands there is no entity.
 HINT = rf"[0-9@]|AKIA|{SECRET_WORD}|(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}"
@@ -108,7 +111,25 @@ def _value(e: Column) -> Column:
     return F.regexp_extract(e, r"([A-Za-z0-9_/+-]{8,})$", 1)
 
 
-def forms_of(e: Column) -> Column:
+def _phone(e: Column) -> Column:
+    """Digits of a phone number; one of ten digits is the same with and without the country's 1."""
+    return F.regexp_replace(_digits(e), r"^1(?=\d{10}$)", "")
+
+
+def genders_of(matches: Column) -> Column:
+    """Array of (form, gender) of the given names that stand with a title of a gender."""
+    parts = lambda e: F.split(F.lower(_names(e)), " ")
+    one = lambda e: F.when((kind_of(e) == "person") & (_title_gender(e) != "n") & (F.size(parts(e)) == 2), F.struct(F.get(parts(e), 0).alias("form"), _title_gender(e).alias("gender")))
+    return F.filter(F.transform(matches, one), lambda x: x.isNotNull())
+
+
+def forms_in(matches: Column) -> Column:
+    """Array of (kind, form) of all the matches of a text."""
+    none = F.array().cast("array<struct<kind:string,form:string>>")
+    return let(genders_of(matches), lambda g: F.flatten(F.transform(matches, lambda e: F.coalesce(forms_of(e, g), none))))
+
+
+def forms_of(e: Column, genders: Column) -> Column:
     """Array of (kind, form): the normal forms that a match is made of; a person has one for each name."""
     form = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("form"))
     one = lambda kind, x: F.array(form(kind, x))
@@ -116,12 +137,14 @@ def forms_of(e: Column) -> Column:
 
     def person(names: Column) -> Column:
         parts = F.split(F.lower(names), " ")
-        given = F.struct(F.concat(F.lit("given-"), _title_gender(e)).alias("kind"), F.get(parts, 0).alias("form"))
+        own = _title_gender(e)
+        known = F.array_max(F.transform(F.filter(genders, lambda x: x["form"] == F.get(parts, 0)), lambda x: x["gender"]))
+        given = F.struct(F.concat(F.lit("given-"), F.when(own == "n", F.coalesce(known, own)).otherwise(own)).alias("kind"), F.get(parts, 0).alias("form"))
         return F.when(F.size(parts) == 2, F.array(given, form("family", F.get(parts, 1)))).otherwise(F.array(form("family", F.get(parts, 0))))
 
     return (
         F.when(k == "email", one("email", F.lower(e))).when(k == "cloud_key", one("cloud_key", e)).when(k == "secret", one("secret", _value(e))).when(k == "ip", one("ip", e))
-        .when(k == "ssn", one("ssn", _digits(e))).when(k == "card", one("card", _digits(e))).when(k == "phone", one("phone", _digits(e))).when(k == "person", person(_names(e)))
+        .when(k == "ssn", one("ssn", _digits(e))).when(k == "card", one("card", _digits(e))).when(k == "phone", one("phone", _phone(e))).when(k == "person", person(_names(e)))
     )
 
 
@@ -167,23 +190,43 @@ def surrogate_of(kind: Column, form: Column, attempt: Column, key: str) -> Colum
     )
 
 
-def _rewritten(e: Column, core: Callable[[Column], Column]) -> Column:
+def _in_case(name: Column, shape: Column) -> Column:
+    return F.when(shape == F.upper(shape), F.upper(name)).otherwise(F.initcap(name))
+
+
+def _rewritten(e: Column, core: Callable[[Column], Column], genders: Column) -> Column:
     """A match with its surrogate in its own format; core gives the surrogate of a (kind, form)."""
     k = kind_of(e)
 
     def person(forms: Column) -> Column:
         title = F.regexp_extract(e, rf"^(?:{'|'.join(TITLES.values())})\.? ", 0)
-        names = F.array_join(F.transform(forms, lambda f: F.initcap(core(f))), " ")
-        return F.concat(title, F.when(_names(e) == F.upper(_names(e)), F.upper(names)).otherwise(names))
+        return F.concat(title, F.array_join(F.transform(forms, lambda f: _in_case(core(f), _names(e))), " "))
 
     def render(forms: Column) -> Column:
         whole = core(F.get(forms, 0))
         return (
-            F.when(k.isin("card", "phone", "ssn"), _refilled(e, whole)).when(k == "secret", F.concat(e.substr(F.lit(1), F.length(e) - F.length(_value(e))), whole))
+            F.when(k.isin("card", "phone", "ssn"), _refilled(e, F.concat(F.left(_digits(e), F.length(_digits(e)) - F.length(whole)), whole))).when(k == "secret", F.concat(e.substr(F.lit(1), F.length(e) - F.length(_value(e))), whole))
             .when(k == "person", person(forms)).when((k == "email") & (e == F.upper(e)), F.upper(whole)).otherwise(whole)
         )
 
-    return F.when(k.isNull(), e).otherwise(let(forms_of(e), render))
+    return F.when(k.isNull(), e).otherwise(let(forms_of(e, genders), render))
+
+
+def _named(matches: Column, genders: Column) -> Column:
+    """Array of (name, f: kind and form) of the names of three letters or more that stand with a title."""
+    each = lambda e: F.when(kind_of(e) == "person", F.zip_with(F.split(_names(e), " "), forms_of(e, genders), lambda n, f: F.struct(n.alias("name"), f.alias("f")))).otherwise(F.array().cast("array<struct<name:string,f:struct<kind:string,form:string>>>"))
+    return F.filter(F.flatten(F.transform(matches, each)), lambda x: F.length(x["name"]) >= 3)
+
+
+def _mentions(segment: Column, names: Column) -> Column:
+    """Array of the bare names in what stands between matches."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}'-])(?:"), F.array_join(F.array_distinct(F.transform(names, lambda x: x["name"])), "|"), F.lit(r")(?!\p{L})"))
+    return F.struct(F.regexp_extract_all(segment, pattern, F.lit(0)).alias("met"), F.split(segment, pattern, -1).alias("rest"))
+
+
+def _renamed(found: Column, names: Column, core: Callable[[Column], Column]) -> Column:
+    new = F.transform(found["met"], lambda m: _in_case(core(F.get(F.filter(names, lambda x: x["name"] == m), 0)["f"]), m))
+    return F.array_join(F.zip_with(found["rest"], F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
 def _matches(text: Column) -> Column:
@@ -192,8 +235,8 @@ def _matches(text: Column) -> Column:
 
 def assigned(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """kind, form, attempt, core of each entity of docs: no two of a kind share a core, and no core is a form of its kind."""
-    matches = docs.select(F.explode(_matches(text_of(text_col))).alias("e"))
-    found = matches.select(F.explode(forms_of(F.col("e"))).alias("f")).select("f.kind", "f.form").distinct()
+    matches = docs.select(_matches(text_of(text_col)).alias("e")).where(F.size("e") > 0)
+    found = matches.select(F.explode(forms_in(F.col("e"))).alias("f")).select("f.kind", "f.form").distinct()
     made = lambda df: df.withColumn("core", surrogate_of(F.col("kind"), F.col("form"), F.col("attempt"), key))
     now = checkpoint(made(found.withColumn("attempt", F.lit(0))))
     real = now.select("kind", F.col("form").alias("core"))
@@ -210,36 +253,45 @@ def assigned(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     raise RuntimeError("surrogates still clash; a kind has too few of them")
 
 
-def pseudonymise(docs: DataFrame, key: str = "change-me", text_col: str = "text") -> DataFrame:
-    """docs with its text rewritten, and n_pii (entities replaced) and pii_kinds (distinct kinds, sorted, comma-joined).
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """docs with its text rewritten, and n_pii (entities and bare names replaced) and pii_kinds (distinct kinds, sorted, comma-joined).
+
+    Who has the key can find entities by trying them, so it must be kept secret; it has no default.
 
-    Columns of docs named n_pii or pii_kinds are replaced; all others are kept, and all rows, with
-    null or repeated ids or not. A null text stays null and has no entities; a text without
-    entities is not changed. An empty table gives an empty table. A number in the form of a card
-    whose check digit is wrong is no entity.
+    Columns of docs named n_pii or pii_kinds are replaced; all others are kept, whatever their names,
+    and all rows, with null or repeated ids or not. A null text stays null and has no entities; a text
+    without entities is not changed. An empty table gives an empty table. A number in the form of a
+    card whose check digit is wrong is no entity. A bare name is one of at least three letters that
+    stands with a title in the same text.
     """
     exceptions = assigned(docs, key, text_col).where("attempt > 0").select("kind", "form", "attempt")
     own = [c for c in docs.columns if c.lower() not in ("n_pii", "pii_kinds")]
+    # The caller's columns travel in one struct, so no name of theirs meets one of ours.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), *text_key(text_col))
     # A match is rewritten inside its row. Where attempts other than the first are needed, a map of these comes by a join on the text's key.
-    rows = docs.select(*own).withColumn("_tries", F.lit(None).cast("map<string,int>"))
-    if not exceptions.isEmpty():
-        k = list(zip(("_k1", "_k2"), text_key(text_col), strict=True))
-        met = docs.select(*(c for _, c in k), F.explode(_matches(text_of(text_col))).alias("e")).select("_k1", "_k2", F.explode(forms_of(F.col("e"))).alias("f"))
+    if exceptions.isEmpty():
+        rows = rows.withColumn("tries", F.lit(None).cast("map<string,int>"))
+    else:
+        met = rows.select("_k1", "_k2", _matches(text_of()).alias("e")).where(F.size("e") > 0).select("_k1", "_k2", F.explode(forms_in(F.col("e"))).alias("f"))
         tries = met.select("_k1", "_k2", "f.kind", "f.form").distinct().join(broadcast_if_small(exceptions), ["kind", "form"])
-        maps = checkpoint(tries.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "form"), "attempt"))).alias("_tries")))
-        rows = docs.select(*own).withColumns(dict(k)).join(broadcast_if_small(maps), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+        maps = checkpoint(tries.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "form"), "attempt"))).alias("tries")))
+        rows = rows.join(broadcast_if_small(maps), ["_k1", "_k2"], "left")
 
     def core(f: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(F.col("_tries"), F.concat_ws("\x1f", f["kind"], f["form"])), F.lit(0))
+        attempt = F.coalesce(F.try_element_at(F.col("tries"), F.concat_ws("\x1f", f["kind"], f["form"])), F.lit(0))
         return surrogate_of(f["kind"], f["form"], attempt, key)
 
-    text = F.col(text_col)
-    found = rows.withColumn("_e", _matches(text_of(text_col)))
-    parts = F.transform("_e", lambda e: F.struct(_rewritten(e, core).alias("new"), kind_of(e).alias("kind")))
-    done = found.withColumn("_p", F.when(F.size("_e") > 0, parts).otherwise(F.array().cast("array<struct<new:string,kind:string>>")))
-    joined = F.array_join(F.zip_with(F.split(text, ENTITY, -1), F.concat(F.transform("_p", lambda p: p["new"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    kinds = F.filter(F.transform("_p", lambda p: p["kind"]), lambda x: x.isNotNull())
+    none = F.array().cast("array<struct<new:string,kind:string>>")
+    found = rows.withColumn("e", _matches(text_of())).withColumn("genders", genders_of(F.col("e"))).withColumn("names", _named(F.col("e"), F.col("genders")))
+    parts = F.transform("e", lambda e: F.struct(_rewritten(e, core, F.col("genders")).alias("new"), kind_of(e).alias("kind")))
+    between = F.when(F.size("e") > 0, F.split("text", ENTITY, -1))
+    bare = F.when(F.size("names") > 0, F.transform(between, lambda x: _mentions(x, F.col("names"))))
+    done = found.withColumn("p", F.when(F.size("e") > 0, parts).otherwise(none)).withColumn("bare", bare)
+    segments = F.when(F.col("bare").isNull(), between).otherwise(F.transform("bare", lambda x: _renamed(x, F.col("names"), core)))
+    joined = F.array_join(F.zip_with(segments, F.concat(F.transform("p", lambda p: p["new"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    kinds = F.filter(F.transform("p", lambda p: p["kind"]), lambda x: x.isNotNull())
+    n_bare = F.coalesce(F.aggregate(F.transform("bare", lambda x: F.size(x["met"])), F.lit(0), lambda a, n: a + n), F.lit(0))
     return done.select(
-        *(F.when(F.size("_p") == 0, text).otherwise(joined).alias(c) if c == text_col else F.col(c) for c in own),
-        F.size(kinds).cast("long").alias("n_pii"), F.array_join(F.sort_array(F.array_distinct(kinds)), ",").alias("pii_kinds"),
+        *(F.when(F.size("p") == 0, F.col("text")).otherwise(joined).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own),
+        (F.size(kinds) + n_bare).cast("long").alias("n_pii"), F.array_join(F.sort_array(F.array_distinct(kinds)), ",").alias("pii_kinds"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, chat, fingerprint, html_main, license_scan, packing, pii, quality, simhash, toxicity
-from tallyspark.llm.common import table
+from tallyspark.llm.common import pii_key, table
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii", "pii_kinds")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_pii", "pii_kinds")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

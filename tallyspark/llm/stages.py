@@ -15,7 +15,7 @@ from tallyspark.llm import packing as packing_op
 from tallyspark.llm import pii as pii_op
 from tallyspark.llm import quality as quality_op
 from tallyspark.llm import simhash, toxicity
-from tallyspark.llm.common import broadcast_if_small, checkpoint, checkpoint_dir, table, text_of
+from tallyspark.llm.common import broadcast_if_small, checkpoint, checkpoint_dir, pii_key, table, text_of
 
 Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 
@@ -53,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with surrogates for PII in their texts; n_chars is the new text's."""
-    return pii_op.pseudonymise(docs).drop("n_pii", "pii_kinds").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return pii_op.pseudonymise(docs, pii_key(spark)).drop("n_pii", "pii_kinds").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
