@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +16,14 @@ MONTHS = (
 ).split()
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value evaluated once, however often body and what the optimizer makes of it use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def clean_text(c: Column) -> Column:
-    """Control characters and runs of white space as one space, trimmed; null gives ''."""
-    plain = F.regexp_replace(c.cast("string"), r"\x1b(?:\[[0-?]*[ -/]*[@-~]|[@-Z\\-_])", " ")
-    return F.coalesce(F.trim(F.regexp_replace(plain, r"[\s\x00-\x1f\x7f-\x9f]+", " ")), F.lit(""))
+    """Control characters, escape sequences and runs of white space as one space, trimmed; null gives ''."""
+    return F.coalesce(F.trim(F.regexp_replace(c.cast("string"), r"(?:\x1b(?:\[[0-?]*[ -/]*[@-~]|[@-Z\\-_])|[\s\x00-\x1f\x7f-\x9f])+", " ")), F.lit(""))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -59,7 +65,7 @@ def rupiah(c: Column) -> Column:
 def rate(c: Column) -> Column:
     """The first number as a fraction: over 1 it is a percentage. Null if there is none."""
     number = F.regexp_replace(F.regexp_extract(clean_text(c), r"([-+]?\d+(?:[.,]\d+)?)", 1), ",", ".").try_cast("double")
-    return F.when(F.abs(number) > 1, number / 100).otherwise(number)
+    return once(number, lambda n: F.when(F.abs(n) > 1, n / 100).otherwise(n))
 
 
 def grade(c: Column) -> Column:
@@ -68,17 +74,30 @@ def grade(c: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1 to 12; null if it is no month's name."""
-    at = F.array_position(F.lit(MONTHS), F.lower(name))
-    return F.when(at > 0, (at - 1) % 12 + 1).cast("int")
+    return once(F.array_position(F.lit(MONTHS), F.lower(name)), lambda at: F.when(at > 0, (at - 1) % 12 + 1).cast("int"))
 
 
 def date(c: Column) -> Column:
-    """'1 Januari 2024', dd-MM-yyyy, dd/MM/yyyy, yyyy-MM-dd or dd.MM.yyyy; null otherwise."""
-    text = clean_text(c)
-    named = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
-    spelled = F.concat_ws("-", F.regexp_extract(text, named, 1), month_number(F.regexp_extract(text, named, 2)).cast("string"), F.regexp_extract(text, named, 3))
-    formats = ("d-M-yyyy", "d/M/yyyy", "yyyy-M-d", "d.M.yyyy")
-    return F.coalesce(*(F.try_to_date(text, x) for x in formats), F.try_to_date(spelled, "d-M-yyyy"))
+    """A day in one of the usual orders, as lenient readers take it; null otherwise.
+
+    Day, month and year (or year first), parted by -, /, . or spaces; months as numbers or names of
+    both languages. The day stands before the month; where that makes no date, after it. A year of
+    two digits is one of 2000 to 2099. A time of day that follows is ignored.
+    """
+    day = F.regexp_replace(clean_text(c), r"(?i)[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[ap]m|z)?$", "")
+
+    def read(p: Column) -> Column:
+        at = lambda i: F.get(p, i)
+        number = lambda i: F.coalesce(month_number(at(i)).cast("string"), at(i))
+        made = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y), m, d), "yyyy-M-d")
+        joined = F.array_join(p, "-")
+        return (
+            F.when(joined.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), made(at(0), at(1), at(2))).when(joined.rlike(r"^\d{1,2}-\d{1,2}-(?:\d{2}|\d{4})$"), F.coalesce(made(at(2), at(1), at(0)), made(at(2), at(0), at(1))))
+            .when(joined.rlike(r"^\d{1,2}-[A-Za-z]+-(?:\d{2}|\d{4})$"), made(at(2), number(1), at(0))).when(joined.rlike(r"^[A-Za-z]+-\d{1,2}-\d{4}$"), made(at(2), number(0), at(1)))
+            .when(joined.rlike(r"^\d{8}$"), F.try_to_date(joined, "yyyyMMdd"))
+        )
+
+    return once(F.split(day, r"[-/., ]+"), read)
 
 
 def statement_date(c: Column) -> Column:

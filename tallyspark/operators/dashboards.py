@@ -115,17 +115,26 @@ def debtor_summary(df: DataFrame) -> DataFrame:
 def debtor_risk_ranking(df: DataFrame) -> DataFrame:
     """Seven columns for each debtor; flags in the order in which they are first seen.
 
-    A flag's first place is a minimum, found by an aggregate with map-side combining before the
-    debtor's flags (nine at most) are listed; no list of a debtor's facilities is ever made.
+    One pass: rows are exploded by flag, a row's measures stand beside its first one, and a first
+    aggregate by debtor and flag (with map-side combining) has both the sums and each flag's first
+    place. The second lists a debtor's flags, nine at most; no list of its facilities is ever made.
     """
-    keyed = df.select("nama", "baki_debet", "kol", "rate", "keterangan", "source_file", "seq", "risk_flags")
-    sums = keyed.groupBy("nama").agg(
-        money_sum("baki_debet").alias("total_baki_debet"), F.max("kol").alias("worst_kol"), _sum_if(problem(F.col("kol"))).alias("problem_exposure"),
-        _count(written_off(F.col("keterangan"))).alias("written_off_count"), _count(high_rate(F.col("rate"))).alias("high_rate_count"),
+    bad = problem(F.col("kol"))
+    rows = df.select(
+        "nama", "baki_debet", "kol", F.when(bad, F.col("baki_debet")).alias("problem"), written_off(F.col("keterangan")).cast("long").alias("off"), high_rate(F.col("rate")).cast("long").alias("high"),
+        "source_file", "seq", F.posexplode_outer("risk_flags").alias("at", "flag"),
+    )
+    own = F.coalesce(F.col("at"), F.lit(0)) == 0
+    part = rows.groupBy("nama", "flag").agg(
+        money_sum(F.when(own, F.col("baki_debet"))).alias("baki"), F.max("kol").alias("kol"), money_sum(F.when(own, F.col("problem"))).alias("problem"), F.sum(F.when(own, F.col("off"))).alias("off"),
+        F.sum(F.when(own, F.col("high"))).alias("high"), F.min(F.struct("source_file", "seq", "at")).alias("first"),
+    )
+    flags = F.array_sort(F.collect_list(F.when(F.col("flag").isNotNull(), F.struct("first", "flag"))))
+    out = part.groupBy("nama").agg(
+        F.sum("baki").cast("decimal(38,4)").alias("total_baki_debet"), F.max("kol").alias("worst_kol"), F.sum("problem").cast("decimal(38,4)").alias("problem_exposure"), F.coalesce(F.sum("off"), F.lit(0)).alias("written_off_count"),
+        F.coalesce(F.sum("high"), F.lit(0)).alias("high_rate_count"), F.array_join(F.transform(flags, lambda x: x["flag"]), ", ").alias("risk_flags"),
     )
-    seen = keyed.select("nama", "source_file", "seq", F.posexplode("risk_flags").alias("at", "flag")).groupBy("nama", "flag").agg(F.min(F.struct("source_file", "seq", "at")).alias("first"))
-    flags = seen.groupBy("nama").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "flag"))), lambda x: x["flag"]), ", ").alias("risk_flags"))
-    return sums.join(flags, "nama", "left").select(_named("nama").alias("nama"), *sums.columns[1:], F.coalesce("risk_flags", F.lit("")).alias("risk_flags"))
+    return out.withColumn("nama", _named("nama"))
 
 
 def status_summary(df: DataFrame, top: int = 10) -> DataFrame:
@@ -133,14 +142,25 @@ def status_summary(df: DataFrame, top: int = 10) -> DataFrame:
 
 
 def maturity_buckets(df: DataFrame) -> DataFrame:
-    """All buckets in order, empty ones with 0; Unknown only if it occurs."""
+    """All buckets in order, empty ones with 0; Unknown only if it occurs.
+
+    The fixed list is added to the few aggregated rows and these are aggregated again; a join from
+    its side would push a filter on the bucket, with all that computes it, below the aggregate.
+    """
     facts = df.groupBy("maturity_bucket").agg(
         F.count(F.lit(1)).alias("facility_count"), money_sum("baki_debet").alias("total_baki_debet"), money_sum("plafond").alias("total_plafond"), mean("rate").alias("average_rate"), cost_sum().alias("annual_interest_cost")
     )
-    dim = df.sparkSession.createDataFrame(list(enumerate(BUCKETS)), "bucket_order int, maturity_bucket string")  # six rows
-    out = F.broadcast(dim).join(facts, "maturity_bucket", "left").where("maturity_bucket <> 'Unknown' OR facility_count IS NOT NULL")
-    zero = lambda c, scale=4: F.coalesce(c, F.lit(0).cast(f"decimal(38,{scale})")).alias(c)
-    return out.select("bucket_order", "maturity_bucket", F.coalesce("facility_count", F.lit(0)).alias("facility_count"), zero("total_baki_debet"), zero("total_plafond"), "average_rate", zero("annual_interest_cost", 7))
+    out = _with_all(facts, "maturity_bucket", BUCKETS).where("maturity_bucket <> 'Unknown' OR facility_count > 0")
+    return out.select((F.array_position(F.lit(BUCKETS), F.col("maturity_bucket")) - 1).cast("int").alias("bucket_order"), *out.columns)
+
+
+def _with_all(facts: DataFrame, by: str, values: list[str]) -> DataFrame:
+    """facts (one row per value of by) with a row of zeros for each value that lacks one; means stay null. Others than values are dropped."""
+    zero = facts.sparkSession.createDataFrame([(v,) for v in values], f"{by} string").select(
+        by, *(F.lit(None if c.startswith("average") else 0).cast(facts.schema[c].dataType).alias(c) for c in facts.columns if c != by)
+    )
+    both = facts.unionByName(zero).groupBy(by).agg(*(F.max(c).alias(c) if c.startswith("average") else F.sum(c).cast(facts.schema[c].dataType).alias(c) for c in facts.columns if c != by))
+    return both.where(F.col(by).isin(values))
 
 
 def maturity_years(df: DataFrame) -> DataFrame:
@@ -159,9 +179,8 @@ def rate_bands(df: DataFrame) -> DataFrame:
     r = F.coalesce("rate", F.lit(0.0))
     inside = lambda low, high: (r >= low if low == 0 else r > low) & (F.lit(True) if high is None else r <= high)
     band = reduce(lambda c, x: c.when(inside(x[1], x[2]), x[0]), RATE_BANDS, F.when(F.lit(False), ""))
-    facts = df.groupBy(band.alias("rate_band")).agg(F.count(F.lit(1)).alias("facility_count"), money_sum("baki_debet").alias("total_baki_debet"), mean("rate").alias("average_rate"))
-    dim = df.sparkSession.createDataFrame([(x[0],) for x in RATE_BANDS], "rate_band string")
-    return F.broadcast(dim).join(facts, "rate_band", "left").select("rate_band", F.coalesce("facility_count", F.lit(0)).alias("facility_count"), F.coalesce("total_baki_debet", F.lit(0).cast("decimal(38,4)")).alias("total_baki_debet"), "average_rate")
+    facts = df.withColumn("rate_band", band).groupBy("rate_band").agg(F.count(F.lit(1)).alias("facility_count"), money_sum("baki_debet").alias("total_baki_debet"), mean("rate").alias("average_rate"))
+    return _with_all(facts, "rate_band", [x[0] for x in RATE_BANDS])
 
 
 def heatmap(df: DataFrame, by: str) -> DataFrame:
@@ -207,12 +226,34 @@ def overdue_list(df: DataFrame) -> DataFrame:
     return df.where(overdue())
 
 
-def rate_histogram(df: DataFrame, bins: int = 20, top: float = 0.5) -> DataFrame:
-    return df.where("rate IS NOT NULL").groupBy(F.least(F.floor(F.col("rate") * bins / top), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("facility_count"))
+def rate_histogram(df: DataFrame, bins: int = 20) -> DataFrame:
+    """bin, low, high, facility_count: equal bins from the least to the largest rate; the last one is closed, empty ones have no row."""
+    rates = df.where("rate IS NOT NULL").groupBy("rate").agg(F.count(F.lit(1)).alias("n"))
+    edges = rates.agg(F.min("rate").alias("least"), F.max("rate").alias("most"))  # one row
+    width = (F.col("most") - F.col("least")) / bins
+    at = F.when(F.col("most") > F.col("least"), F.least(F.floor((F.col("rate") - F.col("least")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    return rates.join(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.sum("n").alias("facility_count"))
 
 
-def rate_scatter(df: DataFrame) -> DataFrame:
-    """Points of outstanding against rate, numbered by rate inside each grade."""
-    points = df.where("rate IS NOT NULL AND kol IS NOT NULL AND baki_debet > 0")
-    place = F.row_number().over(Window.partitionBy("kol").orderBy("rate", "source_file", "seq"))
-    return points.select("kol", place.alias("place"), "rate", F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"), "source_file", "seq")
+def rate_scatter(df: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Points of outstanding against rate, numbered by rate inside each grade.
+
+    There are five grades, so a window by grade would sort everything in five tasks. Rows are dealt
+    out by ranges of (grade, rate, place) instead; a row's number is its number in its range and
+    grade, and the rows of the grade in the ranges before, a table of one row per range and grade.
+    The ranges' bounds come from a sample of 64 rows for each (those with the least hashes), and only
+    decide which task numbers a row.
+    """
+    order = ["kol", "rate", "source_file", "seq"]
+    points = df.where("rate IS NOT NULL AND kol IS NOT NULL AND baki_debet > 0").select(F.struct(*order).alias("at"), F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"))
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = sorted(x["at"] for x in points.orderBy(F.xxhash64("at"), "at").limit(64 * n).select("at").collect())
+    bounds = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(order, sample[i * len(sample) // n], strict=True))) for i in range(1, n))) if sample and n > 1 else None
+    at_range = F.lit(0) if bounds is None else F.size(F.filter(bounds, lambda b: b <= F.col("at")))
+    dealt = points.withColumn("_range", at_range)
+    counts = dealt.groupBy("at.kol", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("kol").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("kol", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range", "at.kol").orderBy("at"))
+    numbered = dealt.withColumn("_place", place).select("at.*", "_range", "_place", "baki_debet").join(F.broadcast(starts), ["kol", "_range"])
+    return numbered.select("kol", (F.col("_start") + F.col("_place")).cast("int").alias("place"), "rate", "baki_debet", "source_file", "seq")

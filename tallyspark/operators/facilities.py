@@ -98,17 +98,20 @@ def keep_first(staged: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def status_rank(keterangan: Column) -> Column:
-    """0 for none, then active, written off, charged off."""
-    text = F.lower(F.coalesce(keterangan, F.lit("")))
-    return F.when(text.rlike(r"hapus\s*tagih"), 6).when(text.contains("dihapusbukukan"), 5).when(text.contains("aktif"), 2).when(text != "", 1).otherwise(0)
+    """Severity: charged off 6, written off 5, active 4, settled by collateral 3, with a discount 2, settled 1, other or none 0."""
+    return P.once(
+        F.lower(P.clean_text(keterangan)),
+        lambda t: F.when(t.contains("hapus tagih"), 6).when(F.regexp_replace(t, "[^a-z0-9]", "").contains("dihapusbukukan") | t.contains("hapus buku"), 5).when(t.contains("aktif"), 4)
+        .when(t.contains("pengambilalihan agunan"), 3).when(t.contains("diskon"), 2).when(t.contains("lunas"), 1).otherwise(0),
+    )
 
 
 def subtotals(clean_df: DataFrame) -> DataFrame:
-    """A 'Jumlah' row for each debtor: sums, worst grade and worst status (the first row of the worst rank)."""
-    order = F.struct(status_rank(F.col("keterangan")).alias("rank"), F.struct((-F.col("seq")).alias("seq"), F.col("source_file")))
-    return clean_df.groupBy("nama").agg(
+    """A 'Jumlah' row for each debtor: sums, worst grade and worst status (the first row of the worst rank; if all have rank 0 the first that isn't blank)."""
+    order = F.struct(F.col("_rank"), (F.col("keterangan") != "").alias("given"), F.struct((-F.col("seq")).alias("seq"), F.col("source_file")))
+    return clean_df.withColumn("_rank", status_rank(F.col("keterangan"))).groupBy("nama").agg(
         F.lit("Jumlah").alias("bank"), money_sum("plafond").alias("total_plafond"), money_sum("baki_debet").alias("total_baki_debet"),
-        F.max("kol").alias("worst_kol"), F.max(status_rank(F.col("keterangan"))).alias("worst_status_rank"), F.max_by("keterangan", order).alias("worst_status"),
+        F.max("kol").alias("worst_kol"), F.max("_rank").alias("worst_status_rank"), F.max_by("keterangan", order).alias("worst_status"),
     )
 
 

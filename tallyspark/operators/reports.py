@@ -21,42 +21,104 @@ LABELS = [
 ]
 
 
-def blocks(lines: DataFrame) -> DataFrame:
-    """source_file, block, lines (array) of each facility: from a start label to the next or to a section's end."""
-    text = lines.withColumn("line", P.clean_text(F.col("line"))).where("line <> ''")
+def _labelled(lines: DataFrame) -> DataFrame:
+    """Non-blank lines of facilities with block, n (place in the document), is_label, and label_n (place of the last label line up to here).
+
+    A facility goes from a start label to the next one or to a section's end.
+    """
     upto = Window.partitionBy("source_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_block = Window.partitionBy("source_file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = text.withColumn("block", F.sum(F.col("line").isin(START).cast("int")).over(upto)).where("block > 0")
-    open_ = numbered.withColumn("_ended", F.max(F.col("line").isin(END)).over(in_block)).where("NOT _ended")
-    return open_.groupBy("source_file", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
+    text = lines.withColumn("line", P.clean_text(F.col("line"))).where("line <> ''")
+    marked = text.withColumns({"is_label": F.col("line").isin(LABELS), "_start": F.col("line").isin(START).cast("int"), "_end": F.col("line").isin(END)})
+    numbered = marked.withColumn("block", F.sum("_start").over(upto)).withColumn("n", F.row_number().over(Window.partitionBy("source_file").orderBy("line_no"))).where("block > 0")
+    return numbered.withColumn("_ended", F.max("_end").over(in_block)).where("NOT _ended").withColumn("label_n", F.last(F.when(F.col("is_label"), F.col("n")), ignorenulls=True).over(in_block))
+
 
+def blocks(lines: DataFrame, most: int = 4) -> DataFrame:
+    """source_file, block, lines (array) and values of each facility.
 
-def value_after(lines: Column, label: str, most: int = 4) -> Column:
-    """The lines after the first such label up to the next label, at most so many, as one text; '' if there is none."""
-    at = F.array_position(lines, label)
-    rest = F.slice(lines, F.greatest(at, F.lit(1)).cast("int") + 1, most)
-    stop = F.array_position(F.transform(rest, lambda x: x.isin(LABELS)), True)
-    value = F.when(stop > 0, F.slice(rest, 1, F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(rest)
-    return F.when(at > 0, F.array_join(value, " ")).otherwise("")
+    values: label to the lines after its first place up to the next label, at most so many, as one
+    text. Labels are marked once, on the lines, and each value is gathered once; all of it is
+    partitioned by document, so nothing is shuffled after the first window.
+    """
+    near = F.when(~F.col("is_label") & (F.col("n") - F.col("label_n") <= most), F.struct("n", "line"))
+    join = lambda c: F.transform(F.array_sort(c), lambda x: x["line"])
+    each = _labelled(lines).groupBy("source_file", "block", "label_n").agg(
+        F.max(F.when(F.col("is_label"), F.col("line"))).alias("label"), F.array_join(join(F.collect_list(near)), " ").alias("value"), F.collect_list(F.struct("n", "line")).alias("own")
+    )
+    out = each.groupBy("source_file", "block").agg(
+        F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label_n", "label", "value")))).alias("v"), join(F.flatten(F.collect_list("own"))).alias("lines")
+    )
+    entries = F.transform(first_only(F.col("v")), lambda x: F.struct(x["label"], x["value"]))
+    return out.select("source_file", "block", "lines", F.map_from_entries(entries).alias("values"))
+
+
+def first_only(values: Column) -> Column:
+    """Of an array of (label_n, label, value) in order, the first of each label."""
+    return F.filter(values, lambda x, i: F.array_position(F.transform(values, lambda y: y["label"]), x["label"]) == i + 1)
 
 
 def status(condition: Column) -> Column:
-    """Aktif, Dihapusbukukan, Hapus Tagih, or the condition as it is; the graver one wins."""
-    text = F.regexp_replace(F.lower(condition), "[^a-z0-9]", "")
-    return F.when(text.contains("hapustagih"), "Hapus Tagih").when(text.contains("dihapusbukukan"), "Dihapusbukukan").when(text.contains("aktif") & ~text.contains("tidakaktif"), "Aktif").otherwise(condition)
+    """Hapus Tagih, Dihapusbukukan, Aktif, or the condition as it is; the graver one wins."""
+    return P.once(
+        P.clean_text(condition),
+        lambda c: F.when(F.lower(c).contains("hapus tagih"), "Hapus Tagih").when(F.regexp_replace(F.lower(c), "[^a-z0-9]", "").contains("dihapusbukukan") | F.lower(c).contains("hapus buku"), "Dihapusbukukan")
+        .when((F.lower(c) == "aktif") | F.lower(c).contains("fasilitas aktif"), "Aktif").otherwise(c),
+    )
+
+
+#: A line that is nothing but an amount in rupiah (fixed format).
+CURRENCY = r"^(?:Rp\s*)?-?\d{1,3}(?:\.\d{3})*,\d{2}$"
+
+
+def lender(lines: Column) -> Column:
+    """name and at (its place in lines, from 0; -1 if there is none): 'ddd - name' but not of the bureau, else a line with a lender's keyword."""
+    coded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\d{3}\s*-\s*.+$") & ~F.upper(x).contains("IDEB"), F.struct(F.regexp_extract(x, r"^\d{3}\s*-\s*(.+)$", 1).alias("name"), i.alias("at")))), lambda x: x.isNotNull())
+    named = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"(?i)\b(?:PT|BANK|BPR|BPRS|FINANCE)\b"), F.struct(F.regexp_replace(x, r"^\d{3}\s*-\s*", "").alias("name"), i.alias("at")))), lambda x: x.isNotNull())
+    none = F.struct(F.lit("").alias("name"), F.lit(-1).alias("at"))
+    return F.coalesce(F.get(coded, 0), F.get(named, 0), none)
+
+
+def outstanding(lines: Column, values: Column, at: Column) -> Column:
+    """The first amount line after the lender (at) and before No Akad Akhir, else the value of Baki Debet; null if it is no amount."""
+    rest = F.slice(lines, at + 2, F.size(lines))
+    stop = F.array_position(rest, "No Akad Akhir").cast("int")
+    inside = F.when(stop > 0, F.slice(rest, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(rest)
+    text = F.coalesce(F.get(F.filter(inside, lambda x: x.rlike(CURRENCY)), 0), F.try_element_at(values, F.lit("Baki Debet")), F.lit(""))
+    return P.once(text, lambda t: F.when(t.rlike("[0-9]"), P.rupiah(t)))
 
 
 def facilities(lines: DataFrame) -> DataFrame:
-    """A row for each facility that is active, written off, charged off, or graded other than 1."""
-    v = lambda label: value_after(F.col("lines"), label)
-    money = lambda label: F.when(v(label) != "", P.rupiah(v(label)))
-    rows = blocks(lines).select(
-        "source_file", F.col("block").cast("int").alias("seq"), F.get("lines", 0).alias("jenis_fasilitas"), F.regexp_extract(v("Pelapor"), r"^(?:\d{3}\s*-\s*)?(.*)$", 1).alias("bank"),
-        F.when(F.get("lines", 0) == GUARANTEE, GUARANTEE).otherwise(v("Jenis Penggunaan")).alias("penggunaan"), F.greatest(money("Plafon"), money("Plafon Awal")).alias("plafond"), money("Baki Debet").alias("baki_debet"),
-        P.grade(v("Kualitas")).alias("kol"), P.date(F.coalesce(*(F.nullif(v(x), F.lit("")) for x in ("Tanggal Akad Awal", "Tanggal Awal Kredit", "Tanggal Mulai")))).alias("awal"),
-        P.date(v("Tanggal Jatuh Tempo")).alias("jatuh_tempo"), (F.regexp_replace(F.regexp_extract(v("Suku Bunga/Imbalan"), r"(\d+(?:[.,]\d+)?)", 1), ",", ".").try_cast("double") / 100).alias("rate"), status(v("Kondisi")).alias("keterangan"),
+    """A row for each facility that is active, written off, charged off, or graded other than 1; guarantees have columns of their own."""
+    v = lambda label: F.coalesce(F.try_element_at(F.col("values"), F.lit(label)), F.lit(""))
+    money = lambda label: P.once(v(label), lambda t: F.when(t.rlike("[0-9]"), P.rupiah(t)))
+    found = blocks(lines).withColumn("type", F.get("lines", 0)).withColumn("lender", lender(F.col("lines")))
+    guarantee = F.col("type") == GUARANTEE
+    only = lambda c: F.when(guarantee, c).otherwise("")
+    baki = outstanding(F.col("lines"), F.col("values"), F.col("lender.at"))
+    first_date = F.coalesce(*(F.nullif(v(x), F.lit("")) for x in ("Tanggal Akad Awal", "Tanggal Awal Kredit", "Tanggal Mulai")))
+    kept = found.withColumns({"keterangan": status(v("Kondisi")), "kol": F.regexp_extract(v("Kualitas"), r"\b(\d+)\b", 1).try_cast("int"), "baki_debet": baki})
+    kept = kept.where(F.col("keterangan").isin("Aktif", "Dihapusbukukan", "Hapus Tagih") | F.coalesce(F.col("kol") != 1, F.lit(False)))
+    return kept.select(
+        "source_file", F.col("block").cast("int").alias("seq"), F.col("type").alias("jenis_fasilitas"), F.col("lender.name").alias("bank"), F.when(guarantee, GUARANTEE).otherwise(v("Jenis Penggunaan")).alias("penggunaan"),
+        F.greatest(money("Plafon"), money("Plafon Awal")).alias("plafond"), "baki_debet", "kol", P.date(first_date).alias("awal"), P.date(v("Tanggal Jatuh Tempo")).alias("jatuh_tempo"),
+        (F.regexp_replace(F.regexp_extract(v("Suku Bunga/Imbalan"), r"([-+]?\d+(?:[.,]\d+)?)", 1), ",", ".").try_cast("double") / 100).alias("rate"), "keterangan",
+        v("No Rekening").alias("no_rekening"), v("No Akad Awal").alias("no_akad_awal"), v("No Akad Akhir").alias("no_akad_akhir"), only(v("Jenis Garansi")).alias("jenis_garansi"), only(v("Tujuan Garansi")).alias("tujuan_garansi"),
+        only(v("Nama Yang Dijamin")).alias("nama_yang_dijamin"), F.when(guarantee, F.col("baki_debet")).alias("nominal"), F.when(guarantee, money("Setoran Jaminan")).alias("setoran_jaminan"),
+        P.date(only(v("Tanggal Diterbitkan"))).alias("tanggal_diterbitkan"), P.date(v("Tanggal Akad Akhir")).alias("tanggal_akad_akhir"),
+    )
+
+
+def without_guarantees(found: DataFrame) -> DataFrame:
+    return found.where(F.coalesce(F.trim("jenis_fasilitas"), F.lit("")) != GUARANTEE)
+
+
+def guarantees(found: DataFrame) -> DataFrame:
+    """Bank guarantees with the columns of their own report."""
+    return found.where(F.trim("jenis_fasilitas") == GUARANTEE).select(
+        "source_file", "seq", "bank", "no_rekening", "no_akad_awal", "no_akad_akhir", "jenis_garansi", "tujuan_garansi", "nama_yang_dijamin", "nominal", "setoran_jaminan", "kol", F.col("awal").alias("tanggal_akad_awal"),
+        "tanggal_diterbitkan", "tanggal_akad_akhir", "jatuh_tempo", "keterangan",
     )
-    return rows.where(F.col("keterangan").isin("Aktif", "Dihapusbukukan", "Hapus Tagih") | F.coalesce(F.col("kol") != 1, F.lit(False)))
 
 
 def identity_valid(number: Column) -> Column:

@@ -11,22 +11,40 @@ def months_inclusive(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0), (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start) + 1)
 
 
+def _loans(clean_df: DataFrame) -> DataFrame:
+    """Loans with a term, their rounded share (halves to even), and first_left: what is left after the first payment.
+
+    Inlined from an array of one struct, so filters stay above what is computed here instead of repeating it.
+    """
+    names = ["source_file", "seq", "nama", "bank", "awal", "jatuh_tempo", "plafond"]
+    read = clean_df.select(F.inline(F.array(F.struct(*names, F.coalesce("rate", F.lit(0.0)).alias("rate"), F.when(F.col("jatuh_tempo") >= F.col("awal"), months_inclusive(F.col("awal"), F.col("jatuh_tempo"))).otherwise(0).alias("term")))))
+    loans = read.where("awal IS NOT NULL AND jatuh_tempo IS NOT NULL AND plafond > 0 AND term > 0")
+    share = F.bround(F.try_divide(F.col("plafond").cast("decimal(20,4)"), F.col("term")).cast("double"), 0)
+    return loans.withColumn("share", share).withColumn("first_left", F.greatest(F.lit(0.0), F.bround(F.col("plafond") - F.col("share"), 0)))
+
+
+def _opening(period: Column) -> Column:
+    """What is left before a period: the first remainder is rounded once, whole shares follow."""
+    return F.when(period == 1, F.col("plafond")).otherwise(F.greatest(F.lit(0.0), F.col("first_left") - (period - 2) * F.col("share")))
+
+
+def _payment(period: Column, opening: Column) -> Column:
+    return F.when(period == F.col("term"), F.floor(opening).cast("double")).otherwise(F.col("share"))
+
+
+def _interest(period: Column, opening: Column) -> Column:
+    return F.when(period == 1, 0.0).otherwise(F.bround(opening * (F.col("rate") / 12), 0))
+
+
 def schedule(clean_df: DataFrame) -> DataFrame:
     """One row per period: due date, payment, interest, principal and what is left.
 
-    Every payment but the last is the rounded share (halves to even); so what is left before period
-    p is known without the periods before: the first remainder is rounded once, whole shares follow.
+    Every payment but the last is the rounded share; so what is left before period p is known
+    without the periods before.
     """
-    loans = clean_df.where("awal IS NOT NULL AND jatuh_tempo IS NOT NULL AND plafond > 0").withColumn("term", F.when(F.col("jatuh_tempo") >= F.col("awal"), months_inclusive(F.col("awal"), F.col("jatuh_tempo"))).otherwise(0)).where("term > 0")
-    money = F.col("plafond").cast("decimal(20,4)")
-    share = F.bround(F.try_divide(money, F.col("term")).cast("double"), 0)
-    base = loans.select("source_file", "seq", "nama", "bank", "awal", "jatuh_tempo", "plafond", F.coalesce("rate", F.lit(0.0)).alias("rate"), "term", share.alias("share"))
-    left = F.greatest(F.lit(0.0), F.bround(F.col("plafond") - F.col("share"), 0))  # after the first payment
-    rows = base.withColumn("first_left", left).withColumn("period", F.explode(F.sequence(F.lit(1), F.col("term"))))
-    opening = F.when(F.col("period") == 1, F.col("plafond")).otherwise(F.greatest(F.lit(0.0), F.col("first_left") - (F.col("period") - 2) * F.col("share")))
-    last = F.col("period") == F.col("term")
-    with_opening = rows.withColumn("opening", opening).withColumn("payment", F.when(last, F.floor("opening").cast("double")).otherwise(F.col("share")))
-    interest = F.when(F.col("period") == 1, 0.0).otherwise(F.bround(F.col("opening") * (F.col("rate") / 12), 0))
+    rows = _loans(clean_df).withColumn("period", F.explode(F.sequence(F.lit(1), F.col("term"))))
+    with_opening = rows.withColumn("opening", _opening(F.col("period"))).withColumn("payment", _payment(F.col("period"), F.col("opening")))
+    interest, last = _interest(F.col("period"), F.col("opening")), F.col("period") == F.col("term")
     return with_opening.select(
         "source_file", "seq", "nama", "bank", "period", F.when(last, F.col("jatuh_tempo")).otherwise(F.add_months("awal", F.col("period") - 1)).alias("due"),
         F.col("payment").cast("long").alias("payment"), interest.cast("long").alias("interest"), (F.col("payment") - interest).cast("long").alias("principal"),
@@ -34,6 +52,19 @@ def schedule(clean_df: DataFrame) -> DataFrame:
     )
 
 
-def yearly(rows: DataFrame) -> DataFrame:
-    """Payments and interest of each loan and year, and what is left at its end."""
-    return rows.groupBy("source_file", "seq", F.year("due").alias("year")).agg(F.sum("payment").alias("cpltd"), F.sum("interest").alias("interest"), F.max_by("balance", "period").alias("ltd"))
+def yearly(clean_df: DataFrame) -> DataFrame:
+    """Payments and interest of each loan and year, and what is left at its end.
+
+    A period falls in the year of its month, counted from the start's. So each loan is exploded by
+    years and its figures come from the periods from a to b of the year; nothing is shuffled.
+    """
+    start = F.year("awal") * 12 + F.month("awal") - 1  # the month of period 1
+    years = _loans(clean_df).withColumn("_start", start).withColumn("year", F.explode(F.sequence(F.year("awal"), F.year("jatuh_tempo"))))
+    bounds = years.withColumn("a", F.greatest(F.lit(1), F.col("year") * 12 - F.col("_start") + 1)).withColumn("b", F.least(F.col("term"), F.col("year") * 12 + 12 - F.col("_start")))
+    paid = (F.col("b") - F.col("a") + 1 - (F.col("b") == F.col("term")).cast("int")) * F.col("share")
+    ends = bounds.withColumn("opening", _opening(F.col("b"))).withColumn("payment", _payment(F.col("b"), F.col("opening")))
+    interest = F.aggregate(F.sequence("a", "b"), F.lit(0).cast("long"), lambda total, p: total + _interest(p, _opening(p)).cast("long"))
+    return ends.select(
+        "source_file", "seq", "year", (paid + F.when(F.col("b") == F.col("term"), F.col("payment")).otherwise(0.0)).cast("long").alias("cpltd"), interest.alias("interest"),
+        F.greatest(F.lit(0.0), F.bround(F.col("opening") - F.col("payment"), 0)).cast("long").alias("ltd"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,52 +213,39 @@ def opening_rows(tx: DataFrame, order: list[str]) -> DataFrame:
 
 
 def same_day_order(tx: DataFrame) -> DataFrame:
-    """tx with place: each account's rows in an order in which the printed balances add up.
+    """account, source_row, place, status: each account's rows in an order in which the printed balances add up.
 
-    The printed order is kept where it adds up. Otherwise each day's rows follow the chain of
-    balances while the next row is unique. status is 'printed', 'chained' or 'unresolved'; an
-    unresolved account keeps its printed order. A group is one account's statement.
+    A day begins with the opening balance and all changes before it, whatever their order. So days
+    are judged by themselves: one whose printed order adds up keeps it. Only the others follow the
+    chain of balances, while the next row is unique; they are grouped by account and day, and a day's
+    statement is what a task holds. status is 'printed', 'chained' or 'unresolved' (one day is
+    enough); an unresolved account keeps its printed order. Days go by their first row.
     """
-    schema = "account string, source_row int, place int, status string"
-
-    def run(pdf):
-        rows = pdf.sort_values("source_row").to_dict("records")
-        before = rows[0]["opening"]
-
-        def step(balance, r):
-            return balance + (r["credit"] or 0) - (r["debit"] or 0)
-
-        def adds_up(part, balance):
-            for r in part:
-                balance = step(balance, r)
-                if balance != r["balance"]:
-                    return None
-            return balance
-
-        order, status = [], "printed"
-        days: dict = {}
-        for r in rows:
-            days.setdefault(r["day"], []).append(r)
-        for day in days.values():
-            after = adds_up(day, before)
-            if after is not None:
-                order += day
-                before = after
-                continue
-            status, left = "chained", list(day)
-            while left:
-                fit = [r for r in left if step(before, r) == r["balance"]]
-                if len(fit) != 1:
-                    status = "unresolved"
-                    break
-                order.append(fit[0])
-                left.remove(fit[0])
-                before = fit[0]["balance"]
-            if status == "unresolved":
-                order = rows
+    change = F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))
+    upto = Window.partitionBy("account").orderBy("_first", "source_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    day = Window.partitionBy("account", "day")
+    rows = tx.withColumn("_first", F.min("source_row").over(day)).withColumn("_change", change.cast("decimal(20,2)")).withColumn("_sum", (F.col("opening") + F.sum("_change").over(upto)).cast("decimal(20,2)"))
+    marked = rows.withColumns(
+        {"_ok": F.min(F.coalesce(F.col("_sum") == F.col("balance"), F.lit(False))).over(day), "_n": F.row_number().over(Window.partitionBy("account", "day").orderBy("source_row")), "_before": F.min_by(F.col("_sum") - F.col("_change"), "source_row").over(day).cast("decimal(20,2)")}
+    ).select("account", "day", "_first", "source_row", "_change", "balance", "_ok", "_n", "_before")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, at, order = pdf.sort_values("source_row").to_dict("records"), pdf["_before"].iloc[0], []
+        while left:
+            fit = [r for r in left if r["balance"] is not None and at + r["_change"] == r["balance"]]
+            if len(fit) != 1:
                 break
-        import pandas as pd
-
-        return pd.DataFrame({"account": [r["account"] for r in order], "source_row": [r["source_row"] for r in order], "place": range(1, len(order) + 1), "status": status})
-
-    return tx.groupBy("account").applyInPandas(run, schema)
+            order.append(fit[0]["source_row"])
+            left.remove(fit[0])
+            at = fit[0]["balance"]
+        place = {row: k for k, row in enumerate(order, 1)} if not left else {}
+        return pd.DataFrame({"account": pdf["account"], "_first": pdf["_first"], "source_row": pdf["source_row"], "_n": pdf["source_row"].map(place).astype("Int32")})
+
+    schema = "account string, _first int, source_row int, _n int"
+    cast = marked.withColumns({"_first": F.col("_first").cast("int"), "source_row": F.col("source_row").cast("int")})
+    chained = cast.where("NOT _ok").groupBy("account", "day").applyInPandas(chain, schema).withColumn("_chained", F.lit(True))
+    both = cast.where("_ok").select("account", "_first", "source_row", F.col("_n").cast("int").alias("_n"), F.lit(False).alias("_chained")).unionByName(chained)
+    own = Window.partitionBy("account")
+    judged = both.withColumn("status", F.when(F.max(F.col("_n").isNull()).over(own), "unresolved").when(F.max("_chained").over(own), "chained").otherwise("printed"))
+    place = F.row_number().over(Window.partitionBy("account").orderBy(F.when(F.col("status") != "unresolved", F.col("_first")), F.when(F.col("status") != "unresolved", F.col("_n")), "source_row"))
+    return judged.select("account", "source_row", place.alias("place"), "status")

@@ -41,7 +41,8 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
         day(start).alias("awal"), F.when(F.col("l_quantity") == 50, "").otherwise(day(F.date_add(start, (F.col("l_quantity").cast("int") * 30)))).alias("jatuh_tempo"),
         F.when(F.col("l_quantity") == 49, "").otherwise(((discount + F.col("l_tax").cast("decimal(4,2)")) * F.lit("2.5").cast("decimal(2,1)")).cast("decimal(6,3)").cast("string")).alias("rate"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit("/IDEB/1/1")).alias("no_laporan"),
-        F.when(F.col("l_returnflag") == "A", "Aktif").when(F.col("l_returnflag") == "R", "Dihapusbukukan").when(F.col("l_linestatus") == "O", "Hapus Tagih").otherwise("Lunas").alias("keterangan"),
+        F.when(F.col("l_returnflag") == "A", "Aktif").when(F.col("l_returnflag") == "R", "Dihapusbukukan").when(F.col("l_linestatus") == "O", "Hapus Tagih")
+        .when(F.col("l_quantity") < 10, "Lunas Dengan Diskon").when(F.col("l_quantity") < 20, "Lunas Karena Pengambilalihan Agunan").when(F.col("l_quantity") < 22, "Hapus Buku").otherwise("Lunas").alias("keterangan"),
     )
     more = lambda when, seq, bank, kol, keterangan: debtors.where(when).select(
         F.concat(F.lit("report-"), F.col("o_orderkey").cast("string")).alias("source_file"), F.lit(seq).alias("seq"), F.col("c_name").alias("nama"), F.lit("").alias("nik_npwp"), F.lit(bank).alias("bank"), F.lit("").alias("penggunaan"),
@@ -64,7 +65,8 @@ fac AS (
       (l_extendedprice::DECIMAL(12,2) * CASE WHEN l_quantity >= 48 THEN 1.05::DECIMAL(4,2) ELSE (1 - 8 * l_discount::DECIMAL(4,2))::DECIMAL(4,2) END)::DECIMAL(20,4) AS baki,
       1 + (l_linenumber - 1) % 5 AS kol, l_shipdate::DATE AS awal, CASE WHEN l_quantity = 50 THEN NULL ELSE l_shipdate::DATE + (l_quantity::INT * 30) END AS jatuh_tempo,
       CASE WHEN l_quantity = 49 THEN NULL ELSE ((l_discount::DECIMAL(4,2) + l_tax::DECIMAL(4,2)) * 2.5)::DECIMAL(6,3) END AS rate, l_orderkey || '/IDEB/1/1' AS no_laporan,
-      CASE WHEN l_returnflag = 'A' THEN 'Aktif' WHEN l_returnflag = 'R' THEN 'Dihapusbukukan' WHEN l_linestatus = 'O' THEN 'Hapus Tagih' ELSE 'Lunas' END AS keterangan
+      CASE WHEN l_returnflag = 'A' THEN 'Aktif' WHEN l_returnflag = 'R' THEN 'Dihapusbukukan' WHEN l_linestatus = 'O' THEN 'Hapus Tagih'
+        WHEN l_quantity < 10 THEN 'Lunas Dengan Diskon' WHEN l_quantity < 20 THEN 'Lunas Karena Pengambilalihan Agunan' WHEN l_quantity < 22 THEN 'Hapus Buku' ELSE 'Lunas' END AS keterangan
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   )
 )
@@ -107,6 +109,28 @@ tx AS (
 """
 
 
+def shuffled_days(tx: DataFrame) -> DataFrame:
+    """Transactions with all balances printed; in every third account the rows of a day stand in reverse. correct_row is the place that adds up."""
+    so_far = Window.partitionBy("account").orderBy("source_sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = F.row_number().over(Window.partitionBy("account", "tanggal").orderBy(F.desc("source_sequence"))) + F.min("source_sequence").over(Window.partitionBy("account", "tanggal")) - 1
+    right = (F.lit(OPENING) + F.sum(F.coalesce("cr", F.lit(0)) - F.coalesce("db", F.lit(0))).over(so_far)).cast("decimal(20,2)")
+    return tx.select(
+        "account", F.col("tanggal").alias("day"), F.col("db").alias("debit"), F.col("cr").alias("credit"), right.alias("balance"), F.lit(OPENING).cast("decimal(20,2)").alias("opening"),
+        F.when(F.substring("account", 3, 9).cast("int") % 3 == 0, back).otherwise(F.col("source_sequence")).cast("int").alias("source_row"),
+    )
+
+
+SHUFFLED_SQL = """
+shuffled AS (
+  SELECT account, tanggal, source_sequence AS right_row, coalesce(cr, 0) - coalesce(db, 0) AS change, correct,
+    CASE WHEN substr(account, 3)::INT % 3 = 0 THEN row_number() OVER (PARTITION BY account, tanggal ORDER BY source_sequence DESC) + min(source_sequence) OVER (PARTITION BY account, tanggal) - 1 ELSE source_sequence END AS source_row
+  FROM tx
+), days AS (
+  SELECT account, tanggal, bool_and(source_row = right_row) AS ok, count(*) > count(DISTINCT row(change, correct)) AS unclear FROM shuffled GROUP BY 1, 2
+), judged AS (SELECT account, CASE WHEN bool_or(NOT ok AND unclear) THEN 'unresolved' WHEN bool_or(NOT ok) THEN 'chained' ELSE 'printed' END AS status FROM days GROUP BY 1)
+"""
+
+
 def openings(tx: DataFrame) -> DataFrame:
     return tx.select("account").distinct().withColumn("saldo_awal", F.lit(OPENING).cast("decimal(20,2)"))
 
@@ -139,14 +163,30 @@ def statement_lines(tx: DataFrame) -> DataFrame:
 
 
 def report_lines(staged: DataFrame) -> DataFrame:
-    """Facilities as lines of report text, a labelled value each."""
-    pairs = [("Pelapor", F.concat(F.lit("014 - "), F.col("bank"))), ("Jenis Penggunaan", F.col("penggunaan")), ("Plafon", F.col("plafond")), ("Plafon Awal", F.lit("1,00")), ("Baki Debet", F.concat(F.lit("Rp "), F.col("baki_debet"))),
-             ("Kualitas", F.concat("kol", F.lit(" - x"))), ("Tanggal Akad Awal", F.col("awal")), ("Tanggal Jatuh Tempo", F.col("jatuh_tempo")), ("Kondisi", F.when(F.col("keterangan") == "Aktif", "Fasilitas Aktif").otherwise(F.col("keterangan")))]
-    texts = F.array(F.lit("Kredit/Pembiayaan"), *(x for label, value in pairs for x in (F.lit(label), value)), F.lit("Agunan"), F.lit("Tanah"))
-    each = staged.select("source_file", "seq", F.posexplode(texts).alias("at", "line"))
+    """Facilities (rows with a lender; subtotal and fallback rows are no part of a report) as lines of report text, a labelled value each. Every seventh place of a report holds a bank guarantee; lenders are written in two ways."""
+    guarantee = F.col("seq") % 7 == 0
+    coded = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("PT Bank "), F.col("bank"))).otherwise(F.concat(F.lit("014 - "), F.col("bank")))
+    amount = F.concat(F.lit("Rp "), F.regexp_replace(F.format_number(F.regexp_replace("baki_debet", ",", ".").cast("decimal(20,2)"), 2), r"[.]", "#"))
+    printed = F.translate(amount, ",#", ".,")
+    pairs = [("Pelapor", F.lit("001 - IDEB")), (None, coded), (None, F.when(F.col("seq") % 2 == 0, printed).otherwise("Cabang Utama")), ("Jenis Penggunaan", F.col("penggunaan")), ("No Rekening", F.concat(F.lit("R"), F.col("seq").cast("string"))), ("No Akad Akhir", F.lit("A-9")),
+             ("Plafon", F.col("plafond")), ("Plafon Awal", F.lit("1,00")), ("Baki Debet", printed), ("Jenis Garansi", F.lit("Garansi Tender")), ("Setoran Jaminan", F.lit("Rp 1.500,50")),
+             ("Kualitas", F.concat("kol", F.lit(" - x"))), ("Suku Bunga/Imbalan", F.lit("12,5 %")), ("Tanggal Akad Awal", F.col("awal")), ("Tanggal Jatuh Tempo", F.col("jatuh_tempo")), ("Kondisi", F.when(F.col("keterangan") == "Aktif", "Fasilitas Aktif").otherwise(F.col("keterangan")))]
+    texts = F.array(F.when(guarantee, "Bank Garansi").otherwise("Kredit/Pembiayaan"), *(x for label, value in pairs for x in ([F.lit(label)] if label else []) + [value]), F.lit("Agunan"), F.lit("Tanah"))
+    each = staged.where(~F.col("bank").isin("", "Jumlah")).select("source_file", "seq", F.posexplode(texts).alias("at", "line"))
     return each.select("source_file", (F.col("seq") * 100 + F.col("at")).alias("line_no"), "line")
 
 
+#: What report_lines() says of each facility, as it is read back; rows without a name are no facilities.
+REPORT_SQL = """
+rep AS (
+  SELECT source_file, seq::INT AS seq, CASE WHEN seq % 7 = 0 THEN 'Bank Garansi' ELSE 'Kredit/Pembiayaan' END AS jenis_fasilitas, CASE WHEN seq % 3 = 0 THEN 'PT Bank ' || bank ELSE bank END AS bank,
+    CASE WHEN seq % 7 = 0 THEN 'Bank Garansi' ELSE penggunaan END AS penggunaan, plafond::DECIMAL(20,4) AS plafond, baki::DECIMAL(20,2)::DECIMAL(20,4) AS baki_debet, kol::INT AS kol, awal, jatuh_tempo, 0.125::DOUBLE AS rate,
+    CASE WHEN keterangan = 'Hapus Buku' THEN 'Dihapusbukukan' ELSE keterangan END AS keterangan, 'R' || seq AS no_rekening, 'A-9' AS no_akad_akhir
+  FROM fac WHERE keterangan IN ('Aktif', 'Dihapusbukukan', 'Hapus Tagih', 'Hapus Buku') OR kol <> 1
+)
+"""
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as entries of the job ledger."""
     o = table(spark, sf_dir, "orders")

@@ -44,15 +44,12 @@ _LIST_SQL = "source_file, seq::INT AS seq, nama, bank, kol::INT AS kol, keterang
 
 _on_clean(
     "clean_facilities",
-    lambda df: _listed(df).join(df.select("source_file", "seq", "awal", "jatuh_tempo", "maturity_bucket", F.array_join("risk_flags", ", ").alias("risk_flags"), F.round("utilization_ratio", 6).alias("utilization_ratio")), ["source_file", "seq"]),
+    lambda df: df.select(*_LIST, F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"), "rate", "remaining_days", "awal", "jatuh_tempo", "maturity_bucket", F.array_join("risk_flags", ", ").alias("risk_flags"), F.round("utilization_ratio", 6).alias("utilization_ratio")),
     f"""SELECT {_LIST_SQL}, awal, jatuh_tempo, bucket AS maturity_bucket, round(CASE WHEN plafond > 0 THEN bk / pl ELSE 0 END, 6) AS utilization_ratio,
     array_to_string(list_filter([CASE kol WHEN 1 THEN 'Current' WHEN 2 THEN 'Special Mention' ELSE 'Problem Loan' END, CASE WHEN kol >= 3 AND baki > 0 THEN 'Outstanding Problem Loan' END,
       CASE WHEN keterangan = 'Hapus Tagih' THEN 'Charged-Off' END, CASE WHEN keterangan = 'Dihapusbukukan' THEN 'Written-Off' END, CASE WHEN rate > 0.30 THEN 'High Rate' END,
       CASE WHEN remaining_days BETWEEN 0 AND 90 THEN 'Near Maturity' END, CASE WHEN remaining_days < 0 THEN 'Overdue' END], lambda x: x IS NOT NULL), ', ') AS risk_flags FROM fac""",
 )
-QUERIES["clean_facilities"] = lambda spark, sf_dir: _clean(spark, sf_dir).select(
-    *_LIST, F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"), "rate", "remaining_days", "awal", "jatuh_tempo", "maturity_bucket", F.array_join("risk_flags", ", ").alias("risk_flags"), F.round("utilization_ratio", 6).alias("utilization_ratio")
-)
 _on_clean("maturity_mart", D.mart_maturity, f"SELECT bucket AS maturity_bucket, count(*) AS facility_count, {_BK} AS total_baki_debet, {_PL} AS total_plafond FROM fac GROUP BY 1")
 _on_clean("risk_mart", D.mart_risk, f"SELECT keterangan, kol::INT AS kol, count(*) AS facility_count, {_BK} AS total_baki_debet, {_PL} AS total_plafond FROM fac GROUP BY 1, 2")
 _on_clean(
@@ -107,7 +104,7 @@ _on_clean("heatmap_bank", lambda df: D.heatmap(df, "bank"), f"SELECT bank, {_KOL
 _on_clean(
     "subtotal_rows", facilities.subtotals,
     f"""SELECT nama, 'Jumlah' AS bank, {_PL} AS total_plafond, {_BK} AS total_baki_debet, max(kol)::INT AS worst_kol, max(r)::INT AS worst_status_rank, any_value(s) AS worst_status
-    FROM (SELECT *, CASE keterangan WHEN 'Hapus Tagih' THEN 6 WHEN 'Dihapusbukukan' THEN 5 WHEN 'Aktif' THEN 2 ELSE 1 END AS r, first_value(keterangan) OVER (PARTITION BY nama ORDER BY CASE keterangan WHEN 'Hapus Tagih' THEN 6 WHEN 'Dihapusbukukan' THEN 5 WHEN 'Aktif' THEN 2 ELSE 1 END DESC, seq, source_file DESC) AS s FROM fac) GROUP BY nama""",
+    FROM (SELECT *, CASE keterangan WHEN 'Hapus Tagih' THEN 6 WHEN 'Dihapusbukukan' THEN 5 WHEN 'Hapus Buku' THEN 5 WHEN 'Aktif' THEN 4 WHEN 'Lunas Karena Pengambilalihan Agunan' THEN 3 WHEN 'Lunas Dengan Diskon' THEN 2 ELSE 1 END AS r, first_value(keterangan) OVER (PARTITION BY nama ORDER BY CASE keterangan WHEN 'Hapus Tagih' THEN 6 WHEN 'Dihapusbukukan' THEN 5 WHEN 'Hapus Buku' THEN 5 WHEN 'Aktif' THEN 4 WHEN 'Lunas Karena Pengambilalihan Agunan' THEN 3 WHEN 'Lunas Dengan Diskon' THEN 2 ELSE 1 END DESC, seq, source_file DESC) AS s FROM fac) GROUP BY nama""",
 )
 _on_clean("top_banks", lambda df: D.top_sum(df, "bank"), f"SELECT bank, {_BK} AS total FROM fac GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 _on_clean("top_debtors", lambda df: D.top_sum(df, "nama"), f"SELECT nama, {_BK} AS total FROM fac GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -129,11 +126,11 @@ _on_clean(
     f"SELECT {_PL} AS total_plafond, {_BK} AS total_baki_debet, count(DISTINCT nama) AS debtors, count(*) AS facilities, count(DISTINCT bank) AS banks, max(kol)::INT AS worst_kol, {_MEAN} AS average_rate, {_RATIO} AS utilization_ratio, sum(is_active)::BIGINT AS active_facilities, sum(is_off)::BIGINT AS written_off_facilities, {_dec('CASE WHEN kol >= 3 THEN baki END')} AS problem_exposure, count_if(remaining_days BETWEEN 0 AND 90)::BIGINT AS due_soon, count_if(remaining_days < 0)::BIGINT AS overdue FROM fac WHERE kol IN (2, 3, 4) AND keterangan IN ('Aktif', 'Dihapusbukukan')",
 )
 _on_clean("option_lists", lambda df: D.options(df, "bank"), "SELECT DISTINCT bank AS value FROM fac")
-_on_clean("rate_histogram", D.rate_histogram, "SELECT least(floor(rate::DOUBLE * 20 / 0.5), 19)::INT AS bin, count(*) AS facility_count FROM fac WHERE rate IS NOT NULL GROUP BY 1")
+_on_clean("rate_histogram", D.rate_histogram, "SELECT least(floor((rate::DOUBLE - a) / ((z - a) / 20)), 19)::INT AS bin, count(*) AS facility_count FROM fac, (SELECT min(rate::DOUBLE) AS a, max(rate::DOUBLE) AS z FROM fac) WHERE rate IS NOT NULL GROUP BY 1")
 _on_clean("rate_scatter", D.rate_scatter, "SELECT kol::INT AS kol, row_number() OVER (PARTITION BY kol ORDER BY rate, source_file, seq)::INT AS place, rate::DOUBLE AS rate, baki AS baki_debet, source_file, seq::INT AS seq FROM fac WHERE rate IS NOT NULL AND baki > 0")
 _register(
-    "ffill_name", lambda spark, sf_dir: facilities.fill_names(A.facilities(spark, sf_dir).where("seq < 9000")).select("source_file", "seq", "nama"),
-    "SELECT source_file, seq::INT AS seq, nama FROM fac", A.FACILITIES_SQL,
+    "ffill_name", lambda spark, sf_dir: facilities.fill_names(A.facilities(spark, sf_dir)).select("source_file", "seq", "nama"),
+    "SELECT source_file, seq::INT AS seq, nama FROM fac UNION ALL SELECT 'report-' || o_orderkey, n, c_name FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES (9000, 50), (9001, 97)) v(n, m) WHERE o_orderkey % m = 0", A.FACILITIES_SQL,
 )
 _KEYS = ["nama", "bank", "penggunaan", "kol", "keterangan"]
 _register(
@@ -151,7 +148,7 @@ _SCHEDULE_SQL = """plan AS (
 )"""
 _register("installment_schedule", lambda spark, sf_dir: schedule.schedule(_clean(spark, sf_dir)), "SELECT *, payment - interest AS principal FROM sched", A.FACILITIES_SQL, _BASE_SQL, _SCHEDULE_SQL)
 _register(
-    "installment_yearly", lambda spark, sf_dir: schedule.yearly(schedule.schedule(_clean(spark, sf_dir))),
+    "installment_yearly", lambda spark, sf_dir: schedule.yearly(_clean(spark, sf_dir)),
     "SELECT source_file, seq, year(due)::INT AS year, sum(payment)::BIGINT AS cpltd, sum(interest)::BIGINT AS interest, max_by(balance, period) AS ltd FROM sched GROUP BY 1, 2, 3", A.FACILITIES_SQL, _BASE_SQL, _SCHEDULE_SQL,
 )
 _register(
@@ -162,9 +159,16 @@ _register(
       UNION ALL SELECT source_file, 'nama_required', 'ERROR', 'nama', seq + 1 FROM fac WHERE seq > 1
       UNION ALL SELECT 'report-' || o_orderkey, 'kol_range', 'ERROR', 'kol', 9002 FROM orders WHERE o_orderkey % 97 = 0)""", A.FACILITIES_SQL,
 )
+_money4 = lambda c: F.col(c).cast("decimal(20,4)").alias(c)
+_reported = lambda spark, sf_dir: reports.facilities(A.report_lines(A.facilities(spark, sf_dir)))
+_register(
+    "block_parse_roundtrip",
+    lambda spark, sf_dir: reports.without_guarantees(_reported(spark, sf_dir)).select("source_file", "seq", "jenis_fasilitas", "bank", "penggunaan", _money4("plafond"), _money4("baki_debet"), "kol", "awal", "jatuh_tempo", "rate", "keterangan", "no_rekening", "no_akad_akhir"),
+    "SELECT * FROM rep WHERE jenis_fasilitas <> 'Bank Garansi'", A.FACILITIES_SQL, A.REPORT_SQL,
+)
 _register(
-    "block_parse_roundtrip", lambda spark, sf_dir: reports.facilities(A.report_lines(A.facilities(spark, sf_dir).where("seq < 9000"))).select("source_file", "seq", "bank", "penggunaan", F.col("plafond").cast("decimal(20,4)").alias("plafond"), F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"), "kol", "awal", "jatuh_tempo", "keterangan"),
-    "SELECT source_file, seq::INT AS seq, bank, penggunaan, plafond::DECIMAL(20,4) AS plafond, baki AS baki_debet, kol::INT AS kol, awal, jatuh_tempo, keterangan FROM fac WHERE keterangan <> 'Lunas' OR kol <> 1", A.FACILITIES_SQL,
+    "guarantee_report", lambda spark, sf_dir: reports.guarantees(_reported(spark, sf_dir)).select("source_file", "seq", "bank", "no_rekening", "no_akad_akhir", "jenis_garansi", "tujuan_garansi", _money4("nominal"), _money4("setoran_jaminan"), "kol", "tanggal_akad_awal", "jatuh_tempo", "keterangan"),
+    "SELECT source_file, seq, bank, no_rekening, no_akad_akhir, 'Garansi Tender' AS jenis_garansi, '' AS tujuan_garansi, baki_debet AS nominal, 1500.5::DECIMAL(20,4) AS setoran_jaminan, kol, awal AS tanggal_akad_awal, jatuh_tempo, keterangan FROM rep WHERE jenis_fasilitas = 'Bank Garansi'", A.FACILITIES_SQL, A.REPORT_SQL,
 )
 _register(
     "fallback_rows", lambda spark, sf_dir: reports.fallback_rows(A.table(spark, sf_dir, "orders").select(F.concat(F.lit("report-"), F.col("o_orderkey").cast("string")).alias("source_file"), F.col("o_orderpriority").alias("nama"), F.col("o_orderkey").cast("string").alias("no_laporan")), _clean(spark, sf_dir)).drop("plafond", "baki_debet"),
@@ -258,9 +262,8 @@ _register(
 _register("duplicate_months", lambda spark, sf_dir: statements.duplicate_months(tx.unionByName(tx.withColumn("source_file", F.concat("source_file", F.lit("-copy")))) if (tx := _inferred(spark, sf_dir)) else None),
           "SELECT account, year(tanggal)::INT AS year, month(tanggal)::INT AS month, source_file, count(*) AS rows FROM tx GROUP BY 1, 2, 3, 4", *_TX)
 _register(
-    "same_day_order",
-    lambda spark, sf_dir: statements.same_day_order(A.transactions(spark, sf_dir).withColumn("saldo", F.col("saldo")).select("account", F.col("tanggal").alias("day"), F.col("db").alias("debit"), F.col("cr").alias("credit"), F.col("saldo").alias("balance"), F.col("source_sequence").alias("source_row"), F.lit(A.OPENING).cast("decimal(20,2)").alias("opening"))),
-    None,
+    "same_day_order", lambda spark, sf_dir: statements.same_day_order(A.shuffled_days(A.transactions(spark, sf_dir))),
+    "SELECT account, source_row::INT AS source_row, (CASE WHEN status = 'unresolved' THEN source_row ELSE right_row END)::INT AS place, status FROM shuffled JOIN judged USING (account)", *_TX, A.SHUFFLED_SQL,
 )
 
 _register(
