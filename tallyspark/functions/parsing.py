@@ -120,3 +120,93 @@ def body_and_code(body: Column) -> tuple[Column, Column]:
     coded = r"(?i)^(.*\S)\s+([A-Z0-9/\-]+)$"
     has = text.rlike(coded)
     return F.when(has, F.regexp_extract(text, coded, 1)).otherwise(text), F.when(has, F.regexp_extract(text, coded, 2)).otherwise(F.lit(""))
+
+
+def frequency(c: Column) -> Column:
+    """A count as it is printed, with thousands parted by commas; null if it is no number."""
+    return us_money(F.regexp_replace(F.upper(clean_text(c)), "DB|CR", "")).cast("long")
+
+
+def split_mutation(c: Column) -> tuple[Column, Column]:
+    """Debit and credit of a printed amount: DB says which; CR may stand for the other."""
+    value = us_money(F.regexp_replace(F.upper(clean_text(c)), "DB|CR", ""))
+    return F.when(is_debit(c), value), F.when(~is_debit(c), value)
+
+
+def plain_number(c: Column) -> Column:
+    """1,234.50 as DOUBLE with the sign of a DB suffix; null if it is no number."""
+    return us_money(c).cast("double")
+
+
+def to_float(c: Column) -> Column:
+    """A DOUBLE as it stands; what is no number (thousands parted by commas, too) or null gives 0."""
+    return F.coalesce(F.trim(c.cast("string")).try_cast("double"), F.lit(0.0))
+
+
+def to_amount(c: Column) -> Column:
+    """A DOUBLE with commas dropped; null if it is no number."""
+    return F.regexp_replace(F.trim(c.cast("string")), ",", "").try_cast("double")
+
+
+def to_int(c: Column) -> Column:
+    return F.trim(c.cast("string")).try_cast("double").cast("int")
+
+
+def month_label(d: Column, separator: str = "-") -> Column:
+    """Jan-24; with _ the name of a sheet."""
+    return F.concat(F.get(F.array(*map(F.lit, "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())), F.month(d) - 1), F.lit(separator), F.date_format(d, "yy"))
+
+
+def day_label(d: Column) -> Column:
+    return F.date_format(d, "dd/MM")
+
+
+def first_day_label(day: Column) -> Column:
+    """01/mm for a day label dd/mm; the label itself if it is none."""
+    return F.when(day.rlike(r"^\d{2}/\d{2}$"), F.concat(F.lit("01/"), F.substring(day, 4, 2))).otherwise(day)
+
+
+def percent_label(rate_: Column) -> Column:
+    """A fraction as a percentage with two decimals and a comma."""
+    return F.concat(F.translate(F.format_number(rate_ * 100, 2), ".,", ",."), F.lit("%"))
+
+
+def output_name(template: str, **fields: Column) -> Column:
+    """A template with {names}; ValueError if it asks for a field that isn't given."""
+    import string
+
+    parts: list[Column] = []
+    for text, name, _, _ in string.Formatter().parse(template):
+        parts.append(F.lit(text))
+        if name is not None:
+            if name not in fields:
+                raise ValueError(f"unknown placeholder {{{name}}}; known: {sorted(fields)}")
+            parts.append(fields[name].cast("string"))
+    return F.regexp_replace(F.concat(*parts), r'[<>:"/\\|?*]', "_")
+
+
+def add_diagnostic(issues: Column, message: Column) -> Column:
+    """A list of diagnostics joined by ' | ' with a message added, unless it is blank or there already."""
+    have = F.filter(F.split(F.coalesce(issues, F.lit("")), r" \| "), lambda x: x != "")
+    return F.array_join(F.array_union(have, F.filter(F.array(clean_text(message)), lambda x: x != "")), " | ")
+
+
+#: Labels in Indonesian of what the engine names in English (fixed values).
+LOCAL = {
+    "Overdue": "Lewat Jatuh Tempo", "0-3 Months": "0-3 Bulan", "3-6 Months": "3-6 Bulan", "6-12 Months": "6-12 Bulan", ">12 Months": ">12 Bulan", "Unknown": "Tidak Diketahui", "Current": "Lancar",
+    "Special Mention": "Dalam Perhatian Khusus", "Problem Loan": "Kredit Bermasalah", "High Rate": "Bunga Tinggi", "Near Maturity": "Mendekati Jatuh Tempo", "Written-Off": "Dihapusbukukan", "Charged-Off": "Hapus Tagih",
+}
+
+
+def localised(c: Column) -> Column:
+    """The label in Indonesian; one that has none stays."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in LOCAL.items() for x in pair)), c), c)
+
+
+def token_kind(c: Column) -> Column:
+    """date, time, datetime, money or text: what a token is as a whole."""
+    t = clean_text(c)
+    return (
+        F.when(t.rlike(r"^\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?$"), "date").when(t.rlike(r"^\d{1,2}:\d{2}(?::\d{2})?$"), "time").when(t.rlike(r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4} \d{1,2}:\d{2}(?::\d{2})?$"), "datetime")
+        .when(t.rlike(r"^[+-]?\d{1,3}(?:,\d{3})*\.\d{2}(?: (?:DB|CR))?$"), "money").otherwise("text")
+    )

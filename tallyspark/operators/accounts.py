@@ -26,6 +26,66 @@ def direction_by_balance(tx: DataFrame, keys: list[str], order: list[str]) -> Da
     return tx.withColumn("side", F.when(change == -F.col("amount"), "DB").when(change == F.col("amount"), "CR"))
 
 
+def repaired_sides(tx: DataFrame, opening: Column, keys: list[str], order: list[str], rule: str) -> DataFrame:
+    """tx with db and cr repaired from the printed balances; opening: a column of tx.
+
+    rule 'gap': the balance's change decides side and amount, unless a row without a balance stands
+    before. 'simple': the same against the last printed balance, whatever lies between. 'swap': a row
+    without amounts gets the change, and a row whose balance is the one above it moves to the other side.
+    """
+    by = Window.partitionBy(*keys).orderBy(*order)
+    above = by.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.coalesce(F.last("saldo", ignorenulls=True).over(above), opening)
+    rows = tx.withColumn("_last", last).withColumn("_gap", F.coalesce(F.lag("saldo").over(by).isNull() & (F.row_number().over(by) > 1), F.lit(False)))
+    change = (F.col("saldo") - F.col("_last")).cast("decimal(20,2)")
+    fell, rose = F.coalesce(change < 0, F.lit(False)), F.coalesce(change > 0, F.lit(False))
+    if rule == "swap":
+        db, cr = F.coalesce("db", F.lit(0)), F.coalesce("cr", F.lit(0))
+        none = (db == 0) & (cr == 0)
+        to_cr = F.coalesce(~none & (F.col("_last") + cr == F.col("saldo")) & F.col("db").isNotNull(), F.lit(False))
+        to_db = F.coalesce(~none & ~to_cr & (F.col("_last") - db == F.col("saldo")) & F.col("cr").isNotNull(), F.lit(False))
+        new_db = F.when(none & fell, -change).when(to_cr, None).when(to_db, F.col("cr")).otherwise(F.col("db"))
+        new_cr = F.when(none & rose, change).when(to_cr, F.col("db")).when(to_db, None).otherwise(F.col("cr"))
+    else:
+        skip = F.col("_gap") if rule == "gap" else F.lit(False)
+        new_db = F.when(~skip & fell, -change).when(~skip & rose, None).otherwise(F.col("db"))
+        new_cr = F.when(~skip & rose, change).when(~skip & fell, None).otherwise(F.col("cr"))
+    return rows.withColumns({"db": new_db.cast("decimal(20,2)"), "cr": new_cr.cast("decimal(20,2)")}).drop("_last", "_gap")
+
+
+def merged_rows(rows: DataFrame, keys: list[str], order: str, start: Column, text: str, values: list[str]) -> DataFrame:
+    """Rows that begin a transaction with those that follow it: texts are joined, of each value the first that isn't blank stays and others go to the text. Rows before the first start are dropped."""
+    group = F.sum(start.cast("int")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    part = rows.withColumn("_group", group).where("_group > 0")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order, P.clean_text(F.col(c)).alias("x")))), lambda s: s["x"])
+    each = part.groupBy(*keys, "_group").agg(F.min(order).alias(order), *(listed(c).alias(c) for c in [text, *values]))
+    filled = lambda c: F.filter(F.col(c), lambda x: x != "")
+    more = [F.slice(filled(c), 2, F.size(c)) for c in values]
+    return each.select(*keys, order, F.array_join(F.concat(filled(text), *more), " ").alias(text), *(F.coalesce(F.get(filled(c), 0), F.lit("")).alias(c) for c in values))
+
+
+def without_noise(rows: DataFrame, keys: list[str], order: str, text: str, noise: str, footer: str) -> DataFrame:
+    """Rows without those whose text is noise, and without all from the first footer on."""
+    ended = F.max(F.col(text).rlike(footer)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_ended", ended).where(~F.col("_ended") & ~F.col(text).rlike(noise)).drop("_ended")
+
+
+def without_openings(tx: DataFrame) -> DataFrame:
+    """Transactions without rows that only state an opening balance."""
+    return tx.where(~(F.upper(F.coalesce("keterangan", F.lit(""))).contains("SALDO AWAL") & F.col("db").isNull() & F.col("cr").isNull()))
+
+
+def first_of_label(recap: DataFrame, keys: list[str], label: str, order: str) -> DataFrame:
+    """A long recap with each label once, its first row; labels that differ in case or spaces are one."""
+    place = F.row_number().over(Window.partitionBy(*keys, F.upper(P.clean_text(F.col(label)))).orderBy(order))
+    return recap.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def numeric_mirrors(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with <column>_numeric, a double, for each; what is no number gives 0."""
+    return df.withColumns({f"{c}_numeric": P.to_float(F.col(c)) for c in columns})
+
+
 def signed_sides(nominal: Column) -> tuple[Column, Column]:
     """Debit and credit of a signed amount: what has no plus sign is a debit."""
     value, plus = F.abs(P.us_money(F.regexp_replace(nominal, "[+-]", ""))), P.clean_text(nominal).startswith("+")
@@ -81,3 +141,21 @@ def compare_rows(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]
 def cleanup_summary(audit: DataFrame) -> DataFrame:
     """Files and bytes removed, and errors, of each target."""
     return audit.groupBy("target").agg(F.sum("deleted_files").alias("deleted_files"), F.sum("deleted_bytes").alias("deleted_bytes"), F.sum("errors").alias("errors"))
+
+
+def file_report(files: DataFrame, errors: DataFrame, rows: DataFrame, cached: DataFrame) -> DataFrame:
+    """One row per file (file_hash, file_name): status, row_count, error_message, loaded_from_cache.
+
+    errors: file_hash, error_message (several are one text). rows: parsed rows with file_hash.
+    cached: hashes that were taken from the cache. All are joined by the content's hash.
+    """
+    said = errors.groupBy("file_hash").agg(F.array_join(F.array_sort(F.collect_set("error_message")), "; ").alias("error_message"))
+    counts = rows.groupBy("file_hash").agg(F.count(F.lit(1)).alias("row_count"))
+    known = cached.select("file_hash").distinct().withColumn("loaded_from_cache", F.lit(True))
+    out = files.join(said, "file_hash", "left").join(counts, "file_hash", "left").join(known, "file_hash", "left")
+    return out.select("file_hash", "file_name", F.when(F.col("error_message").isNotNull(), "error").otherwise("success").alias("status"), F.coalesce("row_count", F.lit(0)).alias("row_count"), "error_message", F.coalesce("loaded_from_cache", F.lit(False)).alias("loaded_from_cache"))
+
+
+def to_clean(files: DataFrame, errors: DataFrame) -> DataFrame:
+    """Files that may be cleaned up: those that didn't fail."""
+    return files.join(errors.select("file_hash").distinct(), "file_hash", "left_anti")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.parsing import once
+
 #: Markers of each bank's statements and their weights (fixed values); a marker that begins with (? is a pattern.
 MARKERS = {
     "BCA": [("BANK CENTRAL ASIA", 10), ("REKENING TAHAPAN", 8), ("BCA BERHAK", 7), ("TANGGAL KETERANGAN CBG MUTASI SALDO", 5), ("CBG MUTASI SALDO", 4), ("NO. REKENING : HALAMAN : PERIODE", 3)],
@@ -34,20 +36,23 @@ def score(text: Column, markers: list[tuple[str, int]]) -> Column:
 
 def best_of(scores: dict[str, Column], least: int) -> Column:
     """The name of the one largest score; null if it is under least or shared."""
-    top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    ties = reduce(lambda a, b: a + b, ((c == top).cast("int") for c in scores.values()))
-    name = F.coalesce(*(F.when(c == top, k) for k, c in scores.items()))
-    return F.when((top >= least) & (ties == 1), name)
+    names = F.array(*map(F.lit, scores))
+    pick = lambda a, top: F.when((top >= least) & (F.size(F.filter(a, lambda x: x == top)) == 1), F.element_at(names, F.array_position(a, top).cast("int")))
+    return once(F.array(*scores.values()), lambda a: pick(a, F.array_max(a)))
 
 
 def detect_bank(text: Column, file_name: Column) -> Column:
     """The bank of a statement's first pages: a heading decides, else the markers; null if it is unclear."""
-    t, f = normalised(text), normalised(file_name)
-    scores = {k: score(t, m) + F.when(f.rlike(FILE_BONUS[k][0]), FILE_BONUS[k][1]).otherwise(0) for k, m in MARKERS.items()}
-    return (
-        F.when(t.contains("LAPORAN TRANSAKSI FINANSIAL"), "BRI").when(t.contains("LAPORAN MUTASI REKENING") & t.contains("RINCIAN TRANSAKSI"), "BNI")
-        .when(t.contains("TOTAL AMOUNT DEBITED") | t.contains("LAPORAN REKENING KORAN") & t.contains("REFERENCE"), "Mandiri").otherwise(best_of(scores, LEAST_SCORE))
-    )
+
+    def decide(x: Column) -> Column:
+        t, f = x["t"], x["f"]
+        scores = {k: score(t, m) + F.when(f.rlike(FILE_BONUS[k][0]), FILE_BONUS[k][1]).otherwise(0) for k, m in MARKERS.items()}
+        return (
+            F.when(t.contains("LAPORAN TRANSAKSI FINANSIAL"), "BRI").when(t.contains("LAPORAN MUTASI REKENING") & t.contains("RINCIAN TRANSAKSI"), "BNI")
+            .when(t.contains("TOTAL AMOUNT DEBITED") | t.contains("LAPORAN REKENING KORAN") & t.contains("REFERENCE"), "Mandiri").otherwise(best_of(scores, LEAST_SCORE))
+        )
+
+    return once(F.struct(normalised(text).alias("t"), normalised(file_name).alias("f")), decide)
 
 
 def detect_layout(text: Column) -> Column:
@@ -59,18 +64,44 @@ def detect_layout(text: Column) -> Column:
     )
 
 
-#: Families of patterns that a scan counts; plain enough for any engine.
+#: Markers of the two generations of one bank's statements (fixed values).
+BNI_NEW = ["TRANSACTION INQUIRY", "ACCOUNT STATEMENT", "ACCOUNT INFORMATION", "POST DATE", "POSTING DATE", "EFFECTIVE DATE", "TRANSACTION DESCRIPTION", "DB/CR", "TOTAL DEBIT", "TOTAL CREDIT"]
+BNI_OLD = ["LAPORAN MUTASI REKENING", "TANGGAL & WAKTU", "RINCIAN TRANSAKSI", "NOMINAL (IDR)", "SALDO (IDR)"]
+
+
+def bni_format(text: Column) -> Column:
+    """'new' or 'old' by which has more markers, three at least; a tie is old; null if neither has three."""
+    count = lambda t: F.struct(score(t, [(m, 1) for m in BNI_NEW]).alias("new"), score(t, [(m, 1) for m in BNI_OLD]).alias("old"))
+    return once(once(normalised(text), count), lambda n: F.when((n["new"] >= 3) & (n["new"] > n["old"]), "new").when((n["old"] >= 3) & (n["old"] >= n["new"]), "old"))
+
+
+#: Families of secrets and personal data that a scan counts (fixed values); plain enough for any engine.
 SCAN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}",
     "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "card": r"\b\d{16}\b",
-    "secret": r"(?i)\b(?:token|password|secret|api_key)\s?[=:]\s?\"?[A-Za-z0-9]{8,}",
     "identity": r"\b\d{15}\b",
+    "private key": r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY(?: BLOCK)?-----",
+    "cloud access key": r"\bAKIA[0-9A-Z]{16}\b",
+    "repository token": r"\b(?:github_pat_|gh[pousr]_)[A-Za-z0-9_]{20,}\b",
+    "model API key": r"\bsk-[A-Za-z0-9_-]{20,}\b",
+    "chat token": r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+    "map API key": r"\bAIza[0-9A-Za-z_-]{30,}\b",
+    "credential in URL": r"(?i)\b[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s@]+@",
+    "assigned credential": r"(?i)\b(?:api[_-]?key|client[_-]?secret|access[_-]?key|password|passwd|pwd|token|secret)\s*[:=]\s*[\"']?[A-Za-z0-9]{8,}",
 }
+#: What an assigned credential may begin with and be no secret (fixed values).
+SAFE = r"(?i)[:=]\s*[\"']?(?:example|placeholder|dummy|test|changeme|your[_-])"
 
 
 def scan(df: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """key, family, findings of each text and family with any."""
-    each = F.array(*(F.struct(F.lit(k).alias("family"), F.regexp_count(F.col(text), F.lit(p)).cast("long").alias("findings")) for k, p in (patterns or SCAN).items()))
-    return df.select(key, F.explode(each).alias("x")).select(key, "x.family", "x.findings").where("findings > 0")
+    """key, family, findings of each text and family with any; assigned credentials with a safe value don't count."""
+
+    def count(family: str, pattern: str) -> Column:
+        if family != "assigned credential":
+            return F.regexp_count(F.col(text), F.lit(pattern)).cast("long")
+        return F.size(F.filter(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda x: ~x.rlike(SAFE))).cast("long")
+
+    each = F.array(*(F.struct(F.lit(k).alias("family"), count(k, p).alias("findings")) for k, p in (patterns or SCAN).items()))
+    return df.where(F.col(text).isNotNull()).select(key, F.explode(each).alias("x")).select(key, "x.family", "x.findings").where("findings > 0")

@@ -97,6 +97,11 @@ def keep_first(staged: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return staged.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def removed(staged: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many rows there are, and how many of them keep_first() drops."""
+    return staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("removed"))
+
+
 def status_rank(keterangan: Column) -> Column:
     """Severity: charged off 6, written off 5, active 4, settled by collateral 3, with a discount 2, settled 1, other or none 0."""
     return P.once(

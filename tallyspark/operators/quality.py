@@ -77,3 +77,23 @@ def reconcile(tx: DataFrame, summaries: DataFrame, keys: list[str], tolerance: i
     both = sums.join(summaries.select(*keys, "saldo_awal", "saldo_akhir"), keys).where("saldo_awal IS NOT NULL AND saldo_akhir IS NOT NULL")
     expected = (F.col("saldo_awal") + F.col("total_cr") - F.col("total_db")).cast("decimal(30,2)")
     return both.withColumn("expected", expected).where(F.abs(F.col("expected") - F.col("saldo_akhir")) > tolerance).select(*keys, "expected", F.col("saldo_akhir").cast("decimal(30,2)").alias("saldo_akhir"))
+
+
+def parser_diagnostics(summaries: DataFrame) -> DataFrame:
+    """An issue for each account whose summary carries a parser's messages (validation_issues)."""
+    said = P.clean_text(F.col("validation_issues"))
+    return summaries.where(said != "").select(
+        "source_file", F.lit("stg_bank_statement_summary").alias("table_name"), F.lit("txt_parser_diagnostics").alias("rule_name"), F.lit("WARNING").alias("severity"), F.lit("validation_issues").alias("column_name"),
+        F.lit(None).cast("int").alias("row_number"), said.alias("message"),
+    )
+
+
+def frame_errors(tx: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and error of each frame that can't be used: without rows with an amount, or with rows that lack a date, a description, a balance or both sides."""
+    bad = lambda c: F.count_if(c) > 0
+    sums = tx.groupBy(*keys).agg(
+        bad(P.clean_text(F.col("tanggal").cast("string")) == "").alias("d"), bad(P.clean_text(F.col("keterangan")) == "").alias("k"), bad(F.col("saldo").isNull()).alias("s"), bad(F.col("db").isNull() & F.col("cr").isNull()).alias("n"),
+        bad(F.col("db").isNotNull() & F.col("cr").isNotNull()).alias("b"),
+    )
+    checks = [("d", "missing date"), ("k", "missing description"), ("s", "missing balance"), ("n", "missing debit and credit"), ("b", "debit and credit")]
+    return sums.select(*keys, F.explode(F.array_compact(F.array(*(F.when(F.col(c), m) for c, m in checks)))).alias("error"))

@@ -125,7 +125,33 @@ def identity_valid(number: Column) -> Column:
     """16 digits that are not all one, with a region, a day of 1 to 31 (40 more for women) and a month."""
     day = F.substring(number, 7, 2).try_cast("int")
     day = F.when(day > 40, day - 40).otherwise(day)
-    return F.coalesce(number.rlike(r"^\d{16}$") & ~number.rlike(r"^(\d)\1{15}$") & (F.substring(number, 1, 2).try_cast("int") > 0) & day.between(1, 31) & F.substring(number, 9, 2).try_cast("int").between(1, 12), F.lit(False))
+    return F.coalesce(number.rlike(r"^\d{16}$") & ~number.rlike(r"^(\d)\1{15}$") & (F.substring(number, 1, 6).try_cast("int") > 0) & day.between(1, 31) & F.substring(number, 9, 2).try_cast("int").between(1, 12), F.lit(False))
+
+
+def _numbers(text: Column, pattern: str) -> Column:
+    """Runs of so many digits, which spaces, dots and hyphens may part, as digits."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?<!\d)({pattern})(?!\d)"), F.lit(1)), lambda x: F.regexp_replace(x, r"\D", ""))
+
+
+def _after_label(lines: Column, found: Column, label: str, reach: int) -> Column:
+    """The first number on a line with the label or on the lines after it (at most so many, up to the next label)."""
+
+    def at(line: Column, i: Column) -> Column:
+        stop = F.array_position(F.transform(F.slice(lines, i + 2, reach), lambda x: x.isin(LABELS)), True).cast("int")
+        near = F.slice(found, i + 1, F.when(stop > 0, stop).otherwise(reach + 1))
+        return F.when(line.rlike(rf"(?i)\b{label}\b"), F.get(F.filter(near, lambda x: x.isNotNull()), 0))
+
+    return F.get(F.filter(F.transform(lines, at), lambda x: x.isNotNull()), 0)
+
+
+def identity(lines: Column) -> Column:
+    """A debtor's number: the one labelled NIK, else the first valid one, else the tax number labelled NPWP; '' if there is none."""
+    nik = F.transform(lines, lambda x: F.get(F.filter(_numbers(x, r"(?:\d[\s.\-]?){16}"), identity_valid), 0))
+    npwp = F.transform(lines, lambda x: F.get(F.filter(_numbers(x, r"(?:\d[\s.\-]?){15,16}"), lambda n: n.rlike(r"^\d{15,16}$") & ~n.rlike(r"^(\d)\1+$")), 0))
+    return P.once(
+        F.struct(lines.alias("lines"), nik.alias("nik"), npwp.alias("npwp")),
+        lambda x: F.coalesce(_after_label(x["lines"], x["nik"], "NIK", 3), F.get(F.filter(x["nik"], lambda n: n.isNotNull()), 0), _after_label(x["lines"], x["npwp"], "NPWP", 7), F.lit("")),
+    )
 
 
 def report_number(text: Column) -> Column:

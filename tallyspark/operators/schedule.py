@@ -68,3 +68,9 @@ def yearly(clean_df: DataFrame) -> DataFrame:
         "source_file", "seq", "year", (paid + F.when(F.col("b") == F.col("term"), F.col("payment")).otherwise(0.0)).cast("long").alias("cpltd"), interest.alias("interest"),
         F.greatest(F.lit(0.0), F.bround(F.col("opening") - F.col("payment"), 0)).cast("long").alias("ltd"),
     )
+
+
+def beside(rows: DataFrame, years: DataFrame) -> DataFrame:
+    """A loan's yearly figures beside its first period: how many years, the first one, and the sums of payments and interest."""
+    sums = years.groupBy("source_file", "seq").agg(F.count(F.lit(1)).alias("years"), F.min("year").alias("first_year"), F.sum("cpltd").alias("cpltd"), F.sum("interest").alias("interest"))
+    return rows.where("period = 1").select("source_file", "seq", "period").join(sums, ["source_file", "seq"])

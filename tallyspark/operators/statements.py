@@ -28,12 +28,14 @@ def _money_at_end(line: Column) -> Column:
     return P.us_money(F.element_at(F.regexp_extract_all(line, F.lit(f"(?i)({MONEY})"), 1), -1))
 
 
-def classify(text_lines: DataFrame) -> DataFrame:
+def classify(text_lines: DataFrame, metadata_first: bool = False) -> DataFrame:
     """Lines with kind, block (0 before the first account) and tx (0 before the first transaction).
 
     A line is the first of these that it matches: account, period, opening, closing, carried,
     transaction, metadata, continuation. Period, opening and closing need an open block. Running
     sums number blocks and transactions; what closes a transaction starts a group without text.
+    metadata_first: as the older reconciliation reader, which drops lines with a metadata word even
+    if they are transactions.
     """
     upper = F.upper(P.clean_text(F.col("line")))
     keyword = F.lit(False)
@@ -44,7 +46,7 @@ def classify(text_lines: DataFrame) -> DataFrame:
     blocks = rows.withColumn("is_account", F.col("line").rlike(ACCOUNT)).withColumn("block", F.sum(F.col("is_account").cast("int")).over(by_file))
     inside = F.col("block") > 0
     kind = (
-        F.when(F.col("is_account"), "account").when(F.col("line").rlike(PERIOD) & inside, "period").when(F.col("line").rlike(r"(?i)SALDO\s+AWAL") & inside, "opening")
+        F.when(F.col("is_account"), "account").when(F.lit(metadata_first) & (keyword | upper.rlike(r"^\*+$")) & ~F.col("line").rlike(PERIOD), "metadata").when(F.col("line").rlike(PERIOD) & inside, "period").when(F.col("line").rlike(r"(?i)SALDO\s+AWAL") & inside, "opening")
         .when(F.col("line").rlike(r"(?i)SALDO\s+AKHIR") & inside, "closing").when(F.col("line").rlike("(?i)PINDAHAN"), "carried").when(F.col("line").rlike(LINE), "tx")
         .when(keyword | upper.rlike(r"^\*+$"), "metadata").when(F.col("line").rlike(r"(?i)SALDO\s+(?:AWAL|AKHIR)"), "metadata").otherwise("more")
     )
@@ -192,8 +194,9 @@ def recap_join(recap: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def footers(month_rows: DataFrame) -> DataFrame:
-    """Rows by account, year and month, with a total row (month null) for each year."""
-    return month_rows.rollup("account", "year", "month").agg(F.sum("db_total").cast("decimal(38,2)").alias("db_total"), F.sum("cr_total").cast("decimal(38,2)").alias("cr_total"), F.sum("db_count").alias("db_count"), F.sum("cr_count").alias("cr_count")).where("year IS NOT NULL")
+    """Rows by account, year and month, with a total row (month null) for each year; means are of the months that have the figure, 0 if none has."""
+    mean = lambda c: F.coalesce(F.round(F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0)), 2), F.lit(0.0))
+    return month_rows.rollup("account", "year", "month").agg(F.sum("db_total").cast("decimal(38,2)").alias("db_total"), F.sum("cr_total").cast("decimal(38,2)").alias("cr_total"), F.sum("db_count").alias("db_count"), F.sum("cr_count").alias("cr_count"), mean("db_total").alias("db_mean"), mean("cr_total").alias("cr_mean")).where("year IS NOT NULL")
 
 
 def duplicate_months(tx: DataFrame, files: str = "source_file") -> DataFrame:

@@ -203,7 +203,7 @@ _MONTHLY_SQL = f"""SELECT account, year(tanggal)::INT AS year, month(tanggal)::I
 _register("monthly_summary", lambda spark, sf_dir: statements.monthly(_inferred(spark, sf_dir), _ORDER), _MONTHLY_SQL, *_TX, _INFER_SQL)
 _register(
     "workbook_footers", lambda spark, sf_dir: statements.footers(statements.monthly(_inferred(spark, sf_dir), _ORDER)),
-    f"SELECT account, year, month, sum(db_total)::DECIMAL(38,2) AS db_total, sum(cr_total)::DECIMAL(38,2) AS cr_total, sum(db_count)::BIGINT AS db_count, sum(cr_count)::BIGINT AS cr_count FROM ({_MONTHLY_SQL}) GROUP BY GROUPING SETS ((account, year, month), (account, year))", *_TX, _INFER_SQL,
+    f"SELECT account, year, month, sum(db_total)::DECIMAL(38,2) AS db_total, sum(cr_total)::DECIMAL(38,2) AS cr_total, sum(db_count)::BIGINT AS db_count, sum(cr_count)::BIGINT AS cr_count, coalesce(round(sum(db_total)::DOUBLE / nullif(count(db_total), 0), 2), 0.0) AS db_mean, coalesce(round(sum(cr_total)::DOUBLE / nullif(count(cr_total), 0), 2), 0.0) AS cr_mean FROM ({_MONTHLY_SQL}) GROUP BY GROUPING SETS ((account, year, month), (account, year))", *_TX, _INFER_SQL,
 )
 _register("category_totals_overlap", lambda spark, sf_dir: A.transactions(spark, sf_dir).groupBy("account").agg(*statements.categories_overlapping()), f"SELECT account, {_CATS} FROM tx GROUP BY 1", *_TX)
 _CAT_SQL = """cats AS (SELECT *, CASE WHEN db IS NOT NULL THEN CASE WHEN regexp_matches(keterangan, '\\bPPH\\b|PAJAK|\\bTAX\\b') THEN 'Pajak' WHEN regexp_matches(keterangan, 'BUNGA') THEN 'Bunga' WHEN regexp_matches(keterangan, 'ADMIN|^BIAYA') THEN 'Adm' END
@@ -302,7 +302,8 @@ _register(
 _TEXT = f"upper(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 _register("bank_detect", lambda spark, sf_dir: A.table(spark, sf_dir, "documents").select("doc_id", detect.detect_bank(F.concat(F.when(F.col("doc_id") % 5 == 0, "BANK CENTRAL ASIA ").when(F.col("doc_id") % 5 == 1, "Kopra by\nMandiri ").when(F.col("doc_id") % 5 == 2, "LAPORAN TRANSAKSI FINANSIAL ").otherwise(""), "text"), F.lit("x.pdf")).alias("bank")),
           "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'BCA' WHEN 1 THEN 'Mandiri' WHEN 2 THEN 'BRI' END AS bank FROM documents")
-_scan_sql = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS family, len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS findings FROM documents" for k, p in detect.SCAN.items())
+_found_sql = lambda k, p: (f"len(list_filter(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'), lambda x: NOT regexp_matches(x, '{detect.SAFE.replace(chr(39), chr(39) * 2)}')))" if k == "assigned credential" else f"len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'))")
+_scan_sql = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS family, {_found_sql(k, p)} AS findings FROM documents" for k, p in detect.SCAN.items())
 _register("privacy_scan", lambda spark, sf_dir: detect.scan(A.table(spark, sf_dir, "documents"), "doc_id", "text"), f"SELECT doc_id, family, findings::BIGINT AS findings FROM ({_scan_sql}) WHERE findings > 0")
 _register("lineage_roundtrip", lambda spark, sf_dir: sources.without_lineage(sources.with_lineage(A.ledger(spark, sf_dir).select("file_name", "file_hash", "status"), "job-1", "core", "1")), "SELECT file_name, file_hash, status FROM ledger", A.LEDGER_SQL)
 _register(

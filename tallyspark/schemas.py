@@ -39,3 +39,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         return (F.col(f"`{found}`").try_cast(f.dataType) if found else F.lit(None).cast(f.dataType)).alias(f.name)
 
     return df.select(*(column(f) for f in schema.fields))
+
+
+def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df with all columns of the schema: missing ones are added as nulls, its own others stay at the end."""
+    have = {c.lower() for c in df.columns}
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in have]
+    rest = [c for c in df.columns if c.lower() not in schema.names]
+    return df.select("*", *more).select(*schema.names, *rest)

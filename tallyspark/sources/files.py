@@ -44,3 +44,17 @@ def period_from_name(name: Column) -> tuple[Column, Column]:
     digits = F.regexp_extract(name, r"20\d{2}[-_ .]?(0[1-9]|1[0-2])(?!\d)", 1).try_cast("int")
     words = F.filter(F.transform(F.split(name, "[^A-Za-z]+"), month_number), lambda m: m.isNotNull())
     return year, F.coalesce(digits, F.get(words, 0))
+
+
+def account_from_name(name: Column) -> Column:
+    """The first run of six digits or more that is no year and month; null if there is none."""
+    runs = F.filter(F.regexp_extract_all(name, F.lit(r"(\d{6,})"), F.lit(1)), lambda x: ~x.rlike(r"^20\d{2}(?:0[1-9]|1[0-2])(?:\d{2})?$"))
+    return F.get(runs, 0)
+
+
+def metadata_from_path(path: Column) -> tuple[Column, Column, Column]:
+    """Account, year and month that a file's name tells, else its folder's name."""
+    parts = F.split(path, "/")
+    name, folder = F.element_at(parts, -1), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    (y1, m1), (y2, m2) = period_from_name(name), period_from_name(folder)
+    return F.coalesce(account_from_name(name), account_from_name(folder)), F.coalesce(y1, y2), F.coalesce(m1, m2)

@@ -38,6 +38,11 @@ def register(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df
 
 
+def query(spark: SparkSession, sql: str) -> DataFrame:
+    """A SQL statement over the registered views."""
+    return spark.sql(sql)
+
+
 def save_table(df: DataFrame, name: str, mode: str) -> None:
     if mode not in ("replace", "append"):
         raise ValueError("mode must be replace or append")

@@ -37,3 +37,14 @@ def status(files: Column, failed: Column) -> Column:
 
 def history(ledger: DataFrame, limit: int = 50) -> DataFrame:
     return ledger.orderBy(F.desc("processed_at"), F.desc("file_name")).limit(limit)
+
+
+def event(entries: DataFrame, name: str, seq: int) -> DataFrame:
+    """Audit rows to append for entries: what happened (running, done, failed, cleaned) and its place in the order of events."""
+    return entries.select("job_id", "file_name", "row_count", F.lit(name).alias("event"), F.lit(seq).alias("seq"))
+
+
+def current(events: DataFrame) -> DataFrame:
+    """The last event of each job and file."""
+    place = F.row_number().over(Window.partitionBy("job_id", "file_name").orderBy(F.desc("seq"), "event"))
+    return events.withColumn("_place", place).where("_place = 1").drop("_place")
