@@ -64,6 +64,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_license_scan that are counted exactly."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5_chat_format reads back from its output."""
+    return op5_chat_format(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of op7_quality."""
+    return op7_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that op8_fingerprint compares."""
+    return op8_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def packed_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_packing packs, and that each row fits its bucket and batch."""
+    row = op10_packing(spark, sf_dir)
+    fits = (F.col("n_tokens") <= F.col("bucket_len")) & (F.col("slot") < F.greatest(F.lit(1), F.floor(F.lit(16_384) / F.greatest("bucket_len", F.lit(1)))))
+    return row.select("doc_id", "n_tokens", fits.alias("fits"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -75,7 +102,30 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_html_main": op9_html_main,
     "op10_packing": op10_packing,
+    "license_base": license_base,
+    "chat_turns": chat_turns,
+    "quality_base": quality_base,
+    "edited_texts": edited_texts,
+    "packed_lengths": packed_lengths,
 }
 
-#: None of the ten can be stated in DuckDB SQL: they hash, learn, parse or optimise. tests/llm holds each against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_PLACES = "list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by' OR w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' OR w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved')"
+#: SQL for what can be counted exactly. What is hashed, learnt, parsed or optimised has none; tests/llm holds it against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "license_base": rf"""SELECT doc_id, len(w) AS n_words, len(found) AS n_base, found[1] - 1 AS first_word, found[len(found)] - 1 AS last_word,
+      array_to_string(list_sort(list_distinct(list_transform(found, lambda i: CASE w[i] WHEN 'cc' THEN 'cc-by' WHEN 'general' THEN 'gpl' ELSE 'reserved' END))), ',') AS base_labels
+      FROM (SELECT doc_id, w, {_PLACES} AS found FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents))""",
+    "chat_turns": """WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256 FROM turns GROUP BY conv_id""",
+    "quality_base": rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+      windows AS (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM (SELECT row, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS g FROM d)),
+      repeats AS (SELECT row, count(DISTINCT i + k) AS n FROM windows, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY row),
+      lines AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row)
+      SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+      len(w) < 50 OR 100 * coalesce(repeats.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN repeats USING (row) LEFT JOIN lines USING (row)""",
+    "edited_texts": """SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(after, 1, length(t) // 2)) AS edited_sha256
+      FROM (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id, t), first_value(t) OVER (ORDER BY doc_id, t)) AS after FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""",
+    "packed_lengths": f"SELECT doc_id, len({_WORDS}) AS n_tokens, true AS fits FROM documents",
+}

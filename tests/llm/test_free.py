@@ -169,6 +169,50 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.Scorer(none).score("you idiot") > toxicity.Scorer(none).score('he said "you idiot" once')
 
 
+def test_scores_equal_a_plain_version():
+    """Hits by edit distance over all terms, contexts by looking at the words before, the logistic function by hand."""
+    random.seed(21)
+    terms = [("stupid", False, 2.0), ("idiot", False, 3.0), ("worthless", False, 1.5), ("moron", True, 2.5)]
+    model = toxicity.Model(terms, [-2.0, 1.5, 0.7])
+    scorer = toxicity.Scorer(model)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    def plain(text):
+        words, total = re.findall(r"[^\W_]+", text.lower()), 0.0
+        for i, w in enumerate(words):
+            near = []
+            for t, (term, stem, _) in enumerate(terms):
+                e = min(distance(w[:k], term) for k in range(len(w) + 1)) if stem else distance(w, term)
+                if e <= toxicity.edits_allowed(term, stem):
+                    near.append((e, t))
+            if near:
+                e, t = min(near)
+                weight = 0.3 if any(x in toxicity.REPORTING for x in words[max(0, i - toxicity.WINDOW) : i]) else 1.25 if any(x in toxicity.SECOND_PERSON for x in words[max(0, i - 3) : i]) else 1.0
+                total += terms[t][2] * weight / (1 + e)
+        x = [1.0, np.log1p(total), np.log1p(1000 * total / len(words)) / 7 if words else 0.0]
+        return 1 / (1 + np.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    pool = ["stupid", "stupyd", "xstupid", "idiot", "idit", "worthles", "worthlessly", "moronic", "morn", "the", "you", "said", "are", "house", "green", "wrote", "fox"]
+    for _ in range(300):
+        text = " ".join(random.choices(pool, k=random.randint(0, 14)))
+        assert abs(scorer.score(text) - plain(text)) < 1e-12, text
+
+
+def test_toxicity_of_the_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("predicted", "toxic").collect()
+    right = sum(r.predicted == r.toxic for r in rows)
+    assert len(rows) > 50 and right >= 0.97 * len(rows)
+
+
 # --- 3 ---------------------------------------------------------------------------------------
 
 

@@ -129,6 +129,16 @@ TEXTS = [
 ]
 
 
+def test_quality_threshold_holds_for_labels_that_are_not_trusted(spark):
+    """Half of the good texts are trusted; the verdicts on all others are held against their labels."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    judged = quality.verdicts(docs, labels.where((F.col("quality") == 1) & half).select("doc_id")).join(labels.where(~half), "doc_id").where("NOT base_failed").select("quality", "kept").collect()
+    good, bad = ([r.kept for r in judged if r.quality == q] for q in (1, 0))
+    assert len(good) > 50 and sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_pii(spark):
     docs = table(spark, TEXTS)
     done = pii.pseudonymise(docs, key="k")

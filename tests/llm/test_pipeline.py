@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import pytest
 import xxhash
 
 import corpus_pipeline
-from tallyspark.llm import packing, pii, quality, toxicity
+from tallyspark.llm import packing, pii, quality, queries, toxicity
 
 from .test_free import classes_by_brute_force, plain_fingerprint
 
@@ -128,3 +130,14 @@ def test_a_repeated_id_loses_only_its_rows_of_other_classes(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.stages.near_duplicates(spark, docs, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(2, words("b")), (5, words("a")), (7, words("c"))])
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_exact_columns_equal_sql(spark, name):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    df, result = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(tuple(r) for r in df.select(*names).collect()) == Counter(result.fetchall())
