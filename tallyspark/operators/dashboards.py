@@ -257,3 +257,19 @@ def rate_scatter(df: DataFrame, ranges: int | None = None) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("_range", "at.kol").orderBy("at"))
     numbered = dealt.withColumn("_place", place).select("at.*", "_range", "_place", "baki_debet").join(F.broadcast(starts), ["kol", "_range"])
     return numbered.select("kol", (F.col("_start") + F.col("_place")).cast("int").alias("place"), "rate", "baki_debet", "source_file", "seq")
+
+
+def workbook(df: DataFrame, guarantees: DataFrame | None = None, issues: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of a facility workbook: facilities with subtotals, guarantees if there are any, four dashboards, instalments, issues."""
+    from tallyspark.operators import facilities, schedule
+
+    flat = df.withColumn("risk_flags", F.array_join("risk_flags", ", "))
+    out = {
+        "SLIK": flat, "Subtotals": facilities.subtotals(df), "Dashboard_Summary": kpi_summary(df), "Dashboard_Risk": kpi_risk(df), "Dashboard_Maturity": maturity_buckets(df), "Dashboard_Debtors": debtor_risk_ranking(df),
+        "Angsuran": schedule.schedule(df), "Angsuran_Tahunan": schedule.yearly(df),
+    }
+    if guarantees is not None and not guarantees.isEmpty():
+        out["Bank_Garansi"] = guarantees
+    if issues is not None:
+        out["Data_Quality"] = issues
+    return out

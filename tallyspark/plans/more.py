@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import parsing as P
-from tallyspark.operators import accounts, dashboards, documents, facilities, quality, reports, schedule, statements
+from tallyspark.operators import accounts, dashboards, documents, facilities, names, quality, reports, schedule, statements
 from tallyspark.plans import adapters as A
 from tallyspark.plans.queries import _BASE_SQL, _INFER_SQL, _MONTHLY_SQL, _ORDER, _SCHEDULE_SQL, _TX, _clean, _inferred, _on_clean, _register
 from tallyspark.schemas import LEDGER, evolve
@@ -306,3 +306,27 @@ _register(
     "workbook_months", lambda spark, sf_dir: documents.workbook(statements.monthly(_inferred(spark, sf_dir), _ORDER), _mixed(spark, sf_dir), ["account"], _ORDER)["Months"],
     "SELECT strftime(tanggal, '%b_%y') AS sheet, account, source_sequence, tanggal, keterangan, db, cr FROM tx", *_TX,
 )
+
+
+def _first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a report's first page in seven layouts, by the customer's key."""
+    c = A.table(spark, sf_dir, "customer")
+    name = F.concat(F.lit("BUDI "), F.translate(F.col("c_custkey").cast("string"), "0123456789", "ABCDEFGHIJ"), F.lit("XY"))
+    shapes = [
+        ["Posisi Data Terakhir", "Data Pokok Debitur", name, "NIK / 3171", "Nama Debitur", "OTHER NAME"],
+        ["Data Pokok Debitur", "Nama Debitur", "WIRASWASTA", "Indonesia", "BANDUNG", name, "NPWP"],
+        ["Data Pokok Debitur", "Nama Debitur", "FIRST NAME", name, "12 / x", "Ringkasan Fasilitas", "LATE NAME"],
+        ["Data Pokok Debitur", "Nama Debitur", "123", "JENIS KELAMIN", name],
+        ["RAHASIA", name, "Informasi diberikan kepada", "Data Pokok Debitur", "1"],
+        ["lower text", "Nomor Laporan", "Nama Debitur", "9", F.concat(F.lit("PT "), name), "NPWP", "X"],
+        ["BANK ABC", "12", "nik"],
+    ]
+    texts = [F.array(*(x if not isinstance(x, str) else F.lit(x) for x in shape)) for shape in shapes]
+    k = F.col("c_custkey") % 7
+    return c.select("c_custkey", reduce(lambda w, i: w.when(k == i, texts[i]), range(1, 7), F.when(k == 0, texts[0])).alias("lines"))
+
+
+_register(
+    "debtor_names", lambda spark, sf_dir: _first_pages(spark, sf_dir).select("c_custkey", names.debtor(F.col("lines")).alias("nama")),
+    "SELECT c_custkey, CASE WHEN c_custkey % 7 = 6 THEN '' ELSE CASE WHEN c_custkey % 7 = 5 THEN 'PT ' ELSE '' END || 'BUDI ' || translate(c_custkey::VARCHAR, '0123456789', 'ABCDEFGHIJ') || 'XY' END AS nama FROM customer",
+)

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LAYERS = ("staging", "dwh", "mart")
 
@@ -49,10 +50,12 @@ def save_table(df: DataFrame, name: str, mode: str) -> None:
     df.write.mode("overwrite" if mode == "replace" else "append").saveAsTable(table_name(name))
 
 
-def persist(targets: dict[tuple[str, str], Callable[[], DataFrame]], root: str) -> tuple[dict, dict]:
-    """Writes each (layer, name); a target that fails doesn't stop the others. Paths and errors by target."""
+def persist(targets: dict[tuple[str, str], Callable[[], DataFrame]], root: str, wanted: tuple[str, ...] = LAYERS) -> tuple[dict, dict]:
+    """Writes each (layer, name) of the wanted layers; a target that fails doesn't stop the others. Paths and errors by target."""
     done, errors = {}, {}
     for (layer, name), make in targets.items():
+        if layer in LAYERS and layer not in wanted:
+            continue
         try:
             done[layer, name] = write(make(), root, layer, name)
         except Exception as e:  # noqa: BLE001  reported, not swallowed
@@ -60,6 +63,43 @@ def persist(targets: dict[tuple[str, str], Callable[[], DataFrame]], root: str)
     return done, errors
 
 
+def append(df: DataFrame, root: str, name: str) -> str:
+    """Adds rows to an audit table (jobs, files, errors, quality, cleanup); columns that it lacks come later, as nulls in older rows."""
+    path = f"{root}/audit/{table_name(name)}"
+    df.write.mode("append").parquet(path)
+    return path
+
+
+def read_audit(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """An audit table with the columns of all its parts."""
+    return spark.read.option("mergeSchema", True).parquet(f"{root}/audit/{table_name(name)}")
+
+
+def export_workbook(tables: dict[str, DataFrame], root: str, by: tuple[str, ...] = ()) -> dict[str, str]:
+    """Writes each table of a workbook, parted by the columns of by that it has (account, year); paths by table."""
+    out = {}
+    for name, df in tables.items():
+        out[name] = f"{root}/{table_name(name)}"
+        own = [c for c in by if c in df.columns]
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*own) if own else writer).parquet(out[name])
+    return out
+
+
+def export_labels(labels: DataFrame, path: str, key: str, known: DataFrame | None = None) -> int:
+    """Adds labels as JSON where their key isn't there yet; ValueError, and nothing is written, if one differs from what is. known: what path holds; None if it is new. The number of new rows."""
+    from tallyspark.operators.accounts import differing
+
+    if known is not None:
+        changed = differing(labels, known.select(*labels.columns), key)
+        if not changed.isEmpty():
+            raise ValueError(f"labels differ from those written: {[r[0] for r in changed.limit(5).collect()]}")
+        labels = labels.join(known.select(key), key, "left_anti")
+    n = labels.count()
+    labels.write.mode("append").json(path)
+    return n
+
+
 def cache_write(df: DataFrame, root: str) -> None:
     """Parsed rows by document type, parser version and file hash; a partition is written anew."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_type", "parser_version", "source_file_hash").parquet(f"{root}/cache")
@@ -67,4 +107,4 @@ def cache_write(df: DataFrame, root: str) -> None:
 
 def cache_read(spark: SparkSession, root: str, document_type: str, version: str) -> DataFrame:
     """What is cached of a type and version; only these partitions are read."""
-    return spark.read.parquet(f"{root}/cache").where(f"document_type = '{document_type}' AND parser_version = '{version}'")
+    return spark.read.parquet(f"{root}/cache").where((F.col("document_type") == document_type) & (F.col("parser_version") == version))

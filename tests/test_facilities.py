@@ -82,3 +82,13 @@ def test_keep_first_is_idempotent_and_null_safe(spark):
     df = spark.createDataFrame([("f", 1, None), ("f", 2, None), ("f", 3, "x")], "source_file string, seq int, k string")
     once = facilities.keep_first(df, ["k"], ["source_file", "seq"])
     assert sorted(r.seq for r in once.collect()) == [1, 3] and facilities.keep_first(once, ["k"], ["seq"]).count() == 2
+
+
+def test_the_workbook_has_all_tables(spark):
+    from tallyspark.operators import dashboards
+    from tallyspark.plans import adapters
+
+    df = facilities.clean(adapters.facilities(spark, "/root/testdata/sf0.001"), adapters.AS_OF)
+    tables = dashboards.workbook(df, issues=df.limit(0))
+    assert {"SLIK", "Subtotals", "Angsuran", "Angsuran_Tahunan", "Data_Quality"} < set(tables) and "Bank_Garansi" not in tables
+    assert tables["SLIK"].count() == df.count() and tables["Dashboard_Maturity"].count() >= 5

@@ -41,3 +41,22 @@ def test_detection(spark):
 def test_period_from_name(spark):
     df = spark.createDataFrame([("rek_2024-05.pdf",), ("Mutasi Mei 2023",), ("x",)], "n string")
     assert [tuple(r) for r in df.select(*files.period_from_name(F.col("n"))).collect()] == [(2024, 5), (2023, 5), (None, None)]
+
+
+def test_audit_tables_grow_and_labels_are_never_overwritten(spark, tmp_path):
+    root = str(tmp_path)
+    layers.append(spark.createDataFrame([("j1", "running")], "job_id string, status string"), root, "Jobs")
+    layers.append(spark.createDataFrame([("j1", "done", 3)], "job_id string, status string, files int"), root, "Jobs")
+    assert {tuple(r) for r in layers.read_audit(spark, root, "jobs").select("job_id", "status", "files").collect()} == {("j1", "running", None), ("j1", "done", 3)}
+    one = spark.createDataFrame([("a", 1)], "id string, n int")
+    assert layers.export_labels(one, f"{root}/labels", "id") == 1
+    known = spark.read.schema("id string, n int").json(f"{root}/labels")
+    assert layers.export_labels(spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int"), f"{root}/labels", "id", known) == 1
+    with pytest.raises(ValueError):
+        layers.export_labels(spark.createDataFrame([("a", 9)], "id string, n int"), f"{root}/labels", "id", known)
+    done, errors = layers.persist({("staging", "x"): lambda: one, ("mart", "y"): lambda: one, ("nowhere", "z"): lambda: one}, root, wanted=("staging",))
+    assert list(done) == [("staging", "x")] and list(errors) == [("nowhere", "z")]
+    layers.cache_write(spark.createDataFrame([("t", "1", "h", 5), ("t", "2", "h", 6)], "document_type string, parser_version string, source_file_hash string, n int"), root)
+    assert [r.n for r in layers.cache_read(spark, root, "t", "2").collect()] == [6]
+    paths = layers.export_workbook({"Summary": spark.createDataFrame([("a", 2024, 1)], "account string, year int, n int")}, root, ("account", "year"))
+    assert spark.read.parquet(paths["Summary"]).where("account = 'a' AND year = 2024").count() == 1
