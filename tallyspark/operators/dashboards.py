@@ -273,3 +273,12 @@ def workbook(df: DataFrame, guarantees: DataFrame | None = None, issues: DataFra
     if issues is not None:
         out["Data_Quality"] = issues
     return out
+
+
+def bars(df: DataFrame, by: str, order: list[str] | None = None) -> DataFrame:
+    """place, value and sums by a column, null groups kept; place: in a given order of values, else by the sum, from 1."""
+    sums = df.groupBy(F.col(by).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("facility_count"), money_sum("baki_debet").alias("total_baki_debet"))
+    if order:
+        return sums.withColumn("place", F.coalesce(F.nullif(F.array_position(F.lit(order), F.col("value")).cast("int"), F.lit(0)), F.lit(len(order) + 1)))
+    # One row per value: the window runs over groups, not over facilities.
+    return sums.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total_baki_debet"), F.asc_nulls_last("value"))))

@@ -17,7 +17,7 @@ FIELDS = {
     "BCA": {"account": r"NO\. REKENING\s*:\s*(\d+)", "account_type": r"^\s*(REKENING (?:TAHAPAN|GIRO))\s*$", "period": r"PERIODE\s*:\s*([^\r\n]+)", "currency": r"MATA UANG\s*:\s*(\w+)"},
     "BRI": {"account": r"No\. Rekening\s*:\s*(\d+)", "account_type": r"Nama Produk\s*:\s*(.*?)\s{3,}", "period": r"Periode Transaksi\s*:\s*(\d{2}/\d{2}/\d{2}\s*-\s*\d{2}/\d{2}/\d{2})", "currency": r"Valuta\s*:\s*(\w+)"},
     "BNI": {"account": r"TAPLUS.*?-\s*(\d+)", "account_type": "=TAPLUS MUDA", "period": r"Periode:\s*([^\r\n]+)", "currency": r"Mata Uang:\s*(\w+)"},
-    "Mandiri": {"account": r"Account No\.?\s+(\d+)", "account_type": "=Account Statement", "period": r"^Period\s+([^\r\n]+)", "currency": r"^Currency\s+(\w+)"},
+    "Mandiri": {"account": r"Account No\.?(?:\s+Account Name[^\n]*\n)?\s+(\d+)", "account_type": "=Account Statement", "period": r"^Period\s+(?:Currency\s+Branch\s*\n\s*)?([^\r\n]+?\d{4})\b(?:\s+\w+\s+\w+)?$", "currency": (r"^Currency\s+(\w+)", r"^Period\s+Currency\s+Branch\s*\n[^\n]*\d{4}\s+(\w+)")},
     "DKI": {"account": r"DKI\s*-\s*(\d+)", "account_type": "=Tabungan", "period": r"\b((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+20\d{2})", "currency": "=IDR"},
 }
 AMOUNT = r"([\d,]+\.\d{2})"
@@ -30,9 +30,11 @@ def texts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
-def field(pattern: str, text: str = "text") -> Column:
-    """The first group of the pattern's first match, by line and whatever the case, with single spaces; null if there is none."""
-    return F.lit(pattern[1:]) if pattern.startswith("=") else P.blank_to_null(F.regexp_extract(F.col(text), f"(?im){pattern}", 1))
+def field(pattern: str | tuple[str, ...], text: str = "text") -> Column:
+    """The first group of the pattern's (or the first pattern's that has one) first match, by line and whatever the case, with single spaces; null if there is none."""
+    if isinstance(pattern, str) and pattern.startswith("="):
+        return F.lit(pattern[1:])
+    return F.coalesce(*(P.blank_to_null(F.regexp_extract(F.col(text), f"(?im){p}", 1)) for p in ([pattern] if isinstance(pattern, str) else pattern)))
 
 
 def _only(label: str, rest: str, group: int) -> Column:
@@ -57,10 +59,14 @@ def _printed(bank: str) -> dict[str, Column]:
         return four(reports.recap_bounded(F.col("text")), ["saldo_awal", "db_total", "cr_total", "saldo_akhir"]) | none
     if bank == "BNI":
         return four(reports.recap(F.col("text"), ["Saldo Awal", "Total Pemasukan", "Total Pengeluaran", "Saldo Akhir"], 4), ["saldo_awal", "cr_total", "db_total", "saldo_akhir"]) | none
-    one = lambda label: money(field(label + r"\s+([\d,]+\.\d{2})"))
+    # Labels stand before their values, or three of them head a line with three values.
+    one = lambda label: money(field(label + r"[^\S\n]+([\d,]+\.\d{2})"))
+    opened = reports.recap(F.col("text"), ["Opening Balance", "No. of Debit", "Total Amount Debited"], 3, reports.INTEGER)
+    closed = reports.recap(F.col("text"), ["Closing Balance", "No. of Credit", "Total Amount Credited"], 3, reports.INTEGER)
     return {
-        "saldo_awal": one("Opening Balance"), "cr_total": one("Total Amount Credited"), "db_total": one("Total Amount Debited"), "saldo_akhir": one("Closing Balance"),
-        "cr_count": field(r"No\.? of Credit\s+(\d+)").try_cast("long"), "db_count": field(r"No\.? of Debit\s+(\d+)").try_cast("long"),
+        "saldo_awal": F.coalesce(one("Opening Balance"), F.get(opened, 0)), "cr_total": F.coalesce(one("Total Amount Credited"), F.get(closed, 2)), "db_total": F.coalesce(one("Total Amount Debited"), F.get(opened, 2)),
+        "saldo_akhir": F.coalesce(one("Closing Balance"), F.get(closed, 0)), "cr_count": F.coalesce(field(r"No\.? of Credit[^\S\n]+(\d+)").try_cast("long"), F.get(closed, 1).cast("long")),
+        "db_count": F.coalesce(field(r"No\.? of Debit[^\S\n]+(\d+)").try_cast("long"), F.get(opened, 1).cast("long")),
     }
 
 

@@ -167,13 +167,17 @@ def fallback_rows(documents: DataFrame, found: DataFrame) -> DataFrame:
 AMOUNT = r"[+-]?\d[\d,]*\.\d{2}"
 
 
-def recap(text: Column, header: list[str], n: int) -> Column:
+#: An amount that may lack its decimals.
+INTEGER = r"[+-]?\d[\d,]*(?:\.\d{2})?"
+
+
+def recap(text: Column, header: list[str], n: int, amount: str = AMOUNT) -> Column:
     """The n amounts of the first line with exactly n of them, within seven lines after the header; null if there is none."""
     lines = F.split(text, "\n", -1)
     heads = F.transform(lines, lambda x: F.forall(F.array(*map(F.lit, header)), lambda h: x.contains(h)))
     at = F.array_position(heads, True).cast("int")
     near = F.slice(lines, F.greatest(at, F.lit(1)) + 1, 7)
-    rows = F.filter(F.transform(near, lambda x: F.regexp_extract_all(x, F.lit(f"({AMOUNT})"), 1)), lambda a: F.size(a) == n)
+    rows = F.filter(F.transform(near, lambda x: F.regexp_extract_all(x, F.lit(f"({amount})"), 1)), lambda a: F.size(a) == n)
     amounts = F.transform(F.get(rows, 0), lambda a: P.us_money(F.regexp_replace(a, r"^[+-]", "")))
     return F.when(at > 0, amounts)
 

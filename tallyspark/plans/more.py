@@ -330,3 +330,18 @@ _register(
     "debtor_names", lambda spark, sf_dir: _first_pages(spark, sf_dir).select("c_custkey", names.debtor(F.col("lines")).alias("nama")),
     "SELECT c_custkey, CASE WHEN c_custkey % 7 = 6 THEN '' ELSE CASE WHEN c_custkey % 7 = 5 THEN 'PT ' ELSE '' END || 'BUDI ' || translate(c_custkey::VARCHAR, '0123456789', 'ABCDEFGHIJ') || 'XY' END AS nama FROM customer",
 )
+
+
+_register(
+    "batch_groups", lambda spark, sf_dir: files.batches(_file_paths(spark, sf_dir), "path").select("account", "year", F.size("paths").alias("files"), F.get("paths", 0).alias("first")),
+    """SELECT account, year, count(*)::INT AS files, min(path) AS first FROM (SELECT (p_partkey + 1000000)::VARCHAR AS account, (2023 - p_partkey % 3)::INT AS year,
+      CASE p_partkey % 3 WHEN 0 THEN 'in/x/' || (p_partkey + 1000000) || '_2023-' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || '.pdf' WHEN 1 THEN 'in/x/rek ' || (p_partkey + 1000000) || ' ' || m || ' 2022.pdf' ELSE 'in/' || (p_partkey + 1000000) || ' 2021 ' || m || '/scan.pdf' END AS path
+      FROM (SELECT *, ['Januari', 'February', 'Maret', 'Apr', 'Mei', 'June', 'Juli', 'August', 'Sep', 'Oktober', 'Nov', 'Desember'][p_partkey % 12 + 1] AS m FROM part)) GROUP BY 1, 2""",
+)
+_on_clean("bars_by_bank", lambda df: dashboards.bars(df, "bank"), "SELECT bank AS value, count(*) AS facility_count, sum(baki)::DECIMAL(38,4) AS total_baki_debet, (row_number() OVER (ORDER BY sum(baki) DESC, bank))::INT AS place FROM fac GROUP BY 1")
+_on_clean("bars_by_kol", lambda df: dashboards.bars(df, "kol", ["1", "2", "3", "4", "5"]), "SELECT kol::VARCHAR AS value, count(*) AS facility_count, sum(baki)::DECIMAL(38,4) AS total_baki_debet, kol::INT AS place FROM fac GROUP BY kol")
+_on_clean("bars_by_bucket", lambda df: dashboards.bars(df, "maturity_bucket", facilities.BUCKETS), "SELECT bucket AS value, count(*) AS facility_count, sum(baki)::DECIMAL(38,4) AS total_baki_debet, list_position(['Overdue', '0-3 Months', '3-6 Months', '6-12 Months', '>12 Months', 'Unknown'], bucket)::INT AS place FROM fac GROUP BY 1")
+_on_clean(
+    "sorted_lists", lambda df: dashboards.problem_list(df).orderBy(F.desc_nulls_last("kol"), F.desc_nulls_last("baki_debet"), F.desc_nulls_last("rate"), "source_file", "seq").select("source_file", "seq", "kol", F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"), "rate"),
+    "SELECT source_file, seq::INT AS seq, kol::INT AS kol, baki AS baki_debet, rate::DOUBLE AS rate FROM fac WHERE kol >= 3 ORDER BY kol DESC, baki DESC, rate DESC NULLS LAST, source_file, seq",
+)

@@ -186,3 +186,16 @@ _register(
     "printed_months", lambda spark, sf_dir: _all(lambda b: documents.printed_months(documents.summaries(_pages(spark, sf_dir, b), b), _read(spark, sf_dir, b)).withColumn("bank", F.lit(b)) if b != "DKI" else documents.printed_months(documents.summaries(_pages(spark, sf_dir, "BNI"), "BNI"), _read(spark, sf_dir, "BNI")).withColumn("bank", F.lit("again"))),
     " UNION ALL ".join(f"SELECT account, 2024::INT AS year, 1::INT AS month, {A.OPENING}::DECIMAL(20,2) AS saldo_awal, d AS db_total, nd AS db_count, c AS cr_total, nc AS cr_count, last AS saldo_akhir, '{b}' AS bank FROM sums" for b in ("BCA", "BRI", "BNI", "Mandiri", "again")), SOURCE_SQL, _SUMS_SQL,
 )
+
+
+def _table_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of the other layout of the bank whose labels head lines of values."""
+    tx = source(spark, sf_dir)
+    sums = tx.groupBy("user_id", "account").agg(F.sum("db").alias("d"), F.sum("cr").alias("c"), F.count("db").alias("nd"), F.count("cr").alias("nc"), F.max_by("right", "n").alias("last"))
+    text = lambda c: F.col(c).cast("string")
+    lines = [F.lit("Account No.  Account Name  Alias"), F.concat(F.lit("  "), F.col("account"), F.lit("  PT CONTOH")), F.lit("Period   Currency   Branch"), F.lit("01 Jan 2024 - 31 Jan 2024   IDR   X1"), F.lit("Opening Balance   No. of Debit   Total Amount Debited"),
+             F.concat(F.format_number(F.lit(A.OPENING), 2), F.lit("   "), text("nd"), F.lit("   "), money("d")), F.lit("Closing Balance   No. of Credit   Total Amount Credited"), F.concat(money("last"), F.lit("   "), text("nc"), F.lit("   "), money("c"))]
+    return sums.select(F.concat(F.lit("Mandiri-"), text("user_id")).alias("source_file"), F.lit(1).alias("page"), F.posexplode(F.array(*lines)).alias("line_no", "line"))
+
+
+_register("statement_summaries_table", lambda spark, sf_dir: documents.summaries(_table_heads(spark, sf_dir), "Mandiri"), _summary_sql("Mandiri"), SOURCE_SQL, _SUMS_SQL)

@@ -58,3 +58,9 @@ def metadata_from_path(path: Column) -> tuple[Column, Column, Column]:
     name, folder = F.element_at(parts, -1), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
     (y1, m1), (y2, m2) = period_from_name(name), period_from_name(folder)
     return F.coalesce(account_from_name(name), account_from_name(folder)), F.coalesce(y1, y2), F.coalesce(m1, m2)
+
+
+def batches(paths: DataFrame, column: str) -> DataFrame:
+    """account, year, paths (sorted) of the files that are one workbook."""
+    account, year, _ = metadata_from_path(F.col(column))
+    return paths.groupBy(account.alias("account"), year.alias("year")).agg(F.array_sort(F.collect_list(column)).alias("paths"))
