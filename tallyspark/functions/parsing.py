@@ -97,7 +97,9 @@ def date(c: Column) -> Column:
             .when(joined.rlike(r"^\d{8}$"), F.try_to_date(joined, "yyyyMMdd"))
         )
 
-    return once(F.split(day, r"[-/., ]+"), read)
+    # The usual form first; it needs no parts.
+    plain = F.try_to_date(c.cast("string"), "dd-MM-yyyy")
+    return F.when(c.cast("string").rlike(r"^\d{2}-\d{2}-\d{4}$") & plain.isNotNull(), plain).otherwise(once(F.split(day, r"[-/., ]+"), read))
 
 
 def statement_date(c: Column) -> Column:
