@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, fingerprint, html_main, license_scan, packing, pii, quality, simhash, toxicity
+from tallyspark.llm import bpe, chat, fingerprint, html_main, language, license_scan, packing, pii, quality, simhash, toxicity
 from tallyspark.llm.common import pii_key, table
 
 
@@ -64,6 +64,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the labelled documents whose remainder of crc32(doc_id) by 4 is not 2; a null id counts as an empty one."""
+    docs, held_out = table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+    return language.predict(docs, language.fit(docs.where(~held_out)), also=(held_out.alias("held_out"),))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1_license_scan that are counted exactly."""
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -102,6 +108,7 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_html_main": op9_html_main,
     "op10_packing": op10_packing,
+    "op11_language": op11_language,
     "license_base": license_base,
     "chat_turns": chat_turns,
     "quality_base": quality_base,
