@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, fingerprint, html_main, language, license_scan, packing, pii, quality, simhash, toxicity
+from tallyspark.llm import bpe, chat, fingerprint, html_main, language, license_scan, packing, pii, quality, simhash, spelling, toxicity
 from tallyspark.llm.common import pii_key, table
 
 
@@ -70,6 +70,10 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs.where(~held_out)), also=(held_out.alias("held_out"),))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(spelling.vocabulary(table(spark, sf_dir, "documents"), alter=spelling.altered))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1_license_scan that are counted exactly."""
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -109,6 +113,7 @@ QUERIES = {
     "op9_html_main": op9_html_main,
     "op10_packing": op10_packing,
     "op11_language": op11_language,
+    "op12_spelling": op12_spelling,
     "license_base": license_base,
     "chat_turns": chat_turns,
     "quality_base": quality_base,
@@ -134,5 +139,17 @@ ORACLE_SQL: dict[str, str] = {
       len(w) < 50 OR 100 * coalesce(repeats.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN repeats USING (row) LEFT JOIN lines USING (row)""",
     "edited_texts": """SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(after, 1, length(t) // 2)) AS edited_sha256
       FROM (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id, t), first_value(t) OVER (ORDER BY doc_id, t)) AS after FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""",
+    "op12_spelling": r"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+      runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+      bytes AS (SELECT run, c, list_concat([4294967295], flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))) AS b FROM runs),
+      hashed AS (SELECT run, c, xor(list_reduce(b, lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+      words AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, c FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+      cut AS (SELECT word, i, concat(substr(word, 1, i), substr(word, i + 2)) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+      shorter AS (SELECT DISTINCT cut.word, rest FROM cut JOIN words ON words.word = rest),
+      near AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT word, rest FROM shorter UNION SELECT rest, word FROM shorter),
+      best AS (SELECT w.word, w.n, count(x.word) AS n_near, arg_max(x.word, (x.n, -x.place)) AS near, max(x.n) AS near_n FROM words w LEFT JOIN near ON near.word = w.word LEFT JOIN (SELECT word, n, row_number() OVER (ORDER BY word) AS place FROM words) x ON x.word = near.near GROUP BY w.word, w.n),
+      judged AS (SELECT word, n, n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM best),
+      chain AS (SELECT word, word AS last_form, 0 AS depth FROM judged UNION ALL SELECT chain.word, judged.form, depth + 1 FROM chain JOIN judged ON judged.word = chain.last_form WHERE judged.form IS NOT NULL)
+      SELECT judged.word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, arg_max(last_form, depth) AS root FROM chain GROUP BY word) USING (word)""",
     "packed_lengths": f"SELECT doc_id, len({_WORDS}) AS n_tokens, true AS fits FROM documents",
 }
