@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, fingerprint, html_main, language, license_scan, packing, pii, quality, simhash, spelling, toxicity
+from tallyspark.llm import bpe, chat, fingerprint, html_main, language, license_scan, packing, pii, quality, search, simhash, spelling, toxicity
 from tallyspark.llm.common import pii_key, table
 
 
@@ -74,6 +74,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(spelling.vocabulary(table(spark, sf_dir, "documents"), alter=spelling.altered))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1_license_scan that are counted exactly."""
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -114,6 +118,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_language": op11_language,
     "op12_spelling": op12_spelling,
+    "op13_search": op13_search,
     "license_base": license_base,
     "chat_turns": chat_turns,
     "quality_base": quality_base,
@@ -123,6 +128,7 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _PLACES = "list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by' OR w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' OR w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved')"
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 #: SQL for what can be counted exactly. What is hashed, learnt, parsed or optimised has none; tests/llm holds it against brute force.
 ORACLE_SQL: dict[str, str] = {
     "license_base": rf"""SELECT doc_id, len(w) AS n_words, len(found) AS n_base, found[1] - 1 AS first_word, found[len(found)] - 1 AS last_word,
@@ -151,5 +157,15 @@ ORACLE_SQL: dict[str, str] = {
       judged AS (SELECT word, n, n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM best),
       chain AS (SELECT word, word AS last_form, 0 AS depth FROM judged UNION ALL SELECT chain.word, judged.form, depth + 1 FROM chain JOIN judged ON judged.word = chain.last_form WHERE judged.form IS NOT NULL)
       SELECT judged.word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, arg_max(last_form, depth) AS root FROM chain GROUP BY word) USING (word)""",
+    "op13_search": rf"""WITH found AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+      docs AS (SELECT *, len(terms) AS n FROM found WHERE len(terms) > 0),
+      total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM docs),
+      items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+      tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM docs) SEMI JOIN items USING (term) GROUP BY ALL),
+      weights AS (SELECT term, floor(1000 * ln((2 * total.docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, total.docs),
+      impacts AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * total.docs) // total.terms))) AS part FROM tf JOIN weights USING (term), total),
+      scored AS (SELECT item_id, row, doc_id, sum(part)::BIGINT AS score FROM items JOIN impacts USING (term) GROUP BY ALL),
+      ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+      SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
     "packed_lengths": f"SELECT doc_id, len({_WORDS}) AS n_tokens, true AS fits FROM documents",
 }
