@@ -9,8 +9,10 @@ A name that stands with a title somewhere is replaced wherever else it stands in
 
 Two entities must not share a surrogate, and no surrogate may be a real entity of the corpus. All
 normal forms of the corpus are held against each other; of those that clash the later ones are given
-the next attempt until none does. Clashes are rare, so only these few exceptions are looked up when
-texts are rewritten; all other surrogates are computed in place.
+the next attempt until none does. Surrogates of every kind get longer with the attempt (an IPv4
+address moves to the IPv6 block for documentation), so there are enough of them even where all of a
+shape are real, and the loop ends for any corpus. Clashes are rare, so only these few exceptions are
+looked up when texts are rewritten; all other surrogates are computed in place.
 
 Only DataFrame functions are used. Scale: texts are scanned twice and never shuffled. The distinct
 normal forms are shuffled once, pre-aggregated by task, so an entity in very many documents is one
@@ -52,7 +54,8 @@ GIVEN = {
 }
 GIVEN["latin-n"], GIVEN["cyrillic-n"] = f"{GIVEN['latin-m']} {GIVEN['latin-f']}", f"{GIVEN['cyrillic-m']} {GIVEN['cyrillic-f']}"
 SYLLABLES = {"latin": "bal ber dor fel gar hen kor lam mer nor pel ras sel tor vin wal", "cyrillic": "бал бер дор фел гар хен кор лам мер нор пел рас сел тор вин вал"}
-MAX_ATTEMPTS = 64
+#: A surrogate of digits gets one digit more after each so many attempts, one of letters a letter every second attempt.
+DIGIT_EVERY = 4
 
 
 def _number(seed: Column, at: Column | int) -> Column:
@@ -152,17 +155,23 @@ def surrogate_of(kind: Column, form: Column, attempt: Column, key: str) -> Colum
     """The surrogate's normal form."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string"))
 
+    places = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    more_letters = lambda s: F.array_join(F.transform(places(F.ceil(attempt / 2).cast("int")), lambda i: F.chr(97 + _number(s, -i) % 26)), "")
+    more_digits = lambda s: F.array_join(F.transform(places(F.floor(attempt / DIGIT_EVERY).cast("int")), lambda i: (_number(s, -i) % 10).cast("string")), "")
+
     def email(s: Column) -> Column:
         host, top = F.regexp_extract(form, r"@(.*)\.[^.]*$", 1), F.regexp_extract(form, r"\.([^.]*)$", 1)
         own = F.regexp_replace(host, r"\.?example$", "")
-        return F.concat(_swapped(F.substring_index(form, "@", 1), s), F.lit("@"), F.when(own != "", F.concat(_swapped(own, F.concat(s, F.lit("@"))), F.lit("."))).otherwise(""), F.lit("example."), top)
+        return F.concat(_swapped(F.substring_index(form, "@", 1), s), more_letters(s), F.lit("@"), F.when(own != "", F.concat(_swapped(own, F.concat(s, F.lit("@"))), F.lit("."))).otherwise(""), F.lit("example."), top)
 
     def card(s: Column) -> Column:
-        body = F.concat(F.substring(form, 1, 1), _swapped(form.substr(F.lit(2), F.length(form) - 2), s))
+        body = F.concat(F.substring(form, 1, 1), _swapped(form.substr(F.lit(2), F.length(form) - 2), s), more_digits(s))
         return F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
 
     def ip(s: Column) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == 0, 1 + _number(s, i) % 223).otherwise(_number(s, i) % 256).cast("string")), ".")
+        v4 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == 0, 1 + _number(s, i) % 223).otherwise(_number(s, i) % 256).cast("string")), ".")
+        v6 = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.lower(F.hex(_number(s, i) % 65536))), ":"))
+        return F.when(attempt < 2 * DIGIT_EVERY, v4).otherwise(v6)
 
     def name(s: Column) -> Column:
         script = F.when(form.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
@@ -180,13 +189,13 @@ def surrogate_of(kind: Column, form: Column, attempt: Column, key: str) -> Colum
         head = F.when(F.length(form) > 10, F.substring(form, 1, 1)).otherwise("")
         rest = form.substr(F.length(head) + 1, F.length(form))
         # No group that may stand for an area begins with 0 or 1.
-        return F.concat(head, (2 + _number(s, 99) % 8).cast("string"), _swapped(rest.substr(F.lit(2), F.length(rest)), s))
+        return F.concat(head, (2 + _number(s, 99) % 8).cast("string"), _swapped(rest.substr(F.lit(2), F.length(rest)), s), more_digits(s))
 
     return let(
         seed,
         lambda s: F.when(kind == "email", email(s)).when(kind == "card", card(s)).when(kind == "ip", ip(s)).when(kind == "phone", phone(s))
-        .when(kind == "cloud_key", F.concat(F.lit("AKIA"), _swapped(form.substr(F.lit(5), F.length(form)), s))).when(kind == "ssn", _swapped(form, s))
-        .when(kind == "secret", F.when(form.rlike("^[0-9a-f]+$"), F.translate(_swapped(form, s), "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")).otherwise(_swapped(form, s))).otherwise(name(s)),
+        .when(kind == "cloud_key", F.concat(F.lit("AKIA"), _swapped(form.substr(F.lit(5), F.length(form)), s), F.upper(more_letters(s)))).when(kind == "ssn", F.concat(_swapped(form, s), more_digits(s)))
+        .when(kind == "secret", F.when(form.rlike("^[0-9a-f]+$"), F.translate(F.concat(_swapped(form, s), more_letters(s)), "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")).otherwise(F.concat(_swapped(form, s), more_letters(s)))).otherwise(name(s)),
     )
 
 
@@ -202,10 +211,15 @@ def _rewritten(e: Column, core: Callable[[Column], Column], genders: Column) ->
         title = F.regexp_extract(e, rf"^(?:{'|'.join(TITLES.values())})\.? ", 0)
         return F.concat(title, F.array_join(F.transform(forms, lambda f: _in_case(core(f), _names(e))), " "))
 
+    def digits(whole: Column, size: Column) -> Column:
+        # What stands before the form is kept; digits beyond the form's follow at the end.
+        kept = F.left(_digits(e), F.length(_digits(e)) - size)
+        return F.concat(_refilled(e, F.concat(kept, whole)), whole.substr(size + 1, F.length(whole)))
+
     def render(forms: Column) -> Column:
         whole = core(F.get(forms, 0))
         return (
-            F.when(k.isin("card", "phone", "ssn"), _refilled(e, F.concat(F.left(_digits(e), F.length(_digits(e)) - F.length(whole)), whole))).when(k == "secret", F.concat(e.substr(F.lit(1), F.length(e) - F.length(_value(e))), whole))
+            F.when(k.isin("card", "phone", "ssn"), digits(whole, F.length(F.get(forms, 0)["form"]))).when(k == "secret", F.concat(e.substr(F.lit(1), F.length(e) - F.length(_value(e))), whole))
             .when(k == "person", person(forms)).when((k == "email") & (e == F.upper(e)), F.upper(whole)).otherwise(whole)
         )
 
@@ -240,7 +254,7 @@ def assigned(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     made = lambda df: df.withColumn("core", surrogate_of(F.col("kind"), F.col("form"), F.col("attempt"), key))
     now = checkpoint(made(found.withColumn("attempt", F.lit(0))))
     real = now.select("kind", F.col("form").alias("core"))
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         # The least (attempt, form) of those that share a core keeps it.
         first = now.groupBy("kind", "core").agg(F.min(F.struct("attempt", "form")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "core", "first")
         late = now.join(first, ["kind", "core"]).where(F.struct("attempt", "form") != F.col("first")).select("kind", "form")
@@ -250,13 +264,12 @@ def assigned(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
             return now
         moved = now.join(clash, ["kind", "form"], "left")
         now = checkpoint(made(moved.select("kind", "form", (F.col("attempt") + F.coalesce("clash", F.lit(0))).alias("attempt"))))
-    raise RuntimeError("surrogates still clash; a kind has too few of them")
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with its text rewritten, and n_pii (entities and bare names replaced) and pii_kinds (distinct kinds, sorted, comma-joined).
 
-    Who has the key can find entities by trying them, so it must be kept secret; it has no default.
+    Who has the key can find entities by trying them, so it must be kept secret.
 
     Columns of docs named n_pii or pii_kinds are replaced; all others are kept, whatever their names,
     and all rows, with null or repeated ids or not. A null text stays null and has no entities; a text

@@ -169,7 +169,6 @@ def test_pii(spark):
 
 def test_pii_clashes_are_resolved(spark, monkeypatch):
     """With few surrogates, entities still get different ones, none of them real, and texts use the same ones."""
-    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 400)
     few = lambda kind, form, attempt, key: F.concat(F.lit("10.0.1."), (F.pmod(F.xxhash64(kind, form, attempt), F.lit(40))).cast("string"))
     monkeypatch.setattr(pii, "surrogate_of", few)
     real = [f"10.0.1.{i}" for i in range(12)]
@@ -216,3 +215,97 @@ def test_names_grow_until_all_differ(spark, monkeypatch):
         cores = [r.core for r in got if r.kind == kind]
         assert len(cores) == len(set(cores)) == len(letters)
     assert all(re.fullmatch(r"(ba|be)[a-z]+", r.core) for r in got if r.kind == "family")
+
+
+def plain_entities(text):
+    """(start, end, kind) of all entities but persons, read off character by character where a pattern would be used."""
+    out, i = [], 0
+    digits = "0123456789"
+    octet = lambda x: x.isascii() and x.isdigit() and str(int(x)) == x and int(x) < 256
+    while i < len(text):
+        before = text[i - 1] if i else " "
+        j = i
+        while j < len(text) and (text[j].isalnum() or text[j] in "._%+-"):
+            j += 1
+        if j > i and text[j : j + 1] == "@" and not (before.isalnum() or before in "._%+-"):
+            k = j + 1
+            while k < len(text) and (text[k].isalnum() or text[k] in "-."):
+                k += 1
+            host = text[j + 1 : k].rstrip(".").split(".")
+            if len(host) > 1 and all(host) and len(host[-1]) > 1 and host[-1].isascii() and host[-1].isalpha():
+                out.append((i, j + 1 + len(".".join(host)), "email"))
+                i = out[-1][1]
+                continue
+        if text[i] in digits and before not in digits + "-.+" and not before.isalpha():
+            j = i
+            while j < len(text) and text[j] in digits + "-. ":
+                j += 1
+            token = text[i:j].rstrip("-. ")
+            first = token.split(" ")[0].rstrip("-.")
+            groups = [len(x) for x in first.split("-")]
+            after = text[i + len(first) : i + len(first) + 1]
+            kind = None
+            if groups == [3, 2, 4] and first.replace("-", "").isdigit() and after != "-":
+                kind = "ssn"
+            elif groups == [3, 3, 4] and first.replace("-", "").isdigit():
+                kind = "phone"
+            elif first.count(".") == 3 and all(octet(x) for x in first.split(".")):
+                kind = "ip"
+            elif first.isdigit() and 13 <= len(first) <= 19 and sum(d if n % 2 == 0 else sum(divmod(2 * d, 10)) for n, d in enumerate(int(c) for c in reversed(first))) % 10 == 0:
+                kind = "card"
+            if kind:
+                out.append((i, i + len(first), kind))
+            i += max(1, len(first))
+            continue
+        i += 1
+    return out
+
+
+def held_against_plain(spark, texts):
+    """Rewrites texts; what is no entity stays, entities and surrogates match one to one in each kind, and no surrogate is real."""
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, list(enumerate(texts))), key="k").collect()}
+    real, new = defaultdict(set), defaultdict(dict)
+    for i, text in enumerate(texts):
+        spans, rest, at = plain_entities(text), got[i].text, 0
+        pattern = ""
+        for a, b, _ in spans:
+            pattern, at = pattern + re.escape(text[at:a]) + r"(\S+?)", b
+        m = re.fullmatch(pattern + re.escape(text[at:]), rest, re.DOTALL)
+        assert m, (text, rest)
+        assert got[i].n_pii == len(spans)
+        for (a, b, kind), surrogate in zip(spans, m.groups(), strict=True):
+            form = text[a:b].lower() if kind == "email" else re.sub(r"\D", "", text[a:b]) if kind != "ip" else text[a:b]
+            made = surrogate.lower() if kind == "email" else re.sub(r"\D", "", surrogate) if kind != "ip" else surrogate
+            real[kind].add(form)
+            assert new[kind].setdefault(form, made) == made  # coreference
+    for kind, pairs in new.items():
+        assert len(set(pairs.values())) == len(pairs), kind
+        assert not set(pairs.values()) & real[kind], kind
+    return new
+
+
+def test_pii_equals_a_plain_detector(spark):
+    random.seed(8)
+    card = lambda body: body + next(str(c) for c in range(10) if sum(d if n % 2 == 0 else sum(divmod(2 * d, 10)) for n, d in enumerate(int(x) for x in reversed(body + str(c)))) % 10 == 0)
+    some = [lambda: f"{random.choice('abc')}{random.randint(0, 9)}@{random.choice(['example.com', 'x.org', 'mail.example.net'])}", lambda: f"{random.randint(1, 200)}.{random.randint(0, 255)}.0.{random.randint(0, 9)}", lambda: f"{random.randint(100, 999)}-{random.randint(10, 99)}-{random.randint(1000, 9999)}", lambda: f"{random.randint(200, 999)}-555-{random.randint(1000, 9999)}", lambda: card("4" + "".join(random.choices("0123456789", k=14))), lambda: random.choice(["word", "12", "a.b", "3.14", "x@y", "Ünï", "1.2.3.4.5", "999.1.1.1", "12-34", "4111111111111112"])]
+    texts = [" ".join(random.choice(some)() for _ in range(random.randint(0, 12))) for _ in range(250)]
+    new = held_against_plain(spark, [*texts, texts[0], "", "at a1@x.org, b2@x.org. " + "long " * 20_000 + "c3@x.org"])
+    assert set(new) == {"email", "ip", "ssn", "phone", "card"} and all(len(x) > 20 for x in new.values())
+
+
+def test_surrogates_never_run_out(spark):
+    """All surrogates of a shape are real: one- and two-letter addresses, and secrets without a letter or digit."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    new = held_against_plain(spark, [f"{a}@example.com" for a in letters] + [f"{a}{b}@example.com" for a in letters for b in letters] + [f"{a}@{b}.com" for a in "ab" for b in letters])
+    assert all(x.endswith(".com") for x in new["email"].values())
+    got = {r.doc_id: r.text for r in pii.pseudonymise(table(spark, [(1, "password: --------"), (2, "token = ________")]), key="k").collect()}
+    assert got[1].startswith("password: --------") and len(got[1]) > len("password: --------") and got[2] != "token = ________"
+
+
+def test_full_spaces_of_digits_grow(spark, monkeypatch):
+    """Where every surrogate of the first attempts is real, or only one is left, later ones are longer and still of their kind."""
+    number = pii._number
+    monkeypatch.setattr(pii, "_number", lambda seed, at: number(seed, at) % 2)  # only the digits 0 and 1, octets 0 and 1
+    docs = [f"{a}{b}{c}-{a}{a}-{a}{b}{c}{d}" for a in "01" for b in "01" for c in "01" for d in "01"] + [f"{1 + a}.{b}.{c}.{d}" for a in (0, 1) for b in (0, 1) for c in (0, 1) for d in (0, 1)]
+    new = held_against_plain(spark, docs)
+    assert len(new["ssn"]) == 16 and len(new["ip"]) == 16 and all(x.startswith("2001:db8:") or x.count(".") == 3 for x in new["ip"].values())
