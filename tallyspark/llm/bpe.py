@@ -13,10 +13,11 @@ it and two after it is to come first, it may be contracted at once. A long fragm
 many contractions a step, one in each three blocks at most. A short one is a single block.
 
 Scale: documents are independent, so there is no shuffle and a lost task is simply run again. A
-worker holds a slice of about SLICE characters and at most CACHE pieces with their tokens; it
-forgets them all when they are more, which changes nothing but speed. A query's recursion keeps
-about STATES rows, whatever the lengths: short fragments are dealt out by the square of their
-lengths, long ones by segments and steps.
+worker holds a slice of about SLICE characters and about CACHE pieces with their tokens; it
+forgets them all when they are more, which changes nothing but speed. A longer text is read in runs
+of PIECES pieces, and tokens are decoded in runs of TOKENS, one after another, so no query grows with
+a text. A query's recursion keeps about STATES rows, whatever the lengths: short fragments are dealt
+out by the square of their lengths, long ones by segments and steps.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from tallyspark.llm.common import text_of
 
 SLICE = 4 << 20
 CACHE = 1_500_000
+PIECES = 1 << 19
+TOKENS = 1 << 19
 #: Rows of all steps that one recursive query may keep.
 STATES = 4 << 20
 #: Fragments of up to so many bytes are one block; longer ones are laid out in segments of blocks.
@@ -232,12 +235,11 @@ class Codec:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.tokens = np.concatenate([self.tokens, tokens])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts one after another; offsets of the texts in them."""
+    def _encoded(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), of texts that are split into pieces."""
         if len(self.pieces) > CACHE:
             self.forget()
-        number, find = self.pieces.__getitem__, self.pattern.findall
-        pieces = [list(map(number, find(x))) for x in texts]
+        pieces = [list(map(self.pieces.__getitem__, x)) for x in texts]
         if len(self.pieces) > len(self.sizes):
             self.learn()
         each = np.array([len(x) for x in pieces], dtype=np.int64)
@@ -245,16 +247,28 @@ class Codec:
         tokens, ends = _gathered(flat, self.sizes, self.tokens)
         return tokens, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])]
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts one after another; offsets of the texts in them."""
+        if len(texts) > 1 or not texts or len(texts[0]) <= SLICE:
+            return self._encoded([self.pattern.findall(x) for x in texts])
+        found, runs = self.pattern.finditer(texts[0]), []
+        while run := [m[0] for m in itertools.islice(found, PIECES)]:
+            runs.append(self._encoded([run])[0])
+        tokens = np.concatenate(runs)
+        return tokens, np.array([0, len(tokens)])
+
     def decode(self, tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each text of tokens."""
-        sizes = np.diff(offsets)
-        out = [b""] * len(sizes)
-        rows = {"text": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": np.arange(len(tokens), dtype=np.int32), "id": np.asarray(tokens, dtype=np.int32)}
-        self.db.register("tokens", pa.table(rows))
-        for text, chars in self.db.execute(_DECODE).fetchall():
-            out[text] = chars.encode("latin-1")
-        self.db.unregister("tokens")
-        return out
+        sizes, tokens = np.diff(offsets), np.asarray(tokens, dtype=np.int32)
+        out: list[list[bytes]] = [[] for _ in sizes]
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        for a in range(0, len(tokens), TOKENS):
+            ids = tokens[a : a + TOKENS]
+            self.db.register("tokens", pa.table({"text": text[a : a + TOKENS], "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+            for n, chars in self.db.execute(_DECODE).fetchall():
+                out[n].append(chars.encode("latin-1"))
+            self.db.unregister("tokens")
+        return [b"".join(x) for x in out]
 
 
 _CODECS: dict[tuple[str | None, str], Codec] = {}
@@ -319,7 +333,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256 (of the bytes that the ids give back).
 
-    What encode() and decode() do, without the ids leaving the worker in between.
+    What encode() and decode() do, without the ids leaving the worker in between. A null text is an
+    empty one; null ids and repeated rows are kept; an empty table gives an empty table. Other columns
+    are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +345,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             for a, b in _slices(texts):
                 tokens, offsets = own.encode(texts[a:b])
                 raw, little = own.decode(tokens, offsets), tokens.astype("<u4")
-                ids = [sha(little[i:j].tobytes()) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+                ids = [sha(little[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), pa.array(ids), pa.array([sha(x) for x in raw])], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -381,6 +381,20 @@ def test_bpe_equals_tiktoken(spark, monkeypatch):
     assert bpe.digests(docs.where("1 = 0")).count() == 0
 
 
+def test_bpe_of_thirty_million_characters_equals_the_library(spark):
+    """One text of random words, under the codec's 512 MB, encoded and decoded in runs."""
+    random.seed(11)
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyzé ", k=random.randint(1, 12))) for _ in range(300_000)]
+    text = " ".join(random.choices(words, k=4_200_000))
+    assert len(text) > 30_000_000
+    own = bpe.codec()
+    library = tiktoken.Encoding("own", pat_str=__import__("public_tokenizers").PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    ids = np.array(library.encode_ordinary(text), dtype="<u4")
+    docs = spark.createDataFrame([(1, text[:15_000_000], text[15_000_000:])], "doc_id long, a string, b string").selectExpr("doc_id", "concat(a, b) AS text")
+    got = bpe.digests(docs).collect()
+    assert [tuple(r) for r in got] == [(1, len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())]
+
+
 def test_bpe_of_very_long_pieces_equals_the_library(monkeypatch):
     import public_tokenizers as P
     import tiktoken
