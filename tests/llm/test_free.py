@@ -484,10 +484,60 @@ def test_regions_are_found_on_marked_pages():
     text = "This is the text that the page is about. " * 3
     assert html_main.main_text(f"<article>Teaser</article><div><p>{text}</p><p>More.</p></div>") == f"Teaser\n{text.strip()}\nMore."
     assert html_main.main_text(f"<div><a href=/>A</a></div><article><p>{text}</p><p><a href=/b>link</a></p></article><p>small print</p>") == f"{text.strip()}\nlink"
-    assert [mark for mark, _ in html_main.regions_of(html_main.lines_of("<p>a</p><article><p>b</p><aside>c</aside><p>d</p></article><p>e</p>"))] == [0, 1, 1, 0]
+    assert html_main.main_text(f"<p>{text}</p><article><p>{text}</p><aside>c</aside><p>d</p></article><p>e</p>") == f"{text.strip()}\nd"
 
 
 def test_parts_of_the_text_round_boilerplate_are_joined():
     assert html_main.main_text("<div><p>part one</p><div class=ad>x</div><p>part two, longer</p></div>") == "part one\npart two, longer"
     assert html_main.main_text("<p>a</p><p><a href=/>see</a></p><form>f</form><div><a href=/x>menu</a></div><aside>s</aside><p>b</p><p><a href=/y>end</a></p>") == "a\nsee\nb"
     assert html_main.main_text("<article>one</article><article>two, longer</article><article>three</article>") == "one\ntwo, longer\nthree"
+
+
+def plain_points(lengths, thresholds):
+    """Surges and dives by loops over whole windows."""
+    w, found, at = html_main.WINDOW, [], None
+    for i in range(len(lengths)):
+        onward, backward = sum(lengths[i : i + w]), sum(lengths[max(0, i - w + 1) : i + 1])
+        if at is None and lengths[i] > 0 and onward > thresholds[i]:
+            at = i
+        elif at is not None and max(onward, backward) <= thresholds[i]:
+            found.append((at, i))
+            at = None
+    return found + ([(at, len(lengths))] if at is not None else [])
+
+
+def test_points_equal_plain_loops():
+    random.seed(13)
+    for _ in range(3000):
+        lengths = [random.choice([0, 0, 1, 5, 40, 200]) for _ in range(random.randint(0, 25))]
+        thresholds = [random.choice([0, 5, 60])] * len(lengths)
+        assert html_main.points(lengths, thresholds) == plain_points(lengths, thresholds)
+
+
+SENTENCES = "".join(f"<p>{'This is a long sentence about the matter at hand. ' * 6}</p>" for _ in range(5))
+TOLD = "\n".join([("This is a long sentence about the matter at hand. " * 6).strip()] * 5)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div>Home</div><div>News</div><div>Sport</div><div>Contact</div><h1>The title</h1>" + SENTENCES + "<div>Copyright 2020</div><div>Terms</div>", "The title\n" + TOLD),
+        (f'<div class="content ad-free">{SENTENCES}</div>', TOLD),
+        (f'<div class="page-header">{SENTENCES}</div><p>Imprint</p>', TOLD),
+        (f'<div class="has-sidebar">{SENTENCES}<div class="sidebar">side</div></div>', TOLD),
+        (f"<article><h1>T</h1>{SENTENCES}</article><div id=c1>" + "<p>A short answer of a reader.</p>" * 90 + "</div>", "T\n" + TOLD),
+        (f"<h1>T</h1>{SENTENCES[:310]}</p><div class='comments-area'>{SENTENCES}</div>", "T\n" + TOLD.split("\n")[0]),
+        (f"<form><nav>n</nav>{SENTENCES}<div class=ad-box>ad</div></form>", TOLD),
+        (f"<div>{SENTENCES}<p class=ad>ad<p>Yes.</p><p>No.</p><p>Yes.</p>{SENTENCES}</div>", f"{TOLD}\nYes.\nNo.\nYes.\n{TOLD}"),
+        ("<div>" + "<p>long</p>" * 20_000 + "</div>", "\n".join(["long"] * 20_000)),
+    ],
+)
+def test_the_points_decide_and_lists_only_weigh(page, text):
+    assert html_main.main_text(page) == text
+
+
+def test_pages_without_marks_give_nearly_the_same_text(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    bare = [re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", x) for x in pages]
+    same = sum(html_main.main_text(a) == html_main.main_text(b) for a, b in zip(pages, bare, strict=True))
+    assert same >= 0.95 * len(pages)
