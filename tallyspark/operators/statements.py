@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import parsing as P
+from tallyspark.functions.lineage import checkpoint
+from tallyspark.operators.ranking import chain_places, join_same
 
 # --- text ------------------------------------------------------------------------------------
 
@@ -219,36 +220,28 @@ def same_day_order(tx: DataFrame) -> DataFrame:
     """account, source_row, place, status: each account's rows in an order in which the printed balances add up.
 
     A day begins with the opening balance and all changes before it, whatever their order. So days
-    are judged by themselves: one whose printed order adds up keeps it. Only the others follow the
-    chain of balances, while the next row is unique; they are grouped by account and day, and a day's
-    statement is what a task holds. status is 'printed', 'chained' or 'unresolved' (one day is
-    enough); an unresolved account keeps its printed order. Days go by their first row.
+    are judged by themselves: one whose printed order adds up keeps it. Only rows of the others are
+    linked, each to the one whose balance before its change is this one's balance, and placed by
+    pointer doubling. status is 'printed', 'chained' or 'unresolved' (one day is enough); an unresolved
+    account keeps its printed order. Days go by their first row. Days of an account are summed up before
+    they are put in order, so windows see a row per day, or a day's rows.
     """
-    change = F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))
-    upto = Window.partitionBy("account").orderBy("_first", "source_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    day = Window.partitionBy("account", "day")
-    rows = tx.withColumn("_first", F.min("source_row").over(day)).withColumn("_change", change.cast("decimal(20,2)")).withColumn("_sum", (F.col("opening") + F.sum("_change").over(upto)).cast("decimal(20,2)"))
-    marked = rows.withColumns(
-        {"_ok": F.min(F.coalesce(F.col("_sum") == F.col("balance"), F.lit(False))).over(day), "_n": F.row_number().over(Window.partitionBy("account", "day").orderBy("source_row")), "_before": F.min_by(F.col("_sum") - F.col("_change"), "source_row").over(day).cast("decimal(20,2)")}
-    ).select("account", "day", "_first", "source_row", "_change", "balance", "_ok", "_n", "_before")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, at, order = pdf.sort_values("source_row").to_dict("records"), pdf["_before"].iloc[0], []
-        while left:
-            fit = [r for r in left if r["balance"] is not None and at + r["_change"] == r["balance"]]
-            if len(fit) != 1:
-                break
-            order.append(fit[0]["source_row"])
-            left.remove(fit[0])
-            at = fit[0]["balance"]
-        place = {row: k for k, row in enumerate(order, 1)} if not left else {}
-        return pd.DataFrame({"account": pdf["account"], "_first": pdf["_first"], "source_row": pdf["source_row"], "_n": pdf["source_row"].map(place).astype("Int32")})
-
-    schema = "account string, _first int, source_row int, _n int"
-    cast = marked.withColumns({"_first": F.col("_first").cast("int"), "source_row": F.col("source_row").cast("int")})
-    chained = cast.where("NOT _ok").groupBy("account", "day").applyInPandas(chain, schema).withColumn("_chained", F.lit(True))
-    both = cast.where("_ok").select("account", "_first", "source_row", F.col("_n").cast("int").alias("_n"), F.lit(False).alias("_chained")).unionByName(chained)
-    own = Window.partitionBy("account")
-    judged = both.withColumn("status", F.when(F.max(F.col("_n").isNull()).over(own), "unresolved").when(F.max("_chained").over(own), "chained").otherwise("printed"))
-    place = F.row_number().over(Window.partitionBy("account").orderBy(F.when(F.col("status") != "unresolved", F.col("_first")), F.when(F.col("status") != "unresolved", F.col("_n")), "source_row"))
-    return judged.select("account", "source_row", place.alias("place"), "status")
+    day = ["account", "day"]
+    change = (F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))).cast("decimal(20,2)")
+    rows = tx.select(*day, "source_row", "balance", "opening", change.alias("_change"))
+    sums = rows.groupBy(*day).agg(F.min("source_row").alias("_first"), F.sum("_change").alias("_sum"), F.count(F.lit(1)).alias("_rows"), F.min("opening").alias("_opening"))
+    upto = Window.partitionBy("account").orderBy("_first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    days = sums.select(*day, (F.col("_opening") + F.sum("_sum").over(upto) - F.col("_sum")).cast("decimal(20,2)").alias("_before"), (F.sum("_rows").over(upto) - F.col("_rows")).alias("_offset"))
+    joined = join_same(rows, days, day)
+    printed = Window.partitionBy(*day).orderBy("source_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    adds_up = F.coalesce(F.col("_before") + F.sum("_change").over(printed) == F.col("balance"), F.lit(False))
+    numbered = joined.withColumns({"_adds_up": adds_up, "_n": F.row_number().over(printed)})
+    judged = checkpoint(numbered.withColumn("_ok", F.min("_adds_up").over(Window.partitionBy(*day))).drop("_adds_up"))
+    others = judged.where("NOT _ok").select(*day, "_n", "_before", (F.col("balance") - F.col("_change")).cast("decimal(20,2)").alias("_from"), F.col("balance").cast("decimal(20,2)").alias("_to"))
+    chained = checkpoint(chain_places(others, day, "_n", "_before", "_from", "_to").withColumnRenamed("place", "_chained"))
+    accounts = chained.groupBy("account").agg(F.when(F.max(F.col("_chained").isNull()), "unresolved").otherwise("chained").alias("_status"))
+    placed = join_same(judged, chained.withColumnRenamed("_n", "_row"), day, "left", F.col("_n") == F.col("_row"), ~F.col("_ok")).withColumn("_place", F.coalesce("_chained", "_n"))
+    known = join_same(placed, accounts, ["account"], "left").withColumn("status", F.coalesce("_status", F.lit("printed")))
+    clear = known.where("status <> 'unresolved'").select("account", "source_row", (F.col("_offset") + F.col("_place")).cast("int").alias("place"), "status")
+    kept = F.row_number().over(Window.partitionBy("account").orderBy("source_row"))
+    return clear.unionByName(known.where("status = 'unresolved'").select("account", "source_row", kept.alias("place"), "status"))

@@ -1,9 +1,10 @@
+import random
 from datetime import date
 from decimal import Decimal as Dec
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import quality, reports, statements
+from tallyspark.operators import quality, ranking, reports, statements
 
 HEAD = "No. Rekening : 123\nPeriode Tgl. : {} To {}\nSALDO AWAL 1,000.00\n"
 OVERLAP = HEAD.format("01/01/24", "31/01/25") + "05/01/24 BIAYA ADMIN ABC 500.00 DB 500.00\n  SISA TEKS 2 B 2 2\n06/01/24 SETOR X1 100.00 600.00\n" + HEAD.format("01/01/24", "31/01/24") + "05/01/24 BIAYA ADMIN ABC 500.00 DB 500.00\nSISA TEKS\n"
@@ -120,3 +121,58 @@ def test_reconcile_each_account(spark):
     tx = spark.createDataFrame([("f", "1", Dec(10), None), ("f", "2", None, Dec(5)), ("f", "3", None, None)], "source_file string, account string, db decimal(20,2), cr decimal(20,2)")
     s = spark.createDataFrame([("f", "1", Dec(100), Dec(90)), ("f", "2", Dec(100), Dec(100)), ("f", "3", Dec(1), Dec(2))], "source_file string, account string, saldo_awal decimal(20,2), saldo_akhir decimal(20,2)")
     assert [r.account for r in quality.reconcile(tx, s, ["source_file", "account"]).collect()] == ["2"]
+
+
+def test_same_day_chains_equal_plain_following(spark):
+    """Days in any order against following the balances row by row; days that aren't clear stay as printed."""
+    random.seed(3)
+    schema = "account string, day date, debit decimal(20,2), credit decimal(20,2), balance decimal(20,2), source_row int, opening decimal(20,2)"
+    rows, truth = [], {}
+    for k in range(25):
+        account, at, row, status, placed = f"a{k}" if k else None, 100, 0, "printed", []
+        for d in range(1, 4):
+            changes = [random.choice([1, 2, 3, 5, -1, -2]) * random.choice([1, 10, 100]) for _ in range(random.randint(1, 9))]
+            before, own = at, []
+            for c in changes:
+                at += c
+                own.append((c, at))
+            shown = own if random.random() < 0.4 else random.sample(own, len(own))
+            if k % 7 == 3 and d == 2:
+                shown = [(c, None) for c, _ in shown]
+            left, now, order = list(range(len(shown))), before, []
+            if any(b is None for _, b in shown) or [b for _, b in shown] != [before + sum(c for c, _ in shown[: i + 1]) for i in range(len(shown))]:
+                while left:
+                    fit = [i for i in left if shown[i][1] is not None and now + shown[i][0] == shown[i][1]]
+                    if len(fit) != 1:
+                        break
+                    order.append(fit[0])
+                    left.remove(fit[0])
+                    now = shown[fit[0]][1]
+                status = "unresolved" if left or status == "unresolved" else "chained"
+            else:
+                order = left
+            placed += [row + 1 + i for i in order] if len(order) == len(shown) else [row + 1 + i for i in range(len(shown))]
+            for c, b in shown:
+                row += 1
+                rows.append((account, date(2024, 1, d), Dec(-c) if c < 0 else None, Dec(c) if c > 0 else None, None if b is None else Dec(b), row, Dec(100)))
+        truth[account] = (status, placed if status != "unresolved" else list(range(1, row + 1)))
+    got = {}
+    for r in statements.same_day_order(spark.createDataFrame(rows, schema).repartition(4)).collect():
+        got.setdefault(r.account, []).append((r.place, r.source_row, r.status))
+    assert len({s for s, _ in truth.values()}) == 3
+    assert {a: ({s for *_, s in x}, [row for _, row, _ in sorted(x)]) for a, x in got.items()} == {a: ({s}, p) for a, (s, p) in truth.items()}
+    assert statements.same_day_order(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_global_rank(spark):
+    random.seed(4)
+    rows = [(random.choice(["x", "x", "x", "y", None]), random.choice([1, 2, 2, 3, None, random.randint(4, 900)]), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(5)
+    key = lambda r: (r[1] is None, -(r[1] or 0))
+    got = ranking.global_rank(df, [F.desc_nulls_last("v"), F.asc("i")]).collect()
+    assert [r.i for r in sorted(got, key=lambda r: r["rank"])] == [r[2] for r in sorted(rows, key=lambda r: (key(r), r[2]))] and sorted(r["rank"] for r in got) == list(range(1, 601))
+    dense = ranking.global_rank(df, [F.desc_nulls_last("v")], "d", within=["g"], dense=True).collect()
+    for g in ("x", "y", None):
+        values = sorted({key(r) for r in rows if r[0] == g})
+        assert {(r.i, r.d) for r in dense if r.g == g} == {(r[2], 1 + values.index(key(r))) for r in rows if r[0] == g}
+    assert ranking.global_rank(df.where("1 = 0"), [F.asc("v")]).count() == 0
