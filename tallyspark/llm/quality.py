@@ -7,19 +7,20 @@ rules, are rejected; the verdict on a text depends on nothing but the text and t
 
 Only DataFrame functions are used. Scale: counting and scoring each read the texts once and explode
 them inside a stage; what is shuffled is one row per bucket and task, then one row per document. The
-table of ratios has one row per bucket; their number grows with the corpus. It is broadcast only up to
-BROADCAST_BUCKETS; beyond, each text's buckets are counted inside its row and joined by shuffle, one
-row per text and distinct bucket. The trusted ids are broadcast only if they are few.
+number of buckets grows without a cap as the root of the corpus, as the number of distinct n-grams
+does by Heaps' law. Their ratios are packed, PACK in a row and four bytes each, and broadcast in parts
+of at most PART buckets (256 MB). One part does up to about 280 TB of text; each further one reads the
+texts again, adding to the same sums. The trusted ids are broadcast only if they are few.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tallyspark.llm.common import broadcast_if_small, checkpoint, text_of
 
@@ -29,10 +30,12 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: A document is kept if the mean log-likelihood ratio of its n-grams is at least this.
 THRESHOLD = -0.07
-BYTES_PER_BUCKET = 8192
+#: Buckets are so many times the root of the texts' bytes, up to the next power of two.
+BUCKETS_PER_ROOT = 4
 MIN_BUCKETS = 1 << 14
-#: The table of ratios is broadcast up to so many rows.
-BROADCAST_BUCKETS = 1 << 20
+#: Ratios in a row of the packed table, and buckets whose ratios are broadcast at once.
+PACK = 1 << 10
+PART = 1 << 26
 #: Pseudo-count of each bucket, in n-grams of trusted texts.
 SMOOTHING = 4.0
 
@@ -47,12 +50,12 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _repeated(words: Column) -> Column:
-    """Words that stand in a window of three that occurs twice or more.
+    """Words that stand in a window of three that occurs twice or more; words: their hashes.
 
     Windows are told apart by 64-bit hashes. A text without repeats ends after one sort of numbers.
     """
@@ -75,36 +78,31 @@ def _repeated(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _words and the base measures; text_col is not null."""
+    """docs with _hashes (of its words) and the base measures; text_col is not null."""
     text = F.col(text_col)
+    # A text is split once; its words are needed for these two only.
+    read = lambda w: F.struct(hashed(w).alias("hashes"), F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"))
     lines = lambda x: F.size(x) - F.size(F.array_distinct(x))
-    return docs.withColumn("_words", words_of(text)).withColumns(
+    rows = docs.withColumn("_read", let(words_of(text), read)).withColumns({"_hashes": F.col("_read.hashes"), "word_chars": F.col("_read.chars")}).drop("_read")
+    return rows.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(without(text, SPACE)).cast("long"),
-            "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
-            "n_dup_lines": let(F.filter(F.split(text, "\n", -1), lambda x: without(x, SPACE) != ""), lines).cast("long"),
-            "n_repeat_words": let(F.col("_words"), _repeated),
+            "n_words": F.size("_hashes").cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("long"),
+            "n_dup_lines": let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines).cast("long"),
+            "n_repeat_words": let(F.col("_hashes"), _repeated),
         }
     )
 
 
-def grams(words: Column, buckets: int) -> Column:
-    """The bucket of each word and of each pair of words that follow one another."""
-    single = lambda w: F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)))
-    pair = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.pmod(F.xxhash64(F.get(w, i - 1), F.get(w, i)), F.lit(buckets)))
-    return let(words, lambda w: F.when(F.size(w) < 2, single(w)).otherwise(F.concat(single(w), pair(w))))
+def grams(hashes: Column, buckets: int) -> Column:
+    """The bucket of each word and of each pair of words that follow one another, from the words' hashes."""
+    single = lambda h: F.transform(h, lambda x: F.pmod(x, F.lit(buckets)))
+    pair = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(buckets)))
+    return let(hashes, lambda h: F.when(F.size(h) < 2, single(h)).otherwise(F.concat(single(h), pair(h))))
 
 
 def buckets_for(n_bytes: int) -> int:
-    return max(MIN_BUCKETS, 1 << math.ceil(math.log2(max(1, n_bytes / BYTES_PER_BUCKET))))
-
-
-def counted(buckets: Column) -> Column:
-    """Array of (bucket, n) for the distinct ones of an array of buckets."""
-    firsts = lambda z: F.filter(F.transform(z, lambda x, i: F.struct(x.alias("bucket"), i.alias("i"))), lambda f: (f["i"] == 0) | (f["bucket"] != F.get(z, f["i"] - 1)))
-    sized = lambda z, f: F.transform(f, lambda x, k: F.struct(x["bucket"].alias("bucket"), (F.coalesce(F.get(f, k + 1)["i"], F.size(z)) - x["i"]).cast("long").alias("n")))
-    return let(F.sort_array(buckets), lambda z: let(firsts(z), lambda f: sized(z, f)))
+    return max(MIN_BUCKETS, 1 << math.ceil(math.log2(max(1, BUCKETS_PER_ROOT * math.sqrt(n_bytes)))))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -114,7 +112,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> D
     buckets = buckets_for(n_bytes)
     ids = trusted.select(trusted[trusted.columns[0]].alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
     marked = source.join(broadcast_if_small(ids), "_id", "left")
-    each = marked.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(grams(words_of(F.col("_text")), buckets)).alias("bucket"))
+    each = marked.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(grams(hashed(words_of(F.col("_text"))), buckets)).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     got = checkpoint(counts)
     totals = got.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("all_target"))
@@ -126,8 +124,12 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> D
     return got.select("bucket", ratio.cast("double").alias("ratio"), F.lit(buckets).alias("buckets"))
 
 
-def own_type(df: DataFrame, names: list[str]) -> StructType:
-    return df.select(*names).schema
+def packed(table: DataFrame, buckets: int) -> DataFrame:
+    """pack, ratios (PACK of them, 0 for buckets without n-grams) of a table of ratios()."""
+    every = table.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0.0).alias("ratio"))
+    dense = table.select("bucket", "ratio").unionByName(every).groupBy("bucket").agg(F.sum("ratio").cast("float").alias("ratio"))
+    rows = dense.groupBy(F.floor(F.col("bucket") / PACK).alias("pack")).agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("all"))
+    return rows.select("pack", F.col("all.ratio").alias("ratios"))
 
 
 def verdicts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, also: tuple[str, ...] = ()) -> DataFrame:
@@ -140,27 +142,33 @@ def verdicts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
 
     A null text has no words. Rows are numbered by the scan, so null and repeated ids don't matter;
     a null id is never trusted. Without trusted texts all scores are 0. An empty table gives an
-    empty table. Other columns are not read.
+    empty table. Other columns are not read. As the counts are those of docs, equal texts may score
+    otherwise in another corpus, by other neighbours and another number of buckets.
     """
     table = ratios(docs, trusted, id_col, text_col)
     known = table.select("buckets").first()
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *also)
     names = [*also, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    buckets, average = known[0] if known else MIN_BUCKETS, F.avg("ratio")
-    if buckets <= BROADCAST_BUCKETS:
-        each = measured(source, "_text").select("_row", "_id", *names, F.explode_outer(grams(F.col("_words"), buckets)).alias("bucket"))
-        scored = each.join(F.broadcast(table.select("bucket", "ratio")), "bucket", "left")
-        first = F.first
-    else:
-        # One row of each text has its measures and no n-gram; its bucket matches none and is dealt evenly.
-        own = F.struct((-1 - F.pmod(F.xxhash64("_row"), F.lit(buckets))).alias("bucket"), F.lit(0).cast("long").alias("n"), F.struct("_id", *names).alias("own"))
-        pairs = F.transform(counted(grams(F.col("_words"), buckets)), lambda x: F.struct(x["bucket"].alias("bucket"), x["n"].alias("n"), F.lit(None).cast(own_type(measured(source, "_text"), ["_id", *names])).alias("own")))
-        each = measured(source, "_text").select("_row", F.explode(F.concat(F.array(own), pairs)).alias("x")).select("_row", "x.bucket", "x.n", "x.own.*")
-        scored = each.join(table.select("bucket", "ratio").hint("merge"), "bucket", "left")
-        first, average = lambda x: F.first(x, ignorenulls=True), F.try_divide(F.sum(F.col("ratio") * F.col("n")), F.sum("n"))
-    summed = scored.groupBy("_row").agg(first("_id").alias(id_col), *(first(x).alias(x) for x in names), F.round(F.coalesce(average, F.lit(0.0)), 9).alias("score"))
+    buckets = known[0] if known else MIN_BUCKETS
+    packs = checkpoint(packed(table, buckets))
+    each = measured(source, "_text").select("_row", "_id", *names, F.explode_outer(grams(F.col("_hashes"), buckets)).alias("bucket"))
+    each = each.withColumn("pack", F.floor(F.col("bucket") / PACK))
+
+    def summed(rows: DataFrame, *sums: Column) -> DataFrame:
+        return rows.groupBy("_row").agg(*(F.first(x).alias(x) for x in ("_id", *names)), *sums)
+
+    def part(first: int) -> DataFrame:
+        """Of each text the sum of its ratios in a part of the buckets, and the number of its n-grams."""
+        known = F.broadcast(packs.where(F.col("pack").between(first // PACK, (first + PART - 1) // PACK)))
+        found = each.join(known, "pack", "left").withColumn("ratio", F.get("ratios", F.pmod("bucket", F.lit(PACK)).cast("int")).cast("double"))
+        return summed(found, F.sum("ratio").alias("ratio"), F.count("bucket").alias("n"))
+
+    parts = [part(first) for first in range(0, buckets, PART)]
+    total = parts[0] if len(parts) == 1 else summed(reduce(DataFrame.unionByName, parts), F.sum("ratio").alias("ratio"), F.first("n").alias("n"))
+    score = F.round(F.coalesce(F.try_divide("ratio", "n"), F.lit(0.0)), 9)
+    judged = total.select(F.col("_id").alias(id_col), *names, score.alias("score"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return summed.drop("_row").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
 
 def text_key(text_col: str = "text") -> list[Column]:

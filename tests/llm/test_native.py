@@ -89,7 +89,7 @@ def test_quality_score_is_the_mean_ratio(spark):
     trusted = docs.select("doc_id").where("doc_id < 10")
     ratios = {r.bucket: r.ratio for r in quality.ratios(docs, trusted, "doc_id", "text").collect()}
     buckets = quality.MIN_BUCKETS
-    each = {r.text: r.g for r in docs.select("text", quality.grams(quality.words_of(F.col("text")), buckets).alias("g")).distinct().collect()}
+    each = {r.text: r.g for r in docs.select("text", quality.grams(quality.hashed(quality.words_of(F.col("text"))), buckets).alias("g")).distinct().collect()}
     got = {r.doc_id: r.score for r in quality.verdicts(docs, trusted).collect()}
     for i, text in rows:
         assert len(each[text]) == 2 * len(text.split()) - 1
@@ -97,19 +97,26 @@ def test_quality_score_is_the_mean_ratio(spark):
     assert got[0] > 0 > got[100]
 
 
-def test_quality_buckets_grow_without_a_cap_and_are_joined_by_shuffle(spark, monkeypatch):
-    assert [quality.buckets_for(n) for n in (0, 1 << 30, 1 << 33, 30 * 10**9, 1 << 40)] == [1 << 14, 1 << 17, 1 << 20, 1 << 22, 1 << 27]
+def test_quality_buckets_grow_without_a_cap_and_are_broadcast_in_parts(spark, monkeypatch):
+    assert [quality.buckets_for(n) for n in (0, 1 << 30, 30 * 10**9, 10**14, 10**18)] == [1 << 14, 1 << 17, 1 << 20, 1 << 26, 1 << 32]
     random.seed(4)
     rows = [(i, " ".join(random.choices(["a", "b", "c", f"d{i}"], k=random.randint(0, 80)))) for i in range(40)] + [(None, None), (None, "x"), (3, "a a a b"), (3, "a a a b")]
     docs = table(spark, rows)
     trusted = docs.select("doc_id").where("doc_id < 9")
     values = lambda: Counter(tuple(r) for r in quality.verdicts(docs, trusted).withColumn("score", F.round("score", 7)).collect())
     expected = values()
-    monkeypatch.setattr(quality, "BROADCAST_BUCKETS", 1)
+    monkeypatch.setattr(quality, "PART", 1 << 12)  # four parts
     assert values() == expected and len(expected) > 40
     assert quality.verdicts(docs.where("1 = 0"), trusted).count() == 0
 
 
+def test_packed_ratios_are_those_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PACK", 8)
+    table = spark.createDataFrame([(3, 0.5), (8, -1.0), (31, 2.0)], "bucket long, ratio double")
+    got = {r["pack"]: r.ratios for r in quality.packed(table, 32).collect()}
+    assert [x for k in range(4) for x in got[k]] == [{3: 0.5, 8: -1.0, 31: 2.0}.get(b, 0.0) for b in range(32)]
+
+
 def test_quality_stage_keeps_what_verdicts_keep(spark, monkeypatch):
     good, bad = " ".join(f"w{i % 40} v{i % 7}" for i in range(200)), " ".join(f"j{i}$$" for i in range(150)) + " x"
     rows = [(1, good), (None, good), (2, bad), (3, "short"), (4, None), (1, bad)]
