@@ -21,41 +21,63 @@ LABELS = [
 ]
 
 
-def _labelled(lines: DataFrame) -> DataFrame:
-    """Non-blank lines of facilities with block, n (place in the document), is_label, and label_n (place of the last label line up to here).
+def split(texts: DataFrame) -> DataFrame:
+    """source_file, lines (array) of texts (source_file, content)."""
+    return texts.select("source_file", F.split("content", "\n").alias("lines"))
 
-    A facility goes from a start label to the next one or to a section's end.
-    """
-    upto = Window.partitionBy("source_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_block = Window.partitionBy("source_file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    text = lines.withColumn("line", P.clean_text(F.col("line"))).where("line <> ''")
-    marked = text.withColumns({"is_label": F.col("line").isin(LABELS), "_start": F.col("line").isin(START).cast("int"), "_end": F.col("line").isin(END)})
-    numbered = marked.withColumn("block", F.sum("_start").over(upto)).withColumn("n", F.row_number().over(Window.partitionBy("source_file").orderBy("line_no"))).where("block > 0")
-    return numbered.withColumn("_ended", F.max("_end").over(in_block)).where("NOT _ended").withColumn("label_n", F.last(F.when(F.col("is_label"), F.col("n")), ignorenulls=True).over(in_block))
+
+def documents(lines: DataFrame) -> DataFrame:
+    """source_file, lines: the lines of each document in order, as one array."""
+    return lines.groupBy("source_file").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
 
 
 def blocks(lines: DataFrame, most: int = 4) -> DataFrame:
-    """source_file, block, lines (array) and values of each facility.
+    """source_file, block, lines (array) and values of each facility; lines: source_file, line_no, line, or a document's lines as one array.
 
-    values: label to the lines after its first place up to the next label, at most so many, as one
-    text. Labels are marked once, on the lines, and each value is gathered once; all of it is
-    partitioned by document, so nothing is shuffled after the first window.
+    A facility goes from a start label to the next one or to a section's end. values: label to the
+    lines after its first place up to the next label, at most so many, as one text.
+
+    A document is one row: its lines are cut into facilities at the places of the start labels, and a
+    facility's values are read at the places of its labels, all inside the row. So lines are gathered
+    once (not at all if they come as arrays) and nothing is shuffled after that.
     """
-    near = F.when(~F.col("is_label") & (F.col("n") - F.col("label_n") <= most), F.struct("n", "line"))
-    join = lambda c: F.transform(F.array_sort(c), lambda x: x["line"])
-    each = _labelled(lines).groupBy("source_file", "block", "label_n").agg(
-        F.max(F.when(F.col("is_label"), F.col("line"))).alias("label"), F.array_join(join(F.collect_list(near)), " ").alias("value"), F.collect_list(F.struct("n", "line")).alias("own")
-    )
-    out = each.groupBy("source_file", "block").agg(
-        F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label_n", "label", "value")))).alias("v"), join(F.flatten(F.collect_list("own"))).alias("lines")
-    )
-    entries = F.transform(first_only(F.col("v")), lambda x: F.struct(x["label"], x["value"]))
-    return out.select("source_file", "block", "lines", F.map_from_entries(entries).alias("values"))
+    docs = lines if "line_no" not in lines.columns else documents(lines)
+    clean = F.filter(F.transform("lines", P.clean_text), lambda x: x != "")
+    held = docs.select("source_file", P.once(clean, lambda c: F.filter(P.once(_places(c, START), lambda at: _cut(c, at)), lambda b: F.size(b["lines"]) > 0)).alias("b"))
+    found = held.select("source_file", F.inline("b"))
+    return found.select("source_file", "block", "lines", P.once(F.col("lines"), lambda own: P.once(_places(own, LABELS), lambda at: _values(own, at, most))).alias("values"))
+
+
+def _places(lines: Column, labels: list[str]) -> Column:
+    """Where lines have one of the labels, from 0."""
+    at = F.transform(lines, lambda x, i: F.when(x.isin(labels), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def _cut(lines: Column, starts: Column) -> Column:
+    """Array of (block, lines): from each start to the next one, or to a section's end before it."""
+
+    def one(at: Column, k: Column) -> Column:
+        whole = F.slice(lines, at + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - at)
+        ends = lambda w: F.array_min(F.filter(F.transform(w, lambda x, i: F.when(x.isin(END), i)), lambda i: i.isNotNull()))
+        upto = P.once(whole, lambda w: P.once(F.coalesce(ends(w), F.size(w)), lambda n: F.when(n > 0, F.slice(w, 1, n)).otherwise(F.array().cast("array<string>"))))
+        return F.struct((k + 1).cast("long").alias("block"), upto.alias("lines"))
+
+    return F.transform(starts, one)
+
+
+def _values(lines: Column, labels: Column, most: int) -> Column:
+    """Map of label to value, the first place of each label."""
 
+    def value(k: Column) -> Column:
+        at = F.get(labels, k)
+        n = F.least(F.coalesce(F.get(labels, k + 1), F.size(lines)) - at - 1, F.lit(most))
+        return F.struct(F.get(lines, at).alias("label"), F.when(n > 0, F.array_join(F.slice(lines, at + 2, F.greatest(n, F.lit(1))), " ")).otherwise("").alias("value"))
 
-def first_only(values: Column) -> Column:
-    """Of an array of (label_n, label, value) in order, the first of each label."""
-    return F.filter(values, lambda x, i: F.array_position(F.transform(values, lambda y: y["label"]), x["label"]) == i + 1)
+    # Labels are few, so the first place of each is found by the distinct ones, not by comparing all.
+    names = F.transform(labels, lambda i: F.get(lines, i))
+    firsts = P.once(names, lambda x: F.transform(F.array_distinct(x), lambda y: (F.array_position(x, y) - 1).cast("int")))
+    return F.map_from_entries(F.transform(firsts, value))
 
 
 def status(condition: Column) -> Column:

@@ -162,8 +162,8 @@ def statement_lines(tx: DataFrame) -> DataFrame:
     return head.unionByName(rows).unionByName(more)
 
 
-def report_lines(staged: DataFrame) -> DataFrame:
-    """Facilities (rows with a lender; subtotal and fallback rows are no part of a report) as lines of report text, a labelled value each. Every seventh place of a report holds a bank guarantee; lenders are written in two ways."""
+def report_texts(staged: DataFrame) -> DataFrame:
+    """source_file, content: facilities (rows with a lender; subtotal and fallback rows are no part of a report) as report text, a labelled value in lines of its own. Every seventh place of a report holds a bank guarantee; lenders are written in two ways."""
     guarantee = F.col("seq") % 7 == 0
     coded = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("PT Bank "), F.col("bank"))).otherwise(F.concat(F.lit("014 - "), F.col("bank")))
     amount = F.concat(F.lit("Rp "), F.regexp_replace(F.format_number(F.regexp_replace("baki_debet", ",", ".").cast("decimal(20,2)"), 2), r"[.]", "#"))
@@ -172,11 +172,11 @@ def report_lines(staged: DataFrame) -> DataFrame:
              ("Plafon", F.col("plafond")), ("Plafon Awal", F.lit("1,00")), ("Baki Debet", printed), ("Jenis Garansi", F.lit("Garansi Tender")), ("Setoran Jaminan", F.lit("Rp 1.500,50")),
              ("Kualitas", F.concat("kol", F.lit(" - x"))), ("Suku Bunga/Imbalan", F.lit("12,5 %")), ("Tanggal Akad Awal", F.col("awal")), ("Tanggal Jatuh Tempo", F.col("jatuh_tempo")), ("Kondisi", F.when(F.col("keterangan") == "Aktif", "Fasilitas Aktif").otherwise(F.col("keterangan")))]
     texts = F.array(F.when(guarantee, "Bank Garansi").otherwise("Kredit/Pembiayaan"), *(x for label, value in pairs for x in ([F.lit(label)] if label else []) + [value]), F.lit("Agunan"), F.lit("Tanah"))
-    each = staged.where(~F.col("bank").isin("", "Jumlah")).select("source_file", "seq", F.posexplode(texts).alias("at", "line"))
-    return each.select("source_file", (F.col("seq") * 100 + F.col("at")).alias("line_no"), "line")
+    each = staged.where(~F.col("bank").isin("", "Jumlah")).select("source_file", F.struct("seq", F.array_join(texts, "\n", "").alias("text")).alias("part"))
+    return each.groupBy("source_file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["text"]), "\n").alias("content"))
 
 
-#: What report_lines() says of each facility, as it is read back; rows without a name are no facilities.
+#: What report_texts() says of each facility, as it is read back; rows without a name are no facilities.
 REPORT_SQL = """
 rep AS (
   SELECT source_file, seq::INT AS seq, CASE WHEN seq % 7 = 0 THEN 'Bank Garansi' ELSE 'Kredit/Pembiayaan' END AS jenis_fasilitas, CASE WHEN seq % 3 = 0 THEN 'PT Bank ' || bank ELSE bank END AS bank,

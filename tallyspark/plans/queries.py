@@ -160,7 +160,7 @@ _register(
       UNION ALL SELECT 'report-' || o_orderkey, 'kol_range', 'ERROR', 'kol', 9002 FROM orders WHERE o_orderkey % 97 = 0)""", A.FACILITIES_SQL,
 )
 _money4 = lambda c: F.col(c).cast("decimal(20,4)").alias(c)
-_reported = lambda spark, sf_dir: reports.facilities(A.report_lines(A.facilities(spark, sf_dir)))
+_reported = lambda spark, sf_dir: reports.facilities(reports.split(A.report_texts(A.facilities(spark, sf_dir))))
 _register(
     "block_parse_roundtrip",
     lambda spark, sf_dir: reports.without_guarantees(_reported(spark, sf_dir)).select("source_file", "seq", "jenis_fasilitas", "bank", "penggunaan", _money4("plafond"), _money4("baki_debet"), "kol", "awal", "jatuh_tempo", "rate", "keterangan", "no_rekening", "no_akad_akhir"),
