@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.facilities import BUCKETS, active, cost_sum, high_rate, mean, money_sum, outstanding_problem, problem, written_off
+from tallyspark.operators.ranking import global_rank
 
 RATE_BANDS = [("0-10%", 0.0, 0.10), ("10-20%", 0.10, 0.20), ("20-30%", 0.20, 0.30), ("30-40%", 0.30, 0.40), (">40%", 0.40, None)]
 
@@ -235,28 +236,11 @@ def rate_histogram(df: DataFrame, bins: int = 20) -> DataFrame:
     return rates.join(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.sum("n").alias("facility_count"))
 
 
-def rate_scatter(df: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Points of outstanding against rate, numbered by rate inside each grade.
-
-    There are five grades, so a window by grade would sort everything in five tasks. Rows are dealt
-    out by ranges of (grade, rate, place) instead; a row's number is its number in its range and
-    grade, and the rows of the grade in the ranges before, a table of one row per range and grade.
-    The ranges' bounds come from a sample of 64 rows for each (those with the least hashes), and only
-    decide which task numbers a row.
-    """
-    order = ["kol", "rate", "source_file", "seq"]
-    points = df.where("rate IS NOT NULL AND kol IS NOT NULL AND baki_debet > 0").select(F.struct(*order).alias("at"), F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"))
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = sorted(x["at"] for x in points.orderBy(F.xxhash64("at"), "at").limit(64 * n).select("at").collect())
-    bounds = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(order, sample[i * len(sample) // n], strict=True))) for i in range(1, n))) if sample and n > 1 else None
-    at_range = F.lit(0) if bounds is None else F.size(F.filter(bounds, lambda b: b <= F.col("at")))
-    dealt = points.withColumn("_range", at_range)
-    counts = dealt.groupBy("at.kol", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("kol").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("kol", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_range", "at.kol").orderBy("at"))
-    numbered = dealt.withColumn("_place", place).select("at.*", "_range", "_place", "baki_debet").join(F.broadcast(starts), ["kol", "_range"])
-    return numbered.select("kol", (F.col("_start") + F.col("_place")).cast("int").alias("place"), "rate", "baki_debet", "source_file", "seq")
+def rate_scatter(df: DataFrame) -> DataFrame:
+    """Points of outstanding against rate, numbered by rate inside each grade. There are five grades, so places are counted by ranges, not in a window by grade."""
+    points = df.where("rate IS NOT NULL AND kol IS NOT NULL AND baki_debet > 0").select("kol", "rate", "source_file", "seq", F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"))
+    placed = global_rank(points, [F.asc("rate"), F.asc("source_file"), F.asc("seq")], "place", within=["kol"])
+    return placed.select("kol", F.col("place").cast("int").alias("place"), "rate", "baki_debet", "source_file", "seq")
 
 
 def workbook(df: DataFrame, guarantees: DataFrame | None = None, issues: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -280,5 +264,6 @@ def bars(df: DataFrame, by: str, order: list[str] | None = None) -> DataFrame:
     sums = df.groupBy(F.col(by).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("facility_count"), money_sum("baki_debet").alias("total_baki_debet"))
     if order:
         return sums.withColumn("place", F.coalesce(F.nullif(F.array_position(F.lit(order), F.col("value")).cast("int"), F.lit(0)), F.lit(len(order) + 1)))
-    # One row per value: the window runs over groups, not over facilities.
-    return sums.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total_baki_debet"), F.asc_nulls_last("value"))))
+    # Debtors may be very many, so no window sees all of them.
+    placed = global_rank(sums, [F.desc("total_baki_debet"), F.asc_nulls_last("value")], "place")
+    return placed.select("value", "facility_count", "total_baki_debet", F.col("place").cast("int").alias("place"))

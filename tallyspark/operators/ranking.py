@@ -57,13 +57,14 @@ def global_rank(rows: DataFrame, order: list[Column], name: str = "rank", within
 
     within: columns by which places begin anew; they come first in the order. Rows are dealt by range
     of the order, so few large groups, or none at all, still are spread over tasks; a range is numbered
-    by itself, and what stands before it is a sum over one small row per range (and group).
+    by itself, and what stands before it is a sum over one small row per range (and group). The input is
+    written once to the shared folder, as its ranges are sampled before it is dealt.
     """
     within = within or []
     # Where equal rows get places of their own, they may be in several ranges.
     keys = [F.col(c) for c in within] + order + ([] if dense else [F.xxhash64(*rows.columns)])
     parts = max(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = checkpoint(rows.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()))
+    dealt = checkpoint(checkpoint(rows).repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()))
     inside = Window.partitionBy("_range", *within).orderBy(*(order if dense else keys[len(within) :]))
     number = F.dense_rank() if dense else F.row_number()
     placed = dealt.withColumn("_place", number.over(inside))

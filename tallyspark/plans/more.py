@@ -339,6 +339,7 @@ _register(
       FROM (SELECT *, ['Januari', 'February', 'Maret', 'Apr', 'Mei', 'June', 'Juli', 'August', 'Sep', 'Oktober', 'Nov', 'Desember'][p_partkey % 12 + 1] AS m FROM part)) GROUP BY 1, 2""",
 )
 _on_clean("bars_by_bank", lambda df: dashboards.bars(df, "bank"), "SELECT bank AS value, count(*) AS facility_count, sum(baki)::DECIMAL(38,4) AS total_baki_debet, (row_number() OVER (ORDER BY sum(baki) DESC, bank))::INT AS place FROM fac GROUP BY 1")
+_on_clean("bars_by_debtor", lambda df: dashboards.bars(df, "nama"), "SELECT nama AS value, count(*) AS facility_count, sum(baki)::DECIMAL(38,4) AS total_baki_debet, (row_number() OVER (ORDER BY sum(baki) DESC, nama))::INT AS place FROM fac GROUP BY 1")
 _on_clean("bars_by_kol", lambda df: dashboards.bars(df, "kol", ["1", "2", "3", "4", "5"]), "SELECT kol::VARCHAR AS value, count(*) AS facility_count, sum(baki)::DECIMAL(38,4) AS total_baki_debet, kol::INT AS place FROM fac GROUP BY kol")
 _on_clean("bars_by_bucket", lambda df: dashboards.bars(df, "maturity_bucket", facilities.BUCKETS), "SELECT bucket AS value, count(*) AS facility_count, sum(baki)::DECIMAL(38,4) AS total_baki_debet, list_position(['Overdue', '0-3 Months', '3-6 Months', '6-12 Months', '>12 Months', 'Unknown'], bucket)::INT AS place FROM fac GROUP BY 1")
 _on_clean(
