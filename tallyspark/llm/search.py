@@ -27,10 +27,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import checkpoint, checkpoint_dir, text_of
+from tallyspark.llm.common import checkpoint, checkpoint_dir, remove, text_of
 
 LIMIT = 50
 BLOCK = 64
@@ -270,15 +270,10 @@ def _search_set(docs: DataFrame, queries: Queries, limit: int, id_col: str, text
         thresholds[q] = score
     ids = spark.createDataFrame(list(enumerate(queries.ids)), "q int, id long")
     found = checkpoint(_ranked(_top(index, queries, thresholds, limit), limit).join(F.broadcast(ids), "q").select("id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
-    _remove(spark, folder)
+    remove(spark, folder)
     return found
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def search(docs: DataFrame, items: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """item id, rank, doc id, score: of each item the ``limit`` best rows of docs with a score above 0.
 

@@ -15,7 +15,7 @@ from tallyspark.llm import packing as packing_op
 from tallyspark.llm import pii as pii_op
 from tallyspark.llm import quality as quality_op
 from tallyspark.llm import simhash, toxicity
-from tallyspark.llm.common import broadcast_if_small, checkpoint, checkpoint_dir, pii_key, table, text_of
+from tallyspark.llm.common import broadcast_if_small, checkpoint, checkpoint_dir, pii_key, remove, table, text_of
 
 Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 
@@ -62,9 +62,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str, stages: list[Stage]) -> DataFrame:
-    """The stages in order over documents; each result is written to the shared folder and read again."""
+    """The stages in order over documents; each result is written to the shared folder and read again.
+
+    A stage's table is removed when the next one is written. The last one is what is returned, so it
+    stays; it is the caller's to copy and remove.
+    """
     docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(stages):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
