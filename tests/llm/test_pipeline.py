@@ -135,7 +135,7 @@ def test_a_repeated_id_loses_only_its_rows_of_other_classes(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_exact_columns_equal_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     df, result = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in result.description]
