@@ -135,7 +135,7 @@ def read(lines: DataFrame, layout: Layout) -> DataFrame:
 
 
 def sheets(monthly: DataFrame, issues: DataFrame) -> dict[str, DataFrame]:
-    """What a workbook holds, by sheet: the months of all accounts, and the issues (a row that says so if there are none)."""
+    """What a workbook holds, by sheet: the months of all accounts by year, month and file (if it has one), and the issues (a row that says so if there are none)."""
     none = issues.sparkSession.createDataFrame([("no_issues", "INFO")], "rule_name string, severity string")
     have = issues.select("rule_name", "severity")
-    return {"Summary": monthly.orderBy("account", "year", "month"), "Data_Quality": have if not have.isEmpty() else none}
+    return {"Summary": monthly.orderBy("account", "year", "month", *(c for c in ("source_file",) if c in monthly.columns)), "Data_Quality": have if not have.isEmpty() else none}

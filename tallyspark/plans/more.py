@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import parsing as P
@@ -247,14 +247,14 @@ _register(
 def _wrong_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions with all balances, but one in seven; of which one in five stands on the wrong side and one in eleven has no amounts."""
     tx = _mixed(spark, sf_dir)
-    right = A.shuffled_days(tx).where("substring(account, 3, 9) % 3 <> 0").select("account", F.col("source_row").alias("source_sequence"), F.col("balance").alias("right"))
     e = F.col("event_id")
-    both = tx.join(right, ["account", "source_sequence"])
+    so_far = Window.partitionBy("account").orderBy("source_sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = tx.withColumn("right", (F.lit(A.OPENING) + F.sum(F.coalesce("cr", F.lit(0)) - F.coalesce("db", F.lit(0))).over(so_far)).cast("decimal(20,2)"))
     side = lambda a, b: F.when(e % 11 == 0, None).when(e % 5 == 0, F.col(b)).otherwise(F.col(a)).cast("decimal(20,2)")
     return both.select("account", "source_sequence", "event_id", side("db", "cr").alias("db"), side("cr", "db").alias("cr"), F.col("right").alias("saldo"), F.lit(A.OPENING).cast("decimal(20,2)").alias("opening"))
 
 
-_WRONG = "wrong AS (SELECT * FROM tx WHERE substr(account, 3)::INT % 3 <> 0)"
+_WRONG = "wrong AS (SELECT * FROM tx)"
 _RIGHT = "SELECT account, source_sequence, db, cr FROM wrong"
 #: Balances of rows on the wrong side do change, so 'swap' only fills rows without amounts.
 _FILLED = "SELECT account, source_sequence, CASE WHEN event_id % 5 = 0 AND event_id % 11 <> 0 THEN cr ELSE db END AS db, CASE WHEN event_id % 5 = 0 AND event_id % 11 <> 0 THEN db ELSE cr END AS cr FROM wrong"

@@ -1,7 +1,10 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import detect
+from tallyspark.operators import detect, layouts, reports
 from tallyspark.sources import files, layers
 from tallyspark.streaming import incremental
 
@@ -60,3 +63,56 @@ def test_audit_tables_grow_and_labels_are_never_overwritten(spark, tmp_path):
     assert [r.n for r in layers.cache_read(spark, root, "t", "2").collect()] == [6]
     paths = layers.export_workbook({"Summary": spark.createDataFrame([("a", 2024, 1)], "account string, year int, n int")}, root, ("account", "year"))
     assert spark.read.parquet(paths["Summary"]).where("account = 'a' AND year = 2024").count() == 1
+
+
+def test_tables_are_replaced_or_added_to(spark):
+    one, two = (spark.createDataFrame([(k, str(k))], "n int, t string") for k in (1, 2))
+    spark.sql("DROP TABLE IF EXISTS saved_rows")
+    try:
+        layers.save_table(one, "Saved-Rows", "append")  # creates it
+        layers.save_table(two, "saved_rows", "append")
+        assert sorted(r.n for r in spark.table("saved_rows").collect()) == [1, 2]
+        layers.save_table(two, "saved rows", "replace")
+        assert [r.n for r in spark.table("saved_rows").collect()] == [2]
+        with pytest.raises(ValueError):
+            layers.save_table(one, "saved_rows", "upsert")
+    finally:
+        spark.sql("DROP TABLE IF EXISTS saved_rows")
+
+
+def test_sheets_and_issues_of_a_workbook(spark, tmp_path):
+    monthly = spark.createDataFrame([("a", 2024, 2, "f2"), ("a", 2023, 12, "f9"), ("a", 2024, 2, "f1"), ("a", 2024, 1, "f3")], "account string, year int, month int, source_file string")
+    issues = spark.createDataFrame([("kol_range", "ERROR", 3)], "rule_name string, severity string, row_number int")
+    got = layouts.sheets(monthly, issues)
+    assert [r.source_file for r in got["Summary"].collect()] == ["f9", "f3", "f1", "f2"]
+    assert [tuple(r) for r in got["Data_Quality"].collect()] == [("kol_range", "ERROR")]
+    assert [tuple(r) for r in layouts.sheets(monthly, issues.where("1 = 0"))["Data_Quality"].collect()] == [("no_issues", "INFO")]
+    root = str(tmp_path)
+    summary = layers.export_workbook({"Summary": got["Summary"]}, root)["Summary"]
+    added = layers.export_workbook({"Data_Quality": got["Data_Quality"]}, root)["Data_Quality"]  # a sheet more, the others stay
+    assert spark.read.parquet(summary).count() == 4 and spark.read.parquet(added).count() == 1
+
+
+def test_report_blocks_equal_plain_reading(spark):
+    """Facilities and values of random lines, as rows of lines and as one array, against a loop over the lines."""
+    random.seed(9)
+    some = [*reports.START, *reports.END[:3], *reports.LABELS[:12], "value one", "  value   two ", "", "Rp 1,00"]
+    docs = {f"d{k}": [random.choice(some) for _ in range(random.randint(0, 60))] for k in range(40)}
+    want = {}
+    for name, lines in docs.items():
+        lines, block, own, ended = [" ".join(x.split()) for x in lines], 0, {}, False
+        for line in filter(None, lines):
+            if line in reports.START:
+                block, ended = block + 1, False
+            ended = ended or line in reports.END
+            if block and not ended:
+                own.setdefault(block, []).append(line)
+        for b, held in own.items():
+            values, at = {}, [i for i, x in enumerate(held) if x in reports.LABELS]
+            for i, j in itertools.pairwise([*at, len(held)]):
+                values.setdefault(held[i], " ".join(held[i + 1 : min(j, i + 5)]))
+            want[name, b] = (held, values)
+    rows = spark.createDataFrame([(n, i, x) for n, lines in docs.items() for i, x in enumerate(lines)], "source_file string, line_no int, line string")
+    arrays = spark.createDataFrame(list(docs.items()), "source_file string, lines array<string>")
+    for given in (rows.repartition(3), arrays):
+        assert {(r.source_file, r.block): (r.lines, r["values"]) for r in reports.blocks(given).collect()} == want
