@@ -63,7 +63,8 @@ _register(
 # --- sources ---------------------------------------------------------------------------------
 
 _NAMES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
-_register("folder_scan", lambda spark, sf_dir: files.binary(spark, sf_dir, "parquet").select(F.element_at(F.split("path", "/"), -1).alias("file_name")).orderBy("file_name"), "SELECT unnest([" + ", ".join(f"'{x}.parquet'" for x in _NAMES) + "]) AS file_name")
+# A table is a file, or a folder of part files.
+_register("folder_scan", lambda spark, sf_dir: files.binary(spark, sf_dir, "parquet").select(F.regexp_extract("path", r"/([^/]+\.parquet)(?:/.*)?$", 1).alias("file_name")).distinct().orderBy("file_name"), "SELECT unnest([" + ", ".join(f"'{x}.parquet'" for x in _NAMES) + "]) AS file_name")
 _register(
     "decoded_texts",
     lambda spark, sf_dir: A.table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(" café")).alias("t")).select(
