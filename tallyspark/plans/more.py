@@ -162,7 +162,7 @@ def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 _on("dedup_all_keys", lambda spark, sf_dir: facilities.keep_first(_twice(spark, sf_dir), ["source_file", *_DUP], ["seq"]).select("source_file", "seq", "nama", "bank", "kol"), "SELECT source_file, seq::INT AS seq, nama, bank, kol::INT AS kol FROM fac QUALIFY row_number() OVER (PARTITION BY source_file, nama, l_partkey % 50 = 0, bank, penggunaan, plafond, baki, kol, awal, jatuh_tempo, rate, keterangan ORDER BY seq) = 1")
 _on("dedup_removed", lambda spark, sf_dir: facilities.removed(_twice(spark, sf_dir), ["source_file", *_DUP]), "SELECT (SELECT count(*) + count_if(seq % 3 = 0) FROM fac)::BIGINT AS rows, (SELECT count(*) + count_if(seq % 3 = 0) FROM fac)::BIGINT - (SELECT count(*) FROM (SELECT DISTINCT source_file, nama, l_partkey % 50 = 0, bank, penggunaan, plafond, baki, kol, awal, jatuh_tempo, rate, keterangan FROM fac))::BIGINT AS removed")
 _on_clean(
-    "option_lists_all", lambda df: reduce(DataFrame.unionByName, (dashboards.options(df, c).select(F.lit(c).alias("column"), "value") for c in ("nama", "bank", "penggunaan", "kol", "keterangan", "maturity_bucket"))).orderBy("column", "value"),
+    "option_lists_all", lambda df: dashboards.option_lists(df, ["nama", "bank", "penggunaan", "kol", "keterangan", "maturity_bucket"]).orderBy("column", "value"),
     " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS column, {v}::VARCHAR AS value FROM fac" for c, v in (("nama", "nama"), ("bank", "bank"), ("penggunaan", "penggunaan"), ("kol", "kol"), ("keterangan", "keterangan"), ("maturity_bucket", "bucket"))),
 )
 _on(

@@ -24,3 +24,12 @@ def test_usual_forms_are_read_as_others(spark):
     dates = ["2024-02-01", None, "2024-12-31", "2024-02-01", "2024-02-01"]
     assert [r[0] for r in got[:7]] == dates + [None, None]
     assert [r[1] for r in got[6:]] == [0.0, 1234.56, -5.0, 0.0, 1000.0, 7.5, 0.0, 0.0]
+
+
+
+def scans(got, name="lineitem"):
+    return got.count(f"{name}.parquet]")
+
+
+def test_options_of_all_columns_are_one_pass(spark):
+    assert scans(plan(spark, "option_lists_all")) == 1
