@@ -155,8 +155,8 @@ _DUP = ["nama", "nik_npwp", "bank", "penggunaan", "plafond", "baki_debet", "kol"
 
 def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facilities of which every third place is reported again, with the same values, at a later place."""
-    own = _clean(spark, sf_dir)
-    return own.unionByName(own.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1000))
+    places = F.when(F.col("seq") % 3 == 0, F.array(F.col("seq"), F.col("seq") + 1000)).otherwise(F.array("seq"))
+    return _clean(spark, sf_dir).withColumn("seq", F.explode(places))
 
 
 _on("dedup_all_keys", lambda spark, sf_dir: facilities.keep_first(_twice(spark, sf_dir), ["source_file", *_DUP], ["seq"]).select("source_file", "seq", "nama", "bank", "kol"), "SELECT source_file, seq::INT AS seq, nama, bank, kol::INT AS kol FROM fac QUALIFY row_number() OVER (PARTITION BY source_file, nama, l_partkey % 50 = 0, bank, penggunaan, plafond, baki, kol, awal, jatuh_tempo, rate, keterangan ORDER BY seq) = 1")

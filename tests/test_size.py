@@ -33,3 +33,7 @@ def scans(got, name="lineitem"):
 
 def test_options_of_all_columns_are_one_pass(spark):
     assert scans(plan(spark, "option_lists_all")) == 1
+
+
+def test_rows_that_are_reported_again_are_one_pass(spark):
+    assert scans(plan(spark, "dedup_all_keys")) == 1 and scans(plan(spark, "dedup_removed")) == 1
