@@ -166,7 +166,7 @@ _on_clean(
     " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS column, {v}::VARCHAR AS value FROM fac" for c, v in (("nama", "nama"), ("bank", "bank"), ("penggunaan", "penggunaan"), ("kol", "kol"), ("keterangan", "keterangan"), ("maturity_bucket", "bucket"))),
 )
 _on(
-    "schedule_beside_year", lambda spark, sf_dir: schedule.beside(schedule.schedule(_clean(spark, sf_dir)), schedule.yearly(_clean(spark, sf_dir))),
+    "schedule_beside_year", lambda spark, sf_dir: schedule.beside_year(_clean(spark, sf_dir)),
     """SELECT source_file, seq, count(*)::BIGINT AS years, min(year)::INT AS first_year, sum(cpltd)::BIGINT AS cpltd, sum(interest)::BIGINT AS interest, 1::INT AS period FROM (SELECT source_file, seq::INT AS seq, year(due) AS year, sum(payment) AS cpltd, sum(interest) AS interest FROM sched GROUP BY 1, 2, 3) GROUP BY 1, 2""",
     _BASE_SQL, _SCHEDULE_SQL,
 )

@@ -37,3 +37,17 @@ def test_options_of_all_columns_are_one_pass(spark):
 
 def test_rows_that_are_reported_again_are_one_pass(spark):
     assert scans(plan(spark, "dedup_all_keys")) == 1 and scans(plan(spark, "dedup_removed")) == 1
+
+
+def test_years_beside_the_schedule_are_one_pass(spark):
+    assert scans(plan(spark, "schedule_beside_year")) == 1
+
+
+def test_years_of_equal_loans_are_summed_for_each(spark):
+    from tallyspark.operators import schedule
+
+    rows = [("a", 1, "2024-03-01", "2025-02-01", 1200.0, 0.12), ("a", 1, "2024-03-01", "2025-02-01", 1200.0, 0.12), ("b", 1, "2024-01-31", "2024-02-01", 5.0, None), ("c", 1, "2024-02-01", "2024-01-01", 5.0, 0.1)]
+    clean = spark.createDataFrame(rows, "source_file string, seq int, awal string, jatuh_tempo string, plafond double, rate double").withColumns({"awal": F.to_date("awal"), "jatuh_tempo": F.to_date("jatuh_tempo"), "nama": F.lit("n"), "bank": F.lit("b")})
+    columns = ["source_file", "seq", "period", "years", "first_year", "cpltd", "interest"]
+    got = sorted(tuple(r) for r in schedule.beside_year(clean).select(*columns).collect())
+    assert len(got) == 3 and got == sorted(tuple(r) for r in schedule.beside(schedule.schedule(clean), schedule.yearly(clean)).select(*columns).collect())
