@@ -51,3 +51,13 @@ def test_years_of_equal_loans_are_summed_for_each(spark):
     columns = ["source_file", "seq", "period", "years", "first_year", "cpltd", "interest"]
     got = sorted(tuple(r) for r in schedule.beside_year(clean).select(*columns).collect())
     assert len(got) == 3 and got == sorted(tuple(r) for r in schedule.beside(schedule.schedule(clean), schedule.yearly(clean)).select(*columns).collect())
+
+
+def test_the_cache_has_a_folder_for_a_run_not_for_a_file(spark, tmp_path):
+    from tallyspark.sources import layers
+
+    rows = lambda n, *hashes: spark.createDataFrame([("t", "1", h, n) for h in hashes], "document_type string, parser_version string, source_file_hash string, n int")
+    for run, n, hashes in ((1, 1, "abc"), (2, 2, "bd"), (2, 3, "bd")):
+        layers.cache_write(rows(n, *hashes), str(tmp_path), run)
+    assert len(list(tmp_path.glob("cache/*/*/*=*"))) == 2
+    assert sorted((r.source_file_hash, r.n) for r in layers.cache_read(spark, str(tmp_path), "t", "1").collect()) == [("a", 1), ("b", 3), ("c", 1), ("d", 3)]
