@@ -61,3 +61,21 @@ def test_the_cache_has_a_folder_for_a_run_not_for_a_file(spark, tmp_path):
         layers.cache_write(rows(n, *hashes), str(tmp_path), run)
     assert len(list(tmp_path.glob("cache/*/*/*=*"))) == 2
     assert sorted((r.source_file_hash, r.n) for r in layers.cache_read(spark, str(tmp_path), "t", "1").collect()) == [("a", 1), ("b", 3), ("c", 1), ("d", 3)]
+
+
+def test_no_report_text_is_shuffled(spark):
+    got = plan(spark, "block_parse_roundtrip")
+    assert got.index("Setoran Jaminan") < got.index("Exchange")
+
+
+def test_facilities_of_one_kind_are_those_of_all(spark):
+    from tallyspark.operators import reports
+
+    one = lambda kind, *more: "\n".join([kind, "Pelapor", "001 - IDEB", " 014 -  X\x1b[0m Y ", "Rp 7,00", "Baki Debet", "Rp 1.002,50", "Kondisi", *more, "Agunan", "Kondisi", "Lunas"])
+    content = "\n".join(["x", one(reports.CREDIT, "HAPUS  TAGIH"), one(reports.GUARANTEE, "Fasilitas Aktif"), one(reports.CREDIT, "Lunas", "Kualitas", "2 - x"), one(reports.CREDIT, "Lunas")])
+    texts = spark.createDataFrame([("a", content), ("b", None), ("c", one(reports.CREDIT, "Dihapus-bukukan"))], "source_file string, content string")
+    rows = lambda df: sorted((r.source_file, r.seq, r.bank, r.keterangan, r.baki_debet, r.kol) for r in df.collect())
+    every = rows(reports.facilities(texts))
+    assert every == [("a", 1, "X Y", "Hapus Tagih", 7.0, None), ("a", 2, "X Y", "Aktif", 7.0, None), ("a", 3, "X Y", "Lunas", 7.0, 2), ("c", 1, "X Y", "Dihapusbukukan", 7.0, None)]
+    assert every == rows(reports.facilities(reports.split(texts)))
+    assert rows(reports.facilities(texts, [reports.GUARANTEE])) == every[1:2]
