@@ -79,3 +79,8 @@ def test_facilities_of_one_kind_are_those_of_all(spark):
     assert every == [("a", 1, "X Y", "Hapus Tagih", 7.0, None), ("a", 2, "X Y", "Aktif", 7.0, None), ("a", 3, "X Y", "Lunas", 7.0, 2), ("c", 1, "X Y", "Dihapusbukukan", 7.0, None)]
     assert every == rows(reports.facilities(reports.split(texts)))
     assert rows(reports.facilities(texts, [reports.GUARANTEE])) == every[1:2]
+
+
+def test_conflicts_and_equal_months_take_one_pass(spark):
+    assert scans(plan(spark, "overlap_conflicts"), "events") == 2  # transactions, and the accounts' openings
+    assert scans(plan(spark, "duplicate_months"), "events") == 2
