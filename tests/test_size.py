@@ -84,3 +84,13 @@ def test_facilities_of_one_kind_are_those_of_all(spark):
 def test_conflicts_and_equal_months_take_one_pass(spark):
     assert scans(plan(spark, "overlap_conflicts"), "events") == 2  # transactions, and the accounts' openings
     assert scans(plan(spark, "duplicate_months"), "events") == 2
+
+
+def test_words_are_not_dealt_by_the_buckets_of_bands(spark):
+    from tallyspark.plans import readers  # noqa: F401
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the words were many
+    try:
+        assert "SortMergeJoin" not in plan(spark, "band_cells")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
