@@ -94,3 +94,13 @@ def test_words_are_not_dealt_by_the_buckets_of_bands(spark):
         assert "SortMergeJoin" not in plan(spark, "band_cells")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_clean_columns_are_read_as_others(spark):
+    texts = ["", None, " ", "a", " a ", "a b", "a  b", "a\tb", "a b\n", "é", "a\u00a0b", "\x1b[31mx", "\x7f", "'", "12", "012 ", "9999999999", "-3", "0.350", "35", "1.000,5", "0,5 %", "1e5", ".5", "5."]
+    t = F.col("t")
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(P.column_text(t), P.clean_text(t), P.grade(t), P.rate(t), P.rupiah(t)).collect()
+    assert all(r[0] == r[1] for r in got)
+    assert [r[2] for r in got[14:]] == [12, 12, None, 3, 0, 35, 1, 0, 1, 5, 5]
+    assert [r[3] for r in got[14:]] == [0.12, 0.12, 99999999.99, -0.03, 0.35, 0.35, 1.0, 0.5, 1.0, 0.05, 0.05]
+    assert [r[4] for r in got[14:]] == [12.0, 12.0, 9999999999.0, -3.0, 350.0, 35.0, 1000.5, 0.5, 15.0, 5.0, 5.0]
