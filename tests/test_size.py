@@ -104,3 +104,16 @@ def test_clean_columns_are_read_as_others(spark):
     assert [r[2] for r in got[14:]] == [12, 12, None, 3, 0, 35, 1, 0, 1, 5, 5]
     assert [r[3] for r in got[14:]] == [0.12, 0.12, 99999999.99, -0.03, 0.35, 0.35, 1.0, 0.5, 1.0, 0.05, 0.05]
     assert [r[4] for r in got[14:]] == [12.0, 12.0, 9999999999.0, -3.0, 350.0, 35.0, 1000.5, 0.5, 15.0, 5.0, 5.0]
+
+
+def test_facilities_are_not_copied_for_each_flag(spark):
+    from tallyspark.operators import dashboards, facilities
+
+    assert "Generate" not in plan(spark, "debtor_risk_ranking")
+    rows = [("f1", 2, ["Current", "Overdue"]), ("f1", 1, []), ("f10", 1, ["Problem Loan", "High Rate", "Overdue"]), ("f2", 1, ["Special Mention", "High Rate"]), ("e", 9, ["Near Maturity"])]
+    clean = spark.createDataFrame([("d", *r, 2.5, 3, 0.31, "Hapus Tagih") for r in rows] + [("x", "f1", 3, [], None, None, None, None)], "nama string, source_file string, seq int, risk_flags array<string>, baki_debet double, kol int, rate double, keterangan string")
+    got = {r.nama: tuple(r)[1:] for r in dashboards.debtor_risk_ranking(clean).collect()}
+    assert (float(got["d"][0]), *got["d"][1:]) == (12.5, 3, got["d"][2], 5, 5, "Near Maturity, Current, Overdue, Problem Loan, High Rate, Special Mention") and float(got["d"][2]) == 12.5
+    assert (float(got["x"][0]), *got["x"][3:]) == (0.0, 0, 0, "")
+    flags = facilities.risk_flags(F.lit(3), F.lit(1.0), F.lit(0.4), F.lit(-1), F.lit("hapus tagih, dihapusbukukan"))
+    assert set(spark.range(1).select(flags).first()[0]) <= set(facilities.FLAGS) and len(facilities.FLAGS) == 9
