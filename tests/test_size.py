@@ -117,3 +117,14 @@ def test_facilities_are_not_copied_for_each_flag(spark):
     assert (float(got["x"][0]), *got["x"][3:]) == (0.0, 0, 0, "")
     flags = facilities.risk_flags(F.lit(3), F.lit(1.0), F.lit(0.4), F.lit(-1), F.lit("hapus tagih, dihapusbukukan"))
     assert set(spark.range(1).select(flags).first()[0]) <= set(facilities.FLAGS) and len(facilities.FLAGS) == 9
+
+
+def test_rates_are_not_read_by_a_filter_too(spark):
+    assert not [line for line in plan(spark, "rate_histogram").split("\n") if "Filter" in line and "regexp_extract" in line]
+
+
+def test_rates_of_all_or_none(spark):
+    from tallyspark.operators import dashboards
+
+    rates = lambda *values: sorted((r.bin, r.facility_count) for r in dashboards.rate_histogram(spark.createDataFrame([(v,) for v in values], "rate double"), 4).collect())
+    assert rates(None, None) == [] and rates(0.1, None, 0.1) == [(0, 2)] and rates(0.0, 0.1, 0.4, None, 0.35) == [(0, 1), (1, 1), (3, 2)]
