@@ -345,6 +345,6 @@ _on_clean("bars_by_debtor", lambda df: dashboards.bars(df, "nama"), "SELECT nama
 _on_clean("bars_by_kol", lambda df: dashboards.bars(df, "kol", ["1", "2", "3", "4", "5"]), "SELECT kol::VARCHAR AS value, count(*) AS facility_count, sum(baki)::DECIMAL(38,4) AS total_baki_debet, kol::INT AS place FROM fac GROUP BY kol")
 _on_clean("bars_by_bucket", lambda df: dashboards.bars(df, "maturity_bucket", facilities.BUCKETS), "SELECT bucket AS value, count(*) AS facility_count, sum(baki)::DECIMAL(38,4) AS total_baki_debet, list_position(['Overdue', '0-3 Months', '3-6 Months', '6-12 Months', '>12 Months', 'Unknown'], bucket)::INT AS place FROM fac GROUP BY 1")
 _on_clean(
-    "sorted_lists", lambda df: dashboards.problem_list(df).orderBy(F.desc_nulls_last("kol"), F.desc_nulls_last("baki_debet"), F.desc_nulls_last("rate"), "source_file", "seq").select("source_file", "seq", "kol", F.col("baki_debet").cast("decimal(20,4)").alias("baki_debet"), "rate"),
+    "sorted_lists", lambda df: dashboards.in_order(dashboards.problem_list(df).select("source_file", "seq", "kol", "baki_debet", "rate"), F.desc_nulls_last("kol"), F.desc_nulls_last("baki_debet"), F.desc_nulls_last("rate"), "source_file", "seq").withColumn("baki_debet", F.col("baki_debet").cast("decimal(20,4)")),
     "SELECT source_file, seq::INT AS seq, kol::INT AS kol, baki AS baki_debet, rate::DOUBLE AS rate FROM fac WHERE kol >= 3 ORDER BY kol DESC, baki DESC, rate DESC NULLS LAST, source_file, seq",
 )

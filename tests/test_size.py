@@ -128,3 +128,7 @@ def test_rates_of_all_or_none(spark):
 
     rates = lambda *values: sorted((r.bin, r.facility_count) for r in dashboards.rate_histogram(spark.createDataFrame([(v,) for v in values], "rate double"), 4).collect())
     assert rates(None, None) == [] and rates(0.1, None, 0.1) == [(0, 2)] and rates(0.0, 0.1, 0.4, None, 0.35) == [(0, 1), (1, 1), (3, 2)]
+
+
+def test_rows_are_dealt_before_they_are_sampled_for_an_order(spark):
+    assert "hashpartitioning(source_file" in plan(spark, "sorted_lists")
