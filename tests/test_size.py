@@ -132,3 +132,7 @@ def test_rates_of_all_or_none(spark):
 
 def test_rows_are_dealt_before_they_are_sampled_for_an_order(spark):
     assert "hashpartitioning(source_file" in plan(spark, "sorted_lists")
+
+
+def test_the_interests_of_a_year_are_no_list(spark):
+    assert "aggregate(sequence(" not in plan(spark, "installment_yearly")
