@@ -31,7 +31,9 @@ from tallyspark.llm.common import broadcast_if_small, checkpoint, text_of
 from tallyspark.llm.quality import let, text_key
 
 TITLES = {"m": "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Don|господин|г-н", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Doña|госпожа|г-жа", "n": "Dr|Prof|Doctor|Professor"}
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.[A-Za-z]{2,}"
+#: Labels of a domain up to one that begins with two letters. Groups are repeated possessively only: Java's other loops take stack for each round, and a long run ends the executor.
+LABELS = r"(?:\.(?![A-Za-z]{2})[\p{L}\p{N}-]++)*+\.[A-Za-z]{2}"
+EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@[\p{{L}}\p{{N}}-]++(?:{LABELS}[\p{{L}}\p{{N}}-]*+(?={LABELS}))*+{LABELS}[A-Za-z]*"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\d)"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 CARD = r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
@@ -40,7 +42,7 @@ CLOUD_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET_WORD = r"(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Ss]ecret|[Tt]oken|[Pp]ass(?:word|wd)|[Pp]wd)\s{0,2}[=:]"
 SECRET = rf"(?<!\p{{L}}){SECRET_WORD}\s{{0,2}}[\"']?[A-Za-z0-9_/+-]{{8,}}"
 #: A possessive 's is no part of a name.
-NAME = r"\p{Lu}(?:\p{L}|['-](?!s(?!\p{L}))(?=\p{L}))+"
+NAME = r"\p{Lu}(?:\p{L}|['-](?!s(?!\p{L}))(?=\p{L}))++"
 PERSON = rf"(?<!\p{{L}})(?:{'|'.join(TITLES.values())})\.? {NAME}(?: {NAME})?"
 ENTITY = "|".join([EMAIL, CLOUD_KEY, SECRET, SSN, PHONE, CARD, IP, PERSON])
 #: Where none of these stands there is no entity.
@@ -153,7 +155,8 @@ def forms_of(e: Column, genders: Column) -> Column:
 
 def surrogate_of(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     """The surrogate's normal form."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string"))
+    # Of a fixed length, as it is hashed again for each place of the form.
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string")), 256)
 
     places = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     more_letters = lambda s: F.array_join(F.transform(places(F.ceil(attempt / 2).cast("int")), lambda i: F.chr(97 + _number(s, -i) % 26)), "")
