@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import secrets
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,9 +56,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: By application, the keys that were made because none is set.
+_MADE_KEYS: dict[str, str] = {}
+
+
 def pii_key(spark: SparkSession) -> str:
-    """The secret key of surrogates, from spark.pii.key; on a single machine, for public test data, it may be left out."""
-    key = spark.conf.get("spark.pii.key", None)
-    if key is None and not re.fullmatch(r"local(-cluster)?(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.pii.key to a secret key")
+    """The secret key of surrogates, from spark.pii.key; where it is unset, a public one on a single machine, for test data, and on a cluster a random one, the same for the whole application."""
+    context, key = spark.sparkContext, spark.conf.get("spark.pii.key", None)
+    if key is None and not re.fullmatch(r"local(-cluster)?(\[.*\])?", context.master):
+        key = _MADE_KEYS.setdefault(context.applicationId, secrets.token_hex(32))
     return key or "public test data"
