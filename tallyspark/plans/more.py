@@ -252,7 +252,7 @@ def _wrong_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     so_far = Window.partitionBy("account").orderBy("source_sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = tx.withColumn("right", (F.lit(A.OPENING) + F.sum(F.coalesce("cr", F.lit(0)) - F.coalesce("db", F.lit(0))).over(so_far)).cast("decimal(20,2)"))
     side = lambda a, b: F.when(e % 11 == 0, None).when(e % 5 == 0, F.col(b)).otherwise(F.col(a)).cast("decimal(20,2)")
-    return both.select("account", "source_sequence", "event_id", side("db", "cr").alias("db"), side("cr", "db").alias("cr"), F.col("right").alias("saldo"), F.lit(A.OPENING).cast("decimal(20,2)").alias("opening"))
+    return both.select("account", "source_sequence", "event_id", side("db", "cr").alias("db"), side("cr", "db").alias("cr"), F.col("right").alias("saldo"), F.lit(A.OPENING).cast("decimal(20,2)").alias("opening"), "direction")
 
 
 _WRONG = "wrong AS (SELECT * FROM tx)"
@@ -262,7 +262,7 @@ _DECIDED = "SELECT account, source_sequence, CASE WHEN amount <> 0 THEN db WHEN
 _FILLED = "SELECT account, source_sequence, CASE WHEN event_id % 5 = 0 AND event_id % 11 <> 0 THEN cr ELSE db END AS db, CASE WHEN event_id % 5 = 0 AND event_id % 11 <> 0 THEN db ELSE cr END AS cr FROM wrong"
 for _rule, _sql in (("gap", _DECIDED), ("simple", _DECIDED), ("swap", _FILLED)):
     _register(
-        f"side_repair_{_rule}", lambda spark, sf_dir, rule=_rule: accounts.repaired_sides(_wrong_sides(spark, sf_dir), F.col("opening"), ["account"], ["source_sequence"], rule).select("account", "source_sequence", "db", "cr"),
+        f"side_repair_{_rule}", lambda spark, sf_dir, rule=_rule: accounts.repaired_sides(_wrong_sides(spark, sf_dir), F.col("opening"), ["account"], ["source_sequence"], rule, F.col("direction")).select("account", "source_sequence", "db", "cr"),
         _sql, *_TX, _WRONG,
     )
 
