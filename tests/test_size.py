@@ -136,3 +136,8 @@ def test_rows_are_dealt_before_they_are_sampled_for_an_order(spark):
 
 def test_the_interests_of_a_year_are_no_list(spark):
     assert "aggregate(sequence(" not in plan(spark, "installment_yearly")
+
+
+def test_facilities_are_dealt_once_by_their_report(spark):
+    text = plan(spark, "installment_schedule")
+    assert len([line for line in text.split("\n") if "Exchange hashpartitioning(" in line]) <= 3 and "hashpartitioning(l_orderkey" not in text and "hashpartitioning(l_suppkey" not in text
