@@ -141,3 +141,14 @@ def test_the_interests_of_a_year_are_no_list(spark):
 def test_facilities_are_dealt_once_by_their_report(spark):
     text = plan(spark, "installment_schedule")
     assert len([line for line in text.split("\n") if "Exchange hashpartitioning(" in line]) <= 3 and "hashpartitioning(l_orderkey" not in text and "hashpartitioning(l_suppkey" not in text
+
+
+def test_pages_are_dealt_to_their_documents_once(spark):
+    from tallyspark.operators import detect, isolation
+    from tallyspark.plans import readers
+
+    lines = readers._damaged_pages(spark, SF)
+    text = isolation.read_pages(lines).rows._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in text and "hashpartitioning(source_file, page" not in text and "line_no" not in "".join(x for x in text.split("\n") if "Scan ExistingRDD" in x)
+    whole = lines.groupBy("source_file").agg(F.array_join(F.collect_list("line"), "\n").alias("text")).select("source_file", detect.detect_layout(F.col("text")).alias("bank"))
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, lines.groupBy("source_file").agg(detect.layout_of_lines(F.col("line")).alias("bank")).collect()), key=str)
